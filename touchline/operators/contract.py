@@ -114,7 +114,7 @@ def _contract_error(cell: _Cell, field: Field) -> Column | None:
 
 def _table_error(cell: _Cell, field: Field, value: Column) -> Column:
     chain = F.when(
-        cell.given & value.isNull(), _message(field.name, f"not a {field.type.simpleString()}")
+        cell.given & value.isNull(), _message(field.name, f"cannot be stored as {field.type.simpleString()}")
     )
     if field.not_null:
         absent = cell.is_null if field.default is not None else cell.is_null | cell.missing

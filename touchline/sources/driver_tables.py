@@ -63,12 +63,17 @@ def raw_gameweeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_fixtures(
+    spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
+) -> DataFrame:
+    """``orders`` may be given instead of read, e.g. a batch of a stream."""
+    if orders is None:
+        orders = read(spark, sf_dir, "orders")
     key, home = F.col("o_orderkey"), F.col("o_custkey")
     week = key % GAMEWEEKS
     scheduled = key % 97 != 5
     played = scheduled & (week < FINISHED_GAMEWEEKS)
-    return read(spark, sf_dir, "orders").select(
+    return orders.select(
         (key + 1).alias("id"),
         (key * 7 + 1).alias("code"),
         F.when(scheduled, (week + 1).cast("int")).alias("event"),
