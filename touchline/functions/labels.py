@@ -42,7 +42,7 @@ def shirt_url(team_code: Column) -> Column:
 
 def age_label(then: Column, now: Column) -> Column:
     """Age in whole minutes, hours or days; below a minute ``just now``."""
-    seconds = F.floor((F.unix_micros(now) - F.unix_micros(then)) / F.lit(1_000_000))
+    seconds = F.floor((_micros(now) - _micros(then)) / F.lit(1_000_000))
 
     def whole(unit: int) -> Column:
         return F.floor(seconds / F.lit(unit)).cast("string")
@@ -54,3 +54,7 @@ def age_label(then: Column, now: Column) -> Column:
         .when(seconds < 86400, F.concat(whole(3600), F.lit("h ago")))
         .otherwise(F.concat(whole(86400), F.lit("d ago")))
     )
+
+
+def _micros(column: Column) -> Column:
+    return F.unix_micros(column.cast("timestamp"))

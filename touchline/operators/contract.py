@@ -24,79 +24,84 @@ _WHOLE_TEXT = r"^\s*[+-]?\d+(\.0+)?\s*$"
 
 _RECORD = "_v"
 
+# Columns that hold nested JSON.
+JSON_COLUMNS = ["overrides", "chip_plays", "top_element_info", "stats", "scout_risks"]
+
 
 class ContractError(ValueError):
     """Raised once for a whole load, after all records were checked."""
 
 
 class _Cell:
-    """Expressions about one key of the parsed record."""
-
-    def __init__(self, name: str):
-        self.path = f"$.{name}"
-        self.part = F.try_variant_get(F.col(_RECORD), self.path, "variant")
-        self.kind = F.schema_of_variant(self.part)
-        self.missing = self.part.isNull()
-        self.is_null = F.coalesce(F.is_variant_null(self.part), F.lit(False))
-        self.given = ~self.missing & ~self.is_null
-
-    def get(self, ddl: str) -> Column:
-        return F.try_variant_get(F.col(_RECORD), self.path, ddl)
-
-
-def _is_number(cell: _Cell) -> Column:
-    return cell.kind.isin("BIGINT", "DOUBLE", "FLOAT") | cell.kind.startswith("DECIMAL")
-
-
-def _kind_ok(cell: _Cell, kind: str) -> Column:
-    number = cell.get("double")
-    if kind == "any":
-        return F.lit(True)
-    if kind == "str":
-        return cell.kind == "STRING"
-    if kind == "int":
-        return (
-            cell.kind.isin("BIGINT", "BOOLEAN")
-            | (_is_number(cell) & (number == F.floor(number)))
-            | ((cell.kind == "STRING") & cell.get("string").rlike(_WHOLE_TEXT))
-        )
-    return (
-        (cell.kind == "BOOLEAN")
-        | (_is_number(cell) & number.isin(0.0, 1.0))
-        | (
-            (cell.kind == "STRING")
-            & F.lower(cell.get("string")).isin(*TRUE_TEXTS, *FALSE_TEXTS)
-        )
-    )
+    """One key of the record, as two columns: the JSON kind and the value as text.
 
+    ``extract`` gives both from the parsed record; they are projected once, and all
+    checks and casts read the projected columns.
+    """
 
-def _typed(cell: _Cell, field: Field) -> Column:
-    """Value in the table's type, null if it has none."""
-    if isinstance(field.type, T.BooleanType):
-        text = F.lower(cell.get("string"))
+    def __init__(self, field: Field):
+        self.field = field
+        self.kind = F.col(f"_kind_{field.name}")
+        self.text = F.col(f"_text_{field.name}")
+        self.missing = self.kind.isNull()
+        self.is_null = F.coalesce(self.kind == "VOID", F.lit(False))
+        self.given = F.coalesce(self.kind != "VOID", F.lit(False))
+        self.is_number = self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
+
+    def extract(self) -> list[Column]:
+        name = self.field.name
+        part = F.try_variant_get(F.col(_RECORD), f"$.{name}", "variant")
+        if name in JSON_COLUMNS:
+            text = F.when(~F.is_variant_null(part), F.to_json(part))
+        else:
+            text = F.try_variant_get(F.col(_RECORD), f"$.{name}", "string")
+        return [F.schema_of_variant(part).alias(f"_kind_{name}"), text.alias(f"_text_{name}")]
+
+    def kind_ok(self) -> Column:
+        number = self.text.try_cast("double")
+        if self.field.kind == "any":
+            return F.lit(True)
+        if self.field.kind == "str":
+            return self.kind == "STRING"
+        if self.field.kind == "int":
+            return (
+                self.kind.isin("BIGINT", "BOOLEAN")
+                | (self.is_number & (number == F.floor(number)))
+                | ((self.kind == "STRING") & self.text.rlike(_WHOLE_TEXT))
+            )
         return (
-            F.when(_is_number(cell), cell.get("double") == 1.0)
-            .when(text.isin(*TRUE_TEXTS), True)
-            .when(text.isin(*FALSE_TEXTS), False)
+            (self.kind == "BOOLEAN")
+            | (self.is_number & number.isin(0.0, 1.0))
+            | (
+                (self.kind == "STRING")
+                & F.lower(self.text).isin(*TRUE_TEXTS, *FALSE_TEXTS)
+            )
         )
-    if isinstance(field.type, (T.IntegerType, T.LongType)):
-        return F.trim(cell.get("string")).try_cast("decimal(38,6)").try_cast(field.type)
-    if isinstance(field.type, T.StringType):
-        if field.kind == "any" or field.name in JSON_COLUMNS:
-            return F.when(cell.given, F.to_json(cell.part))
-        return cell.get("string")
-    return cell.get("string").try_cast(field.type)
-
 
-# Columns that hold nested JSON.
-JSON_COLUMNS = ["overrides", "chip_plays", "top_element_info", "stats", "scout_risks"]
+    def typed(self) -> Column:
+        """Value in the table's type, null if it has none."""
+        target = self.field.type
+        if isinstance(target, T.StringType):
+            return self.text
+        if isinstance(target, T.BooleanType):
+            text = F.lower(self.text)
+            return (
+                F.when(self.is_number, self.text.try_cast("double") == 1.0)
+                .when(text.isin(*TRUE_TEXTS), True)
+                .when(text.isin(*FALSE_TEXTS), False)
+            )
+        if isinstance(target, (T.IntegerType, T.LongType)):
+            flag = F.when(self.kind == "BOOLEAN", (self.text == "true").cast(target))
+            return F.coalesce(flag, F.trim(self.text).try_cast("decimal(38,6)").try_cast(target))
+        return self.text.try_cast(target)
 
 
 def _message(name: str, reason: str) -> Column:
     return F.lit(f"{name}: {reason}")
 
 
-def _contract_error(cell: _Cell, field: Field) -> Column | None:
+def _contract_error(cell: _Cell) -> Column | None:
+    field = cell.field
     if field.kind is None:
         return None
     checks = []
@@ -104,7 +109,7 @@ def _contract_error(cell: _Cell, field: Field) -> Column | None:
         checks.append((cell.missing, _message(field.name, "field required")))
     if not (field.optional or field.kind == "any"):
         checks.append((cell.is_null, _message(field.name, f"null is not a valid {field.kind}")))
-    wrong = cell.given & ~F.coalesce(_kind_ok(cell, field.kind), F.lit(False))
+    wrong = cell.given & ~F.coalesce(cell.kind_ok(), F.lit(False))
     checks.append((wrong, F.concat(_message(field.name, f"not a valid {field.kind}: "), cell.kind)))
     chain = F
     for condition, message in checks:
@@ -112,44 +117,55 @@ def _contract_error(cell: _Cell, field: Field) -> Column | None:
     return chain
 
 
-def _table_error(cell: _Cell, field: Field, value: Column) -> Column:
-    chain = F.when(
-        cell.given & value.isNull(), _message(field.name, f"cannot be stored as {field.type.simpleString()}")
-    )
+def _table_error(cell: _Cell) -> Column:
+    field = cell.field
+    stored = f"cannot be stored as {field.type.simpleString()}"
+    chain = F.when(cell.given & F.col(field.name).isNull(), _message(field.name, stored))
     if field.not_null:
         absent = cell.is_null if field.default is not None else cell.is_null | cell.missing
         chain = chain.when(absent, _message(field.name, "null in a not-null column"))
     return chain
 
 
+def _typed_or_default(cell: _Cell) -> Column:
+    value = cell.typed()
+    if cell.field.default is not None:
+        value = F.when(cell.missing, cell.field.default_value()).otherwise(value)
+    return value.alias(cell.field.name)
+
+
 def validate(records: DataFrame, entity: str) -> DataFrame:
     """Typed columns of ``entity`` beside the record, its place and its failures.
 
-    Nothing is dropped: ``accepted`` and ``rejects`` pick from the result.
+    Nothing is dropped: ``accepted`` and ``rejects`` pick from the result. The steps
+    are separate projections so that the record is parsed once and each key is
+    extracted once.
     """
-    parsed = records.withColumn(_RECORD, F.try_parse_json("record"))
-    typed, errors, table_errors = [], [], []
-    for field in fields(entity):
-        cell = _Cell(field.name)
-        value = _typed(cell, field)
-        error = _contract_error(cell, field)
-        if error is not None:
-            errors.append(error)
-        table_errors.append(_table_error(cell, field, value))
-        if field.default is not None:
-            value = F.when(cell.missing, field.default_value()).otherwise(value)
-        typed.append(value.alias(field.name))
-
+    cells = [_Cell(field) for field in fields(entity)]
+    place = [f"_{name}" for name in records.columns]
+    parsed = records.toDF(*place).withColumn(_RECORD, F.try_parse_json("_record"))
     is_object = F.coalesce(F.schema_of_variant(_RECORD).startswith("OBJECT"), F.lit(False))
+    extracted = parsed.select(
+        *place, is_object.alias("_is_object"), *[c for cell in cells for c in cell.extract()]
+    )
+    typed = extracted.select("*", *[_typed_or_default(cell) for cell in cells])
+
+    errors = [error for cell in cells if (error := _contract_error(cell)) is not None]
+    table_errors = [_table_error(cell) for cell in cells]
     not_object = F.array(F.lit("not a JSON object"))
-    return parsed.select(
-        *[F.col(name).alias(f"_{name}") for name in records.columns],
-        *typed,
-        F.when(is_object, F.array_compact(F.array(*errors))).otherwise(not_object).alias("errors"),
-        F.when(is_object, F.array_compact(F.array(*table_errors)))
-        .otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    checked = F.struct(
+        *[cell.field.name for cell in cells],
+        F.when(F.col("_is_object"), F.array_compact(F.array(*errors)))
+        .otherwise(not_object)
+        .alias("errors"),
+        F.when(F.col("_is_object"), F.array_compact(F.array(*table_errors)))
+        .otherwise(none)
         .alias("table_errors"),
     )
+    # One output row per record. As the output of a generator the failures are
+    # computed once: a filter on them is not pushed down and evaluated again there.
+    return typed.select(*place, F.inline(F.array(checked)))
 
 
 def accepted(validated: DataFrame, entity: str) -> DataFrame:

@@ -12,6 +12,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from touchline.operators.views import PLAYER_NUMERIC
 from touchline.plans.tables import RawTables
@@ -20,8 +21,16 @@ GAMEWEEKS = 38
 FINISHED_GAMEWEEKS = 30
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A test table. Its schema is read from the files once per path: every later
+    read skips the job that infers it."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _team_count(spark: SparkSession, sf_dir: str) -> Column:
