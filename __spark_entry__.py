@@ -268,7 +268,9 @@ def null_audit(spark: SparkSession, sf: str) -> DataFrame:
 def run_age_label(spark: SparkSession, sf: str) -> DataFrame:
     runs = data.raw_runs(spark, sf)
     now = runs.agg(F.max("started_at")).scalar()
-    return runs.select("id", age_label(F.col("finished_at"), now).alias("age"))
+    seconds = "(unix_micros(cast(now as timestamp)) - unix_micros(cast(finished_at as timestamp))) div 1000000"
+    aged = runs.withColumn("now", now).selectExpr("*", f"{seconds} as age_seconds")
+    return aged.selectExpr("id", f"{age_label('finished_at', 'age_seconds')} as age")
 
 
 def stream_fixtures(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,60 +1,48 @@
-"""Display values that are data: outcome, score text, opponent text, image address, age."""
+"""Display values that are data: outcome, score text, opponent text, image address,
+age. All return SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed value: address pattern of the team image, keyed by team code.
 SHIRT_URL = ("https://fantasy.premierleague.com/dist/img/shirts/standard/shirt_", "-66.webp")
 
 
-def outcome(was_home: Column, home: Column, away: Column) -> Column:
-    own = F.when(was_home, home).otherwise(away)
-    other = F.when(was_home, away).otherwise(home)
+def outcome() -> str:
+    """From the player's side; ``?`` without a score."""
     return (
-        F.when(home.isNull() | away.isNull(), "?")
-        .when(own > other, "W")
-        .when(own < other, "L")
-        .otherwise("D")
+        "case when home_score is null or away_score is null then '?'"
+        " when home_score = away_score then 'D'"
+        " when (home_score > away_score) = was_home then 'W' else 'L' end"
     )
 
 
-def score_text(home: Column, away: Column) -> Column:
-    return F.when(
-        home.isNotNull(), F.concat(home.cast("string"), F.lit("-"), away.cast("string"))
-    ).otherwise("-")
+def score_text() -> str:
+    return "case when home_score is null then '-' else concat(home_score, '-', away_score) end"
 
 
-def versus(opponent: Column, venue: Column) -> Column:
+def versus(opponent: str, venue: str) -> str:
     """``ABC (H)``"""
-    return F.concat(opponent, F.lit(" ("), venue, F.lit(")"))
+    return f"concat({opponent}, ' (', {venue}, ')')"
 
 
-def venue(was_home: Column) -> Column:
-    return F.when(was_home, "H").otherwise("A")
+def venue() -> str:
+    return "case when was_home then 'H' else 'A' end"
 
 
-def shirt_url(team_code: Column) -> Column:
+def shirt_url(team_code: str) -> str:
     head, tail = SHIRT_URL
-    return F.concat(F.lit(head), team_code.cast("string"), F.lit(tail))
-
+    return f"concat('{head}', {team_code}, '{tail}')"
 
-def age_label(then: Column, now: Column) -> Column:
-    """Age in whole minutes, hours or days; below a minute ``just now``."""
-    seconds = F.floor((_micros(now) - _micros(then)) / F.lit(1_000_000))
 
-    def whole(unit: int) -> Column:
-        return F.floor(seconds / F.lit(unit)).cast("string")
+def age_label(then: str, seconds: str) -> str:
+    """Age in whole minutes, hours or days; below a minute ``just now``.
 
+    ``seconds`` is the whole number of seconds since ``then``.
+    """
     return (
-        F.when(then.isNull() | now.isNull(), F.lit(None).cast("string"))
-        .when(seconds < 60, "just now")
-        .when(seconds < 3600, F.concat(whole(60), F.lit("m ago")))
-        .when(seconds < 86400, F.concat(whole(3600), F.lit("h ago")))
-        .otherwise(F.concat(whole(86400), F.lit("d ago")))
+        f"case when {then} is null or {seconds} is null then null"
+        f" when {seconds} < 60 then 'just now'"
+        f" when {seconds} < 3600 then concat({seconds} div 60, 'm ago')"
+        f" when {seconds} < 86400 then concat({seconds} div 3600, 'h ago')"
+        f" else concat({seconds} div 86400, 'd ago') end"
     )
-
-
-def _micros(column: Column) -> Column:
-    return F.unix_micros(column.cast("timestamp"))

@@ -1,40 +1,32 @@
 """Two rounding rules are in use and they differ on halves.
 
-* ``numeric_round``: exact decimals, half away from zero. Used by the views and
-  the two aggregate entry points.
+* ``numeric`` and ``rate``: exact decimals, half away from zero. Used by the views
+  and the two aggregate entry points.
 * ``float_round``: binary doubles, half to even on ``x * 10**n``. Used by every
   metric derived later from already rounded values.
+
+All return SQL expression text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
-def numeric(column: str | Column) -> Column:
+def numeric(column: str) -> str:
     """Text or number as a decimal with a stated scale. Bad text raises."""
-    return _col(column).cast("decimal(18,4)")
-
+    return f"cast({column} as decimal(18,4))"
 
-def numeric_round(column: Column, places: int) -> Column:
-    return F.round(column, places)
 
+def float_round(expression: str, places: int = 2) -> str:
+    factor = f"{10**places}D"
+    return f"rint(cast({expression} as double) * {factor}) / {factor}"
 
-def float_round(column: Column, places: int = 2) -> Column:
-    factor = 10.0**places
-    return F.rint(column.cast("double") * factor) / factor
 
-
-def rate(total: Column, weight: str, denominator: Column, places: int) -> Column:
+def rate(total: str, weight: int, denominator: str, places: int, unit: int = 1) -> str:
     """``round(total * weight / denominator, places)``, null for a zero denominator.
 
-    ``total`` is narrowed before the division: a decimal quotient keeps more
-    fraction digits the fewer integer digits its inputs may have.
+    ``total`` is a whole number of ``1 / unit``. Both sides of the division are whole
+    numbers, so the quotient keeps the most fraction digits a decimal can hold.
     """
-    scaled = total * F.lit(weight).cast("decimal(4,1)")
-    return numeric_round(scaled / F.nullif(denominator, F.lit(0)), places)
-
-
-def _col(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column
+    numerator = f"cast(({total}) * {weight} as decimal(20,0))"
+    below = f"nullif(cast(({denominator}) * {unit} as decimal(18,0)), 0)"
+    return f"round({numerator} / {below}, {places})"

@@ -1,15 +1,13 @@
-"""The scoring model as column expressions.
+"""The scoring model as SQL expressions over the renamed match columns.
 
-Every builder takes the position code (``element_type``) as a column or a plain
-int. With an int the ``case`` folds away at planning time, which is how the
+Every function returns expression text for ``selectExpr`` or ``F.expr``. Where the
+position matters it is an argument: a column name, or a literal code such as
+``"1"``. With a literal the ``case`` folds away at planning time, which is how the
 aggregates evaluate the model for each position before they know the player.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Points per event and thresholds of the scoring model.
 POSITIONS = {1: "GK", 2: "DEF", 3: "MID"}
 OTHER_POSITION = "FWD"
@@ -30,116 +28,114 @@ DEFENSIVE_THRESHOLD_BACK = 10
 DEFENSIVE_THRESHOLD_FRONT = 12
 FULL_APPEARANCE_MINUTES = 60
 
-# Wide enough for every term, narrow enough that adding the terms keeps the scale.
-_TERM = "decimal(24,12)"
-
+# Expected values have up to four decimals and are summed as whole ten-thousandths;
+# the parts of one match's expected points are added as whole trillionths and
+# rounded to whole hundredths. Decimals of more than 18 digits would be an object
+# per value; 64-bit numbers stay in registers and are as exact.
+UNITS = 10_000
+_ONE = 1_000_000_000_000
+_PER_UNIT = _ONE // UNITS
+_PER_HUNDREDTH = _ONE // 100
 
-def _code(element_type: Column | int) -> Column:
-    return F.lit(element_type) if isinstance(element_type, int) else element_type
+EXPECTED = {
+    "xg_units": "expected_goals",
+    "xa_units": "expected_assists",
+    "xgi_units": "expected_goal_involvements",
+    "xgc_units": "expected_goals_conceded",
+}
 
 
-def _by_position(element_type: Column | int, table: dict[int, int], other: int) -> Column:
-    if isinstance(element_type, int):
-        return F.lit(table.get(element_type, other))
-    code = _code(element_type)
-    chain = F
-    for position, value in table.items():
-        chain = chain.when(code == position, value)
-    return chain.otherwise(other)
+def _by_position(position: str, table: dict[int, int], other: int) -> str:
+    whens = " ".join(f"when {code} then {value}" for code, value in table.items())
+    return f"(case {position} {whens} else {other} end)"
 
 
-def position_label(element_type: Column) -> Column:
-    chain = F
-    for position, label in POSITIONS.items():
-        chain = chain.when(element_type == position, label)
-    return chain.otherwise(OTHER_POSITION)
+def position_label(position: str) -> str:
+    whens = " ".join(f"when {code} then '{label}'" for code, label in POSITIONS.items())
+    return f"(case {position} {whens} else '{OTHER_POSITION}' end)"
 
 
-def goal_points(element_type: Column | int) -> Column:
-    return _by_position(element_type, GOAL_POINTS, OTHER_GOAL_POINTS)
+def goal_points(position: str) -> str:
+    return _by_position(position, GOAL_POINTS, OTHER_GOAL_POINTS)
 
 
-def clean_sheet_points(element_type: Column | int) -> Column:
-    return _by_position(element_type, CLEAN_SHEET_POINTS, OTHER_CLEAN_SHEET_POINTS)
+def clean_sheet_points(position: str) -> str:
+    return _by_position(position, CLEAN_SHEET_POINTS, OTHER_CLEAN_SHEET_POINTS)
 
 
-def is_back(element_type: Column | int) -> Column:
+def is_back(position: str) -> str:
     """Goalkeepers and defenders."""
-    return _code(element_type).isin(1, 2)
+    return f"({position} in (1, 2))"
 
 
-def fixture_difficulty(was_home: Column, home: Column, away: Column) -> Column:
+def fixture_difficulty(home: str, away: str) -> str:
     """Difficulty from the player's own side."""
-    return F.when(was_home, home).otherwise(away)
+    return f"case when was_home then {home} else {away} end"
 
 
-def appearance_points(minutes: Column) -> Column:
-    return F.when(minutes >= FULL_APPEARANCE_MINUTES, 2).when(minutes >= 1, 1).otherwise(0)
+def appearance_points() -> str:
+    return f"(case when minutes >= {FULL_APPEARANCE_MINUTES} then 2 when minutes >= 1 then 1 else 0 end)"
 
 
-def conceded_pairs(conceded: Column) -> Column:
+def conceded_pairs() -> str:
     """Whole pairs of goals conceded in one match; the floor is taken per match."""
-    return F.floor(conceded / F.lit(CONCEDED_PER_POINT)).cast("int")
+    return f"cast(floor(goals_conceded / {CONCEDED_PER_POINT}) as int)"
 
 
-def save_points(saves: Column) -> Column:
-    return F.floor(saves / F.lit(SAVES_PER_POINT)).cast("int")
+def save_points() -> str:
+    return f"cast(floor(saves / {SAVES_PER_POINT}) as int)"
 
 
-def deduction_points(yellow: Column, red: Column, own_goals: Column, missed: Column) -> Column:
+def deduction_points() -> str:
     return (
-        yellow * YELLOW_POINTS
-        + red * RED_POINTS
-        + own_goals * OWN_GOAL_POINTS
-        + missed * PENALTY_MISSED_POINTS
+        f"({YELLOW_POINTS} * yellow_cards + {RED_POINTS} * red_cards"
+        f" + {OWN_GOAL_POINTS} * own_goals + {PENALTY_MISSED_POINTS} * penalties_missed)"
     )
 
 
-def defensive_step(contribution: Column, threshold: int) -> Column:
+def defensive_step(threshold: int) -> str:
     """1 when the actual count reaches the threshold."""
-    return F.when(contribution >= threshold, 1).otherwise(0)
+    return f"(case when defensive_contribution >= {threshold} then 1 else 0 end)"
+
+
+def expected_units() -> dict[str, str]:
+    """Expected values of a match row as whole ten-thousandths, null where unknown."""
+    return {name: f"cast({source} * {UNITS} as bigint)" for name, source in EXPECTED.items()}
 
 
-def expected_points(element_type: Column | int) -> Column:
-    """Expected points of one match row of the renamed fact (``views.match_rows``).
+def expected_points(position: str) -> str:
+    """Expected points of one match row with ``expected_units``, in whole hundredths.
 
     Expected values stand in for goals, assists, clean sheets and goals conceded;
     everything else counts as it happened. The 60-minute gate holds for the
-    clean sheet only.
+    clean sheet only, and the defensive part grows linearly up to its cap.
     """
-    c = F.col
-    conceded = F.coalesce(c("expected_goals_conceded"), F.lit(0).cast("decimal(18,4)"))
-    back = is_back(element_type)
-
-    goals = F.coalesce(c("expected_goals"), F.lit(0)) * goal_points(element_type)
-    assists = F.coalesce(c("expected_assists"), F.lit(0)) * ASSIST_POINTS
-    clean_sheet = F.when(
-        c("minutes") >= FULL_APPEARANCE_MINUTES,
-        F.exp(-conceded.cast("double")).cast("decimal(18,12)") * clean_sheet_points(element_type),
-    ).otherwise(0)
-    # dc / 10 * 2 and dc / 12 * 2, capped at 2
-    defensive = F.least(
-        F.when(back, c("defensive_contribution") / F.lit(5).cast("decimal(1,0)"))
-        .otherwise(c("defensive_contribution") / F.lit(6).cast("decimal(1,0)"))
-        .cast(_TERM),
-        F.lit(DEFENSIVE_POINTS).cast(_TERM),
+    conceded = "coalesce(xgc_units, 0)"
+    back, front = DEFENSIVE_THRESHOLD_BACK, DEFENSIVE_THRESHOLD_FRONT
+    defensive = (
+        f"case when {is_back(position)} then defensive_contribution * {DEFENSIVE_POINTS * _ONE // back}"
+        f" else (defensive_contribution * {DEFENSIVE_POINTS * _ONE} + {front // 2}) div {front} end"
     )
     counted = (
-        appearance_points(c("minutes"))
-        + F.when(_code(element_type) == 1, save_points(c("saves"))).otherwise(0)
-        + deduction_points(
-            c("yellow_cards"), c("red_cards"), c("own_goals"), c("penalties_missed")
-        )
-        + c("penalties_saved") * PENALTY_SAVED_POINTS
-        + c("bonus")
+        f"{appearance_points()} + case when {position} = 1 then {save_points()} else 0 end"
+        f" + {deduction_points()} + {PENALTY_SAVED_POINTS} * penalties_saved + bonus"
+        f" - case when {is_back(position)} then cast(floor({conceded} / {CONCEDED_PER_POINT * UNITS}) as bigint)"
+        " else 0 end"
+    )
+    clean_sheet = (
+        f"case when minutes >= {FULL_APPEARANCE_MINUTES}"
+        f" then cast(rint(exp(-{conceded} / {UNITS}) * {_ONE}) as bigint)"
+        f" * {clean_sheet_points(position)} else 0 end"
     )
-    conceded_deduction = F.when(back, -F.floor(conceded / F.lit(CONCEDED_PER_POINT))).otherwise(0)
     total = (
-        counted.cast(_TERM)
-        + goals.cast(_TERM)
-        + assists.cast(_TERM)
-        + clean_sheet.cast(_TERM)
-        + conceded_deduction.cast(_TERM)
-        + defensive
+        f"({counted}) * {_ONE}"
+        f" + coalesce(xg_units, 0) * {goal_points(position)} * {_PER_UNIT}"
+        f" + coalesce(xa_units, 0) * {ASSIST_POINTS * _PER_UNIT}"
+        f" + {clean_sheet} + least({defensive}, {DEFENSIVE_POINTS * _ONE})"
     )
-    return F.round(total, 2).cast("decimal(18,2)")
+    half = _PER_HUNDREDTH // 2
+    return f"(cast(sign({total}) as bigint) * ((abs({total}) + {half}) div {_PER_HUNDREDTH}))"
+
+
+def as_points(hundredths: str) -> str:
+    return f"cast({hundredths} / 100 as decimal(18,2))"

@@ -11,100 +11,81 @@ per task in the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
+from touchline.operators.views import with_units
+
+_XPTS = {1: "xpts_gk", 2: "xpts_def", 3: "xpts_mid", 4: "xpts_fwd"}
+
+# Sums for the points breakdown.
+MATCH_COUNTS = {
+    "gp": "case when minutes > 0 then 1 else 0 end",
+    "mp": "minutes",
+    "gs": "goals_scored",
+    "a": "assists",
+    "cs": "clean_sheets",
+    "conceded_pairs": S.conceded_pairs(),
+    "dc_back": S.defensive_step(S.DEFENSIVE_THRESHOLD_BACK),
+    "dc_front": S.defensive_step(S.DEFENSIVE_THRESHOLD_FRONT),
+    "bonus_pts": "bonus",
+    "appearance_pts": S.appearance_points(),
+    "save_pts": S.save_points(),
+    "deduction_pts": S.deduction_points(),
+}
 
-_GOALKEEPER, _DEFENDER, _MIDFIELDER, _FORWARD = 1, 2, 3, 4
-_XPTS = {
-    _GOALKEEPER: "xpts_gk", _DEFENDER: "xpts_def", _MIDFIELDER: "xpts_mid", _FORWARD: "xpts_fwd",
+# Further sums for the player table; expected values in whole units, expected points
+# in whole hundredths.
+SEASON_SUMS = {
+    "match_rows": "1",
+    "st": "starts",
+    "pts": "total_points",
+    **{name: name for name in S.EXPECTED},
+    **{alias: S.expected_points(str(code)) for code, alias in _XPTS.items()},
 }
 
 
-def _total(column: str | Column, alias: str) -> Column:
-    return F.sum(column).alias(alias)
-
-
-def match_counts() -> list[Column]:
-    """Sums for the points breakdown."""
-    c = F.col
-    return [
-        _total(F.when(c("minutes") > 0, 1).otherwise(0), "gp"),
-        _total("minutes", "mp"),
-        _total("goals_scored", "gs"),
-        _total("assists", "a"),
-        _total("clean_sheets", "cs"),
-        _total(S.conceded_pairs(c("goals_conceded")), "conceded_pairs"),
-        _total(
-            S.defensive_step(c("defensive_contribution"), S.DEFENSIVE_THRESHOLD_BACK), "dc_back"
-        ),
-        _total(
-            S.defensive_step(c("defensive_contribution"), S.DEFENSIVE_THRESHOLD_FRONT), "dc_front"
-        ),
-        _total("bonus", "bonus_pts"),
-        _total(S.appearance_points(c("minutes")), "appearance_pts"),
-        _total(S.save_points(c("saves")), "save_pts"),
-        _total(
-            S.deduction_points(
-                c("yellow_cards"), c("red_cards"), c("own_goals"), c("penalties_missed")
-            ),
-            "deduction_pts",
-        ),
-    ]
-
-
-def season_sums() -> list[Column]:
-    """Further sums for the player table."""
-    return [
-        F.count(F.lit(1)).alias("match_rows"),
-        _total("starts", "st"),
-        _total("total_points", "pts"),
-        _total("expected_goals", "xg"),
-        _total("expected_assists", "xa"),
-        _total("expected_goal_involvements", "xgi"),
-        _total("expected_goals_conceded", "xgc"),
-        *[_total(S.expected_points(code), alias) for code, alias in _XPTS.items()],
-    ]
-
-
-def player_sums(rows: DataFrame, *columns: Column) -> DataFrame:
-    return rows.groupBy("player_id").agg(*columns)
-
-
-def expected_points_total(element_type: Column) -> Column:
+def player_sums(rows: DataFrame, *groups: dict[str, str]) -> DataFrame:
+    """The named sums per player."""
+    sums = {name: sql for group in groups for name, sql in group.items()}
     return (
-        F.when(element_type == _GOALKEEPER, F.col(_XPTS[_GOALKEEPER]))
-        .when(element_type == _DEFENDER, F.col(_XPTS[_DEFENDER]))
-        .when(element_type == _MIDFIELDER, F.col(_XPTS[_MIDFIELDER]))
-        .otherwise(F.col(_XPTS[_FORWARD]))
+        with_units(rows)
+        .groupBy("player_id")
+        .agg(*[F.expr(f"sum({sql}) as {name}") for name, sql in sums.items()])
     )
 
 
-def goal_total(element_type: Column) -> Column:
-    return F.col("gs") * S.goal_points(element_type)
+def expected_points_total(position: str) -> str:
+    """Sum of expected points for the player's position, in hundredths."""
+    whens = " ".join(f"when {code} then {alias}" for code, alias in _XPTS.items() if code < 4)
+    return f"(case {position} {whens} else {_XPTS[4]} end)"
+
+
+def goal_total(position: str) -> str:
+    return f"gs * {S.goal_points(position)}"
 
 
-def assist_total() -> Column:
-    return F.col("a") * S.ASSIST_POINTS
+def assist_total() -> str:
+    return f"a * {S.ASSIST_POINTS}"
 
 
-def defensive_total(element_type: Column, other_front: bool) -> Column:
+def defensive_total(position: str, other_front: bool) -> str:
     """Clean sheets, conceded deduction and threshold points together.
 
     A position code outside 1..4 counts as a front player in the breakdown
     (``other_front``) but scores no threshold points in the player table.
     """
-    back = S.is_back(element_type)
-    front = F.lit(True) if other_front else element_type.isin(3, 4)
+    back = S.is_back(position)
+    front = "true" if other_front else f"{position} in (3, 4)"
     return (
-        F.col("cs") * S.clean_sheet_points(element_type)
-        - F.when(back, F.col("conceded_pairs")).otherwise(0)
-        + F.when(back, F.col("dc_back")).when(front, F.col("dc_front")).otherwise(0)
-        * S.DEFENSIVE_POINTS
+        f"cs * {S.clean_sheet_points(position)}"
+        f" - case when {back} then conceded_pairs else 0 end"
+        f" + {S.DEFENSIVE_POINTS}"
+        f" * case when {back} then dc_back when {front} then dc_front else 0 end"
     )
 
 
-def save_total(element_type: Column, other: Column) -> Column:
+def save_total(position: str, other: str) -> str:
     """Save points of goalkeepers, ``other`` for everybody else."""
-    return F.when(element_type == _GOALKEEPER, F.col("save_pts")).otherwise(other)
+    return f"case when {position} = 1 then save_pts else {other} end"

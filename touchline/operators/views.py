@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions import scoring as S
 from touchline.functions.rounding import numeric
-from touchline.functions.scoring import expected_points, fixture_difficulty
 from touchline.sources.schemas import column_names
 
 # Renamed columns and text columns that hold numbers.
@@ -30,20 +30,19 @@ MATCH_NUMERIC = [
 
 def _project(
     df: DataFrame, entity: str, renames: dict[str, str], numbers: list[str],
-    derived: dict[str, tuple[str, Column]],
+    derived: dict[str, str],
 ) -> DataFrame:
     """Columns of ``entity`` that ``df`` has, renamed and cast; each derived
     column follows the column it is named after."""
+    have = set(df.columns)
     columns = []
     for name in column_names(entity):
-        if name not in df.columns:
-            continue
-        value = numeric(name) if name in numbers else F.col(name)
-        columns.append(value.alias(renames.get(name, name)))
-        if name in derived:
-            alias, expression = derived[name]
-            columns.append(expression.alias(alias))
-    return df.select(*columns)
+        if name in have:
+            value = numeric(name) if name in numbers else f"`{name}`"
+            columns.append(f"{value} as `{renames.get(name, name)}`")
+            if name in derived:
+                columns.append(derived[name])
+    return df.selectExpr(*columns)
 
 
 def teams(raw: DataFrame) -> DataFrame:
@@ -54,14 +53,13 @@ def gameweeks(raw: DataFrame) -> DataFrame:
     return _project(raw, "gameweeks", {}, [], {})
 
 
-def price(tenths: str) -> Column:
-    return (F.col(tenths) / F.lit("10.0").cast("decimal(3,1)")).cast("decimal(12,1)")
+def price(tenths: str) -> str:
+    return f"cast({tenths} / 10 as decimal(12,1))"
 
 
 def players(raw: DataFrame) -> DataFrame:
-    return _project(
-        raw, "players", PLAYER_RENAMES, PLAYER_NUMERIC, {"now_cost": ("price", price("now_cost"))}
-    )
+    derived = {"now_cost": f"{price('now_cost')} as price"}
+    return _project(raw, "players", PLAYER_RENAMES, PLAYER_NUMERIC, derived)
 
 
 def fixtures(raw: DataFrame) -> DataFrame:
@@ -70,10 +68,13 @@ def fixtures(raw: DataFrame) -> DataFrame:
 
 def match_rows(raw: DataFrame) -> DataFrame:
     """The fact, renamed and cast, before any lookup."""
-    return _project(
-        raw, "player_gameweek_stats", MATCH_RENAMES, MATCH_NUMERIC,
-        {"value": ("match_price", price("value"))} if "value" in raw.columns else {},
-    )
+    derived = {"value": f"{price('value')} as match_price"}
+    return _project(raw, "player_gameweek_stats", MATCH_RENAMES, MATCH_NUMERIC, derived)
+
+
+def with_units(rows: DataFrame) -> DataFrame:
+    """Adds the expected values as whole numbers, the form the scoring model takes."""
+    return rows.selectExpr("*", *[f"{sql} as {name}" for name, sql in S.expected_units().items()])
 
 
 def player_gameweek_stats(
@@ -85,24 +86,20 @@ def player_gameweek_stats(
     one is sort-merge joined and a hot key is split by the adaptive planner.
     """
     matches = match_rows(raw_matches)
-    difficulty = raw_fixtures.select(
-        F.col("id").alias("fixture_id"),
-        F.col("team_h_difficulty").alias("_home"),
-        F.col("team_a_difficulty").alias("_away"),
-    )
-    positions = raw_players.select(
-        F.col("id").alias("player_id"), F.col("element_type").alias("_position")
+    difficulty = raw_fixtures.selectExpr(
+        "id as fixture_id", "team_h_difficulty as _home", "team_a_difficulty as _away"
     )
-    joined = matches.join(difficulty, "fixture_id").join(positions, "player_id")
-    return joined.select(
+    positions = raw_players.selectExpr("id as player_id", "element_type as _position")
+    joined = with_units(matches).join(difficulty, "fixture_id").join(positions, "player_id")
+    return joined.selectExpr(
         *matches.columns,
-        fixture_difficulty(F.col("was_home"), F.col("_home"), F.col("_away")).alias("fdr"),
-        expected_points(F.col("_position")).alias("xpts"),
+        f"{S.fixture_difficulty('_home', '_away')} as fdr",
+        f"{S.as_points(S.expected_points('_position'))} as xpts",
     )
 
 
 def team_names(raw_teams: DataFrame) -> DataFrame:
-    return raw_teams.select(F.col("id").alias("team_id"), "short_name")
+    return raw_teams.selectExpr("id as team_id", "short_name")
 
 
 def team_list(raw_teams: DataFrame) -> DataFrame:

@@ -24,35 +24,21 @@ def team_fixtures(raw_fixtures: DataFrame, raw_teams: DataFrame) -> DataFrame:
     """
     names = team_names(raw_teams)
     named = (
-        raw_fixtures.select(
-            F.col("id").alias("fixture_id"),
-            F.col("event").alias("gameweek_id"),
-            "finished",
-            F.col("team_h").alias("home_id"),
-            F.col("team_a").alias("away_id"),
-            "team_h_difficulty",
-            "team_a_difficulty",
+        raw_fixtures.selectExpr(
+            "id as fixture_id", "event as gameweek_id", "finished", "team_h as home_id",
+            "team_a as away_id", "team_h_difficulty", "team_a_difficulty",
         )
         .join(names.toDF("home_id", "home_name"), "home_id", "left")
         .join(names.toDF("away_id", "away_name"), "away_id", "left")
     )
-
-    def side(own: str, other: str, difficulty: str, letter: str) -> Column:
-        return F.struct(
-            F.col(f"{own}_id").alias("team_id"),
-            F.col(f"{own}_name").alias("team"),
-            F.col(f"{other}_id").alias("opponent_id"),
-            F.col(f"{other}_name").alias("opponent"),
-            F.lit(letter).alias("venue"),
-            F.col(difficulty).alias("fdr"),
-        )
-
-    sides = F.array(
-        side("home", "away", "team_h_difficulty", "H"),
-        side("away", "home", "team_a_difficulty", "A"),
+    sides = (
+        "stack(2,"
+        " home_id, home_name, away_id, away_name, 'H', team_h_difficulty,"
+        " away_id, away_name, home_id, home_name, 'A', team_a_difficulty)"
+        " as (team_id, team, opponent_id, opponent, venue, fdr)"
     )
-    long = named.select("fixture_id", "gameweek_id", "finished", F.inline(sides))
-    return long.withColumn("fragment", versus(F.col("opponent"), F.col("venue")))
+    long = named.selectExpr("fixture_id", "gameweek_id", "finished", sides)
+    return long.selectExpr("*", f"{versus('opponent', 'venue')} as fragment")
 
 
 def in_gameweeks(raw_fixtures: DataFrame, start: Column | int, end: Column | int) -> DataFrame:

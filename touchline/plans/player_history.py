@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.functions.labels import outcome, score_text, venue, versus
-from touchline.functions.rounding import float_round, numeric_round
+from touchline.functions.rounding import float_round
 from touchline.operators import aggregates as A
 from touchline.operators.running import running_totals
 from touchline.operators.selection import (
@@ -20,7 +20,7 @@ from touchline.operators.selection import (
     newest_gameweeks_per_player,
     next_gameweek,
 )
-from touchline.operators.views import match_rows
+from touchline.operators.views import match_rows, with_units
 from touchline.plans.tables import RawTables
 
 # Column order of the history and of the displayed history.
@@ -72,22 +72,20 @@ def player_history(
     last_n: int | None = None,
     include_current: bool = True,
 ) -> DataFrame:
-    """One row per finished match with opponent, result and the match counts,
-    newest first. ``player_id`` and ``fixture_id`` come first as the row's key."""
+    """One row per finished match with opponent, result and the match counts;
+    ``newest_first`` puts them in display order. ``player_id`` and ``fixture_id`` come first as the row's key."""
     rows = history_rows(tables, player_id, last_n, include_current)
-    results = tables.fixtures.select(
-        F.col("id").alias("fixture_id"),
-        F.col("team_h_score").alias("home_score"),
-        F.col("team_a_score").alias("away_score"),
+    results = tables.fixtures.selectExpr(
+        "id as fixture_id", "team_h_score as home_score", "team_a_score as away_score"
     )
-    positions = tables.players.select(F.col("id").alias("player_id"), "element_type")
-    opponents = tables.teams.select(
-        F.col("id").alias("opponent_team_id"),
-        F.col("short_name").alias("opponent"),
-        F.col("code").alias("opponent_code"),
+    positions = tables.players.selectExpr("id as player_id", "element_type")
+    opponents = tables.teams.selectExpr(
+        "id as opponent_team_id", "short_name as opponent", "code as opponent_code"
     )
     joined = (
-        rows.join(results, "fixture_id")
+        with_units(rows)
+        .drop("team_h_score", "team_a_score")
+        .join(results, "fixture_id")
         .join(positions, "player_id")
         .join(opponents, "opponent_team_id")
     )
@@ -96,39 +94,33 @@ def player_history(
         "xgc": "expected_goals_conceded", "influence": "influence", "creativity": "creativity",
         "threat": "threat", "ict_index": "ict_index",
     }
-    values = {alias: numeric_round(F.col(source), 2) for alias, source in rounded.items()}
-    values["xpts"] = S.expected_points(F.col("element_type"))
-    values["pts"] = F.col("total_points")
-    values["cs"] = F.col("clean_sheets")
-    return joined.select(
-        "player_id",
-        "fixture_id",
-        *[values.get(name, F.col(name)).alias(name) for name in HISTORY_COLUMNS],
-    ).orderBy("player_id", F.desc("gameweek_id"), "fixture_id")
+    values = {alias: f"round({source}, 2)" for alias, source in rounded.items()}
+    values["xpts"] = S.as_points(S.expected_points("element_type"))
+    values["pts"] = "total_points"
+    values["cs"] = "clean_sheets"
+    return joined.selectExpr(
+        "player_id", "fixture_id", *[f"{values.get(name, name)} as {name}" for name in HISTORY_COLUMNS]
+    )
+
+
+def newest_first(history: DataFrame) -> DataFrame:
+    """Display order: per player, latest gameweek first. A sort of everything is a
+    shuffle of everything, so it is a step of its own, for the rows that are shown."""
+    return history.orderBy("player_id", F.desc("gameweek_id"), "fixture_id")
 
 
 def history_table(history: DataFrame) -> DataFrame:
     """The displayed history: opponent and score as text, short column names."""
-    shown = history.withColumns(
-        {
-            "_opponent": versus(F.col("opponent"), venue(F.col("was_home"))),
-            "_score": score_text(F.col("home_score"), F.col("away_score")),
-        }
-    )
-    return shown.select(
+    texts = {"_opponent": versus("opponent", venue()), "_score": score_text()}
+    return history.selectExpr(
         "player_id",
         "fixture_id",
-        *[F.col(source).alias(label) for label, source in DISPLAY_COLUMNS.items()],
+        *[f"{texts.get(source, source)} as `{label}`" for label, source in DISPLAY_COLUMNS.items()],
     )
 
 
 def history_outcomes(history: DataFrame) -> DataFrame:
-    return history.select(
-        "player_id",
-        "fixture_id",
-        "gameweek_id",
-        outcome(F.col("was_home"), F.col("home_score"), F.col("away_score")).alias("outcome"),
-    )
+    return history.selectExpr("player_id", "fixture_id", "gameweek_id", f"{outcome()} as outcome")
 
 
 def points_breakdown(
@@ -146,34 +138,26 @@ def points_breakdown(
     one row before the join.
     """
     rows = history_rows(tables, player_id, last_n, include_current)
-    sums = A.player_sums(rows, *A.match_counts()).filter((F.col("mp") != 0) & (F.col("gp") != 0))
-    positions = tables.players.select(F.col("id").alias("player_id"), "element_type")
-    position = F.col("element_type")
-    divisor = {
-        "Total": F.lit(1.0),
-        "Per Game": F.col("gp").cast("double"),
-        "Per 90": F.col("mp").cast("double") / F.lit(90.0),
-    }[mode]
+    sums = A.player_sums(rows, A.MATCH_COUNTS).filter("mp <> 0 and gp <> 0")
+    positions = tables.players.selectExpr("id as player_id", "element_type")
+    divisor = {"Total": "1D", "Per Game": "cast(gp as double)", "Per 90": "(mp / 90D)"}[mode]
     totals = [
-        A.goal_total(position),
+        A.goal_total("element_type"),
         A.assist_total(),
-        A.defensive_total(position, other_front=True),
-        F.col("bonus_pts"),
-        F.col("appearance_pts"),
-        A.save_total(position, F.lit(None)),
-        F.col("deduction_pts"),
+        A.defensive_total("element_type", other_front=True),
+        "bonus_pts",
+        "appearance_pts",
+        A.save_total("element_type", "null"),
+        "deduction_pts",
     ]
-    entries = [
-        F.struct(
-            F.lit(category).alias("category"),
-            float_round(total.cast("double") / divisor).alias("value"),
-        )
+    entries = ", ".join(
+        f"'{category}', {float_round(f'cast({total} as double) / {divisor}')}"
         for category, total in zip(CATEGORIES, totals)
-    ]
+    )
     return (
         sums.join(positions, "player_id")
-        .select("player_id", F.inline(F.array(*entries)))
-        .filter(F.col("value").isNotNull())
+        .selectExpr("player_id", f"stack({len(CATEGORIES)}, {entries}) as (category, value)")
+        .filter("value is not null")
     )
 
 
@@ -188,19 +172,10 @@ def involvement(
     The running totals are exact decimals of the rounded match values; a match
     without an expected value has no running expected value, and later ones go on.
     """
-    rows = history_rows(tables, player_id, last_n, include_current).select(
-        "player_id",
-        "fixture_id",
-        "gameweek_id",
-        (F.col("goals_scored") + F.col("assists")).alias("gi"),
-        numeric_round(F.col("expected_goal_involvements"), 2).alias("xgi"),
-    )
-    totals = running_totals(
+    rows = _involvement_rows(history_rows(tables, player_id, last_n, include_current))
+    return running_totals(
         rows, "player_id", "gameweek_id", "fixture_id", {"cum_gi": "gi", "cum_xgi": "xgi"}
     )
-    return totals.withColumn(
-        "gi_delta", float_round(F.col("gi").cast("double") - F.col("xgi").cast("double"))
-    )
 
 
 def involvement_deltas(
@@ -208,13 +183,17 @@ def involvement_deltas(
     include_current: bool = True,
 ) -> DataFrame:
     """Delta per match only; needs no running totals and no shuffle for them."""
-    rows = history_rows(tables, player_id, last_n, include_current)
-    gi = F.col("goals_scored") + F.col("assists")
-    xgi = numeric_round(F.col("expected_goal_involvements"), 2)
-    return rows.select(
-        "player_id", "fixture_id", "gameweek_id", gi.alias("gi"), xgi.alias("xgi"),
-        float_round(gi.cast("double") - xgi.cast("double")).alias("gi_delta"),
-    )
+    return _involvement_rows(history_rows(tables, player_id, last_n, include_current))
+
+
+def _involvement_rows(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
+        "player_id",
+        "fixture_id",
+        "gameweek_id",
+        "goals_scored + assists as gi",
+        "round(expected_goal_involvements, 2) as xgi",
+    ).selectExpr("*", f"{float_round('cast(gi as double) - cast(xgi as double)')} as gi_delta")
 
 
 def delta_bounds(deltas: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Wide expressions fused into one stage give generated methods over 8000 bytes,
+    # which the JVM would only interpret; this lets it compile them.
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     # A hot player, fixture or team is split at the join even when that costs
     # one more shuffle afterwards.
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,18 +33,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def _team_count(spark: SparkSession, sf_dir: str) -> Column:
-    return read(spark, sf_dir, "customer").agg(F.count(F.lit(1))).scalar()
+def _with_team_count(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Adds the number of teams, as a scalar subquery."""
+    teams = read(spark, sf_dir, "customer").agg(F.count(F.lit(1))).scalar()
+    return df.withColumn("team_count", teams)
 
 
 def raw_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(
-        (key + 1).alias("id"),
-        (key * 3 + 100).alias("code"),
-        F.col("c_name").alias("name"),
-        F.concat(F.lit("T"), F.lpad((key + 1).cast("string"), 6, "0")).alias("short_name"),
-        (key % 5 + 1).cast("int").alias("strength"),
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey + 1 as id",
+        "c_custkey * 3 + 100 as code",
+        "c_name as name",
+        "concat('T', lpad(c_custkey + 1, 6, '0')) as short_name",
+        "cast(c_custkey % 5 + 1 as int) as strength",
     )
 
 
@@ -52,22 +53,20 @@ def raw_gameweeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 38 rows by construction (the group key is ``% 38``), which is the
     proven bound behind the broadcast hint; the planner could only see the size of
     the orders below the aggregate."""
-    week = (F.col("o_orderkey") % GAMEWEEKS).cast("int")
     weeks = (
         read(spark, sf_dir, "orders")
-        .groupBy(week.alias("week"))
+        .groupBy(F.expr(f"cast(o_orderkey % {GAMEWEEKS} as int) as week"))
         .agg(F.min("o_orderdate").alias("deadline_time"))
     )
-    week = F.col("week")
     return F.broadcast(
-        weeks.select(
-            (week + 1).alias("id"),
-            F.concat(F.lit("Gameweek "), (week + 1).cast("string")).alias("name"),
+        weeks.selectExpr(
+            "week + 1 as id",
+            "concat('Gameweek ', week + 1) as name",
             "deadline_time",
-            (week < FINISHED_GAMEWEEKS).alias("finished"),
-            (week == FINISHED_GAMEWEEKS - 1).alias("is_previous"),
-            (week == FINISHED_GAMEWEEKS).alias("is_current"),
-            (week == FINISHED_GAMEWEEKS + 1).alias("is_next"),
+            f"week < {FINISHED_GAMEWEEKS} as finished",
+            f"week = {FINISHED_GAMEWEEKS - 1} as is_previous",
+            f"week = {FINISHED_GAMEWEEKS} as is_current",
+            f"week = {FINISHED_GAMEWEEKS + 1} as is_next",
         )
     )
 
@@ -78,74 +77,63 @@ def raw_fixtures(
     """``orders`` may be given instead of read, e.g. a batch of a stream."""
     if orders is None:
         orders = read(spark, sf_dir, "orders")
-    key, home = F.col("o_orderkey"), F.col("o_custkey")
-    week = key % GAMEWEEKS
-    scheduled = key % 97 != 5
-    played = scheduled & (week < FINISHED_GAMEWEEKS)
-    return orders.select(
-        (key + 1).alias("id"),
-        (key * 7 + 1).alias("code"),
-        F.when(scheduled, (week + 1).cast("int")).alias("event"),
-        F.col("o_orderdate").alias("kickoff_time"),
-        (played | (scheduled & (week == FINISHED_GAMEWEEKS) & (key % 4 == 0))).alias("finished"),
-        (home + 1).alias("team_h"),
-        ((home + 1 + key % 17) % _team_count(spark, sf_dir) + 1).alias("team_a"),
-        F.when(played, (key % 5).cast("int")).alias("team_h_score"),
-        F.when(played, (key % 3).cast("int")).alias("team_a_score"),
-        (home % 5 + 1).cast("int").alias("team_h_difficulty"),
-        (key % 4 + 2).cast("int").alias("team_a_difficulty"),
+    week = f"o_orderkey % {GAMEWEEKS}"
+    scheduled = "o_orderkey % 97 <> 5"
+    played = f"({scheduled} and {week} < {FINISHED_GAMEWEEKS})"
+    current = f"({scheduled} and {week} = {FINISHED_GAMEWEEKS} and o_orderkey % 4 = 0)"
+    return _with_team_count(spark, sf_dir, orders).selectExpr(
+        "o_orderkey + 1 as id",
+        "o_orderkey * 7 + 1 as code",
+        f"case when {scheduled} then cast({week} + 1 as int) end as event",
+        "o_orderdate as kickoff_time",
+        f"{played} or {current} as finished",
+        "o_custkey + 1 as team_h",
+        "(o_custkey + 1 + o_orderkey % 17) % team_count + 1 as team_a",
+        f"case when {played} then cast(o_orderkey % 5 as int) end as team_h_score",
+        f"case when {played} then cast(o_orderkey % 3 as int) end as team_a_score",
+        "cast(o_custkey % 5 + 1 as int) as team_h_difficulty",
+        "cast(o_orderkey % 4 + 2 as int) as team_a_difficulty",
     )
 
 
 def raw_players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-
-    def text(step: int) -> Column:
-        return F.concat_ws(".", (key * step % 89).cast("string"), (key % 10).cast("string"))
-
     others = [name for name in PLAYER_NUMERIC if name != "selected_by_percent"]
-    return read(spark, sf_dir, "part").select(
-        (key + 1).alias("id"),
-        (key % 4 + 1).cast("int").alias("element_type"),
-        (key % _team_count(spark, sf_dir) + 1).alias("team"),
-        F.col("p_brand").alias("first_name"),
-        F.col("p_type").alias("second_name"),
-        F.col("p_name").alias("web_name"),
-        (size + 40).alias("now_cost"),
-        F.concat_ws(".", size.cast("string"), (key % 10).cast("string")).alias("selected_by_percent"),
-        *[text(step).alias(name) for step, name in enumerate(others, start=3)],
+    return _with_team_count(spark, sf_dir, read(spark, sf_dir, "part")).selectExpr(
+        "p_partkey + 1 as id",
+        "cast(p_partkey % 4 + 1 as int) as element_type",
+        "p_partkey % team_count + 1 as team",
+        "p_brand as first_name",
+        "p_type as second_name",
+        "p_name as web_name",
+        "p_size + 40 as now_cost",
+        "concat(p_size, '.', p_partkey % 10) as selected_by_percent",
+        *[
+            f"concat(p_partkey * {step} % 89, '.', p_partkey % 10) as {name}"
+            for step, name in enumerate(others, start=3)
+        ],
     )
 
 
 def _match_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (part, order). The aggregate pre-combines map-side and its key is
     the pair, so neither a hot part nor a hot order ends up in one task."""
-    order = F.col("l_orderkey")
     return (
         read(spark, sf_dir, "lineitem")
-        .filter((order % 97 != 5) & (order % GAMEWEEKS <= FINISHED_GAMEWEEKS))
+        .filter(f"l_orderkey % 97 <> 5 and l_orderkey % {GAMEWEEKS} <= {FINISHED_GAMEWEEKS}")
         .groupBy("l_partkey", "l_orderkey")
         .agg(
-            F.max("l_quantity").cast("int").alias("q"),
-            F.round(F.max("l_discount") * 100).cast("int").alias("d"),
-            F.round(F.max("l_tax") * 100).cast("int").alias("t"),
-            F.max("l_linenumber").alias("ln"),
-            F.max("l_shipdate").alias("ship"),
+            F.expr("cast(max(l_quantity) as int) as q"),
+            F.expr("cast(round(max(l_discount) * 100) as int) as d"),
+            F.expr("cast(round(max(l_tax) * 100) as int) as t"),
+            F.expr("max(l_linenumber) as ln"),
+            F.expr("max(l_shipdate) as ship"),
         )
     )
 
 
-def _hundredths(value: Column) -> Column:
+def _hundredths(value: str) -> str:
     """Whole hundredths as decimal text: 45 -> ``0.45``."""
-    return F.concat_ws(
-        ".",
-        F.floor(value / F.lit(100)).cast("string"),
-        F.lpad((value % 100).cast("string"), 2, "0"),
-    )
-
-
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+    return f"concat(({value}) div 100, '.', lpad(({value}) % 100, 2, '0'))"
 
 
 def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,52 +142,51 @@ def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     Enough for every per-player aggregate, which then shuffles the fact only to
     group it and to test its fixture.
     """
-    q, d, t, ln = F.col("q"), F.col("d"), F.col("t"), F.col("ln")
-    minutes = F.when(q <= 10, 0).when(q <= 45, q * 2).otherwise(90)
-    xg = F.when(q % 25 != 7, d * t * 3)
-    xa = d * 11
-    xgc = t * 40 + d * 3
-    goals = F.when(ln >= 6, ln - 5).otherwise(0)
-    m = F.col("minutes")
-    dotted = lambda a, b: F.concat_ws(".", a.cast("string"), b.cast("string"))
+
+    def flag(condition: str) -> str:
+        return f"case when {condition} then 1 else 0 end"
+
+    goals = "case when ln >= 6 then ln - 5 else 0 end"
     return (
         _match_base(spark, sf_dir)
-        .withColumn("minutes", minutes)
-        .select(
-            (F.col("l_partkey") + 1).alias("element"),
-            (F.col("l_orderkey") + 1).alias("fixture"),
-            (F.col("l_orderkey") % GAMEWEEKS + 1).cast("int").alias("round"),
-            (ln % 2 == 1).alias("was_home"),
-            F.col("ship").alias("kickoff_time"),
-            m,
-            _flag(m >= 60).alias("starts"),
-            goals.alias("goals_scored"),
-            _flag(d >= 9).alias("assists"),
-            _flag((m >= 60) & (t % 5 == 0)).alias("clean_sheets"),
-            (t % 5).alias("goals_conceded"),
-            _flag((d == 10) & (t == 3)).alias("own_goals"),
-            _flag((ln == 7) & (t == 1)).alias("penalties_saved"),
-            _flag((ln == 7) & (t == 2)).alias("penalties_missed"),
-            _flag(t == 8).alias("yellow_cards"),
-            _flag((t == 7) & (d == 0)).alias("red_cards"),
-            d.alias("saves"),
-            ((q + d) % 4).alias("bonus"),
-            (q + d).alias("bps"),
-            (q % 16).alias("defensive_contribution"),
-            (
-                F.when(m >= 60, 2).when(m >= 1, 1).otherwise(0)
-                + (q + d) % 4
-                + goals * 4
-                + _flag(d >= 9) * 3
-            ).alias("total_points"),
-            F.when(xg.isNotNull(), _hundredths(xg)).alias("expected_goals"),
-            _hundredths(xa).alias("expected_assists"),
-            _hundredths(F.coalesce(xg, F.lit(0)) + xa).alias("expected_goal_involvements"),
-            _hundredths(xgc).alias("expected_goals_conceded"),
-            dotted(q, t).alias("influence"),
-            dotted(d, t).alias("creativity"),
-            dotted(t, d % 10).alias("threat"),
-            dotted(ln, t).alias("ict_index"),
+        .selectExpr(
+            "*",
+            "case when q <= 10 then 0 when q <= 45 then q * 2 else 90 end as minutes",
+            "case when q % 25 = 7 then null else d * t * 3 end as xg",
+            "d * 11 as xa",
+            "t * 40 + d * 3 as xgc",
+        )
+        .selectExpr(
+            "l_partkey + 1 as element",
+            "l_orderkey + 1 as fixture",
+            f"cast(l_orderkey % {GAMEWEEKS} + 1 as int) as round",
+            "ln % 2 = 1 as was_home",
+            "ship as kickoff_time",
+            "minutes",
+            f"{flag('minutes >= 60')} as starts",
+            f"{goals} as goals_scored",
+            f"{flag('d >= 9')} as assists",
+            f"{flag('minutes >= 60 and t % 5 = 0')} as clean_sheets",
+            "t % 5 as goals_conceded",
+            f"{flag('d = 10 and t = 3')} as own_goals",
+            f"{flag('ln = 7 and t = 1')} as penalties_saved",
+            f"{flag('ln = 7 and t = 2')} as penalties_missed",
+            f"{flag('t = 8')} as yellow_cards",
+            f"{flag('t = 7 and d = 0')} as red_cards",
+            "d as saves",
+            "(q + d) % 4 as bonus",
+            "q + d as bps",
+            "q % 16 as defensive_contribution",
+            "case when minutes >= 60 then 2 when minutes >= 1 then 1 else 0 end"
+            f" + (q + d) % 4 + {goals} * 4 + {flag('d >= 9')} * 3 as total_points",
+            f"{_hundredths('xg')} as expected_goals",
+            f"{_hundredths('xa')} as expected_assists",
+            f"{_hundredths('coalesce(xg, 0) + xa')} as expected_goal_involvements",
+            f"{_hundredths('xgc')} as expected_goals_conceded",
+            "concat(q, '.', t) as influence",
+            "concat(d, '.', t) as creativity",
+            "concat(t, '.', d % 10) as threat",
+            "concat(ln, '.', t) as ict_index",
         )
     )
 
@@ -210,27 +197,24 @@ def raw_player_gameweek_stats(spark: SparkSession, sf_dir: str, price: bool = Tr
     of the plan finds the rows placed by fixture already."""
     rows = match_measures(spark, sf_dir)
     if price:
-        part = read(spark, sf_dir, "part").select(
-            (F.col("p_partkey") + 1).alias("element"), (F.col("p_size") + 40).alias("value")
-        )
-        rows = rows.join(part, "element")
-    match = raw_fixtures(spark, sf_dir).select(
-        F.col("id").alias("fixture"), "team_h", "team_a", "team_h_score", "team_a_score"
+        part = read(spark, sf_dir, "part")
+        rows = rows.join(part.selectExpr("p_partkey + 1 as element", "p_size + 40 as value"), "element")
+    match = raw_fixtures(spark, sf_dir).selectExpr(
+        "id as fixture", "team_h", "team_a", "team_h_score", "team_a_score"
     )
-    opponent = F.when(F.col("was_home"), F.col("team_a")).otherwise(F.col("team_h"))
     return (
         rows.join(match, "fixture")
-        .withColumn("opponent_team", opponent)
+        .selectExpr("*", "case when was_home then team_a else team_h end as opponent_team")
         .drop("team_h", "team_a")
     )
 
 
 def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log stand-in: an event of type ``error`` is a run that never finished."""
-    return read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("started_at"),
-        F.when(F.col("event_type") != "error", F.col("ts")).alias("finished_at"),
+    return read(spark, sf_dir, "events").selectExpr(
+        "event_id as id",
+        "ts as started_at",
+        "case when event_type <> 'error' then ts end as finished_at",
     )
 
 
