@@ -177,9 +177,7 @@ def match_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def validate_rejects(spark: SparkSession, sf: str) -> DataFrame:
     checked = contract.validate(match_records(spark, sf), "player_gameweek_stats")
-    return contract.rejects(checked, "player_gameweek_stats").withColumn(
-        "reasons", F.array_join("reasons", "; ")
-    )
+    return contract.rejects(checked, "player_gameweek_stats")
 
 
 def validated_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Input contract: typed records, defaults, and every failure of every record.
 
-A record is parsed once into a variant. Kinds are checked leniently, as the
-contract does: whole numbers may come as text or as ``7.0``, flags as 0/1 or
-``"true"``, but text must be text. A default fills a missing key only; an explicit
-null passes only where the field is optional.
-
-Two lists are kept apart: ``errors`` (the contract) and ``table_errors`` (what the
-table would refuse: null in a not-null column, a value of the wrong type).
+Kinds are checked leniently, as the contract does: whole numbers may come as text
+or as ``7.0``, flags as 0/1 or ``"true"``, but text must be text. A default fills a
+missing key only; an explicit null passes only where the field is optional.
+
+Two texts are kept apart: ``errors`` (the contract) and ``table_errors`` (what the
+table would refuse: null in a not-null column, a value of the wrong type). Both are
+empty for a good record.
+
+One pass over the JSON gives the text of every key, which settles almost every
+value. Whether a key is missing or null, and the JSON kind of a value, are looked up
+only where the text leaves them open. A value the contract already refused is not
+reported again for the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,170 +25,170 @@ from touchline.sources.schemas import Field, fields
 # Texts that count as a flag.
 TRUE_TEXTS = ["1", "true", "t", "yes", "y", "on"]
 FALSE_TEXTS = ["0", "false", "f", "no", "n", "off"]
-_WHOLE_TEXT = r"^\s*[+-]?\d+(\.0+)?\s*$"
-
-_RECORD = "_v"
-
-# Columns that hold nested JSON.
-JSON_COLUMNS = ["overrides", "chip_plays", "top_element_info", "stats", "scout_risks"]
+_ZERO_FRACTION = r"\\.0+\\s*$"
 
 
 class ContractError(ValueError):
     """Raised once for a whole load, after all records were checked."""
 
 
-class _Cell:
-    """One key of the record, as two columns: the JSON kind and the value as text.
+def _listed(texts: list[str]) -> str:
+    return "(" + ", ".join(f"'{text}'" for text in texts) + ")"
+
+
+class _Key:
+    """SQL about one key of a record: its text, whether it was given, its JSON kind.
 
-    ``extract`` gives both from the parsed record; they are projected once, and all
-    checks and casts read the projected columns.
+    ``_kinds`` lists the keys of a record with their JSON kinds: `` id: BIGINT, ...,``.
+    Two flags per record save looking into it for almost every key: ``_has_nulls``
+    (some key is null) and ``_has_flips`` (some text field is not text).
     """
 
     def __init__(self, field: Field):
         self.field = field
-        self.kind = F.col(f"_kind_{field.name}")
-        self.text = F.col(f"_text_{field.name}")
-        self.missing = self.kind.isNull()
-        self.is_null = F.coalesce(self.kind == "VOID", F.lit(False))
-        self.given = F.coalesce(self.kind != "VOID", F.lit(False))
-        self.is_number = self.kind.isin("BIGINT", "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL")
-
-    def extract(self) -> list[Column]:
-        name = self.field.name
-        part = F.try_variant_get(F.col(_RECORD), f"$.{name}", "variant")
-        if name in JSON_COLUMNS:
-            text = F.when(~F.is_variant_null(part), F.to_json(part))
-        else:
-            text = F.try_variant_get(F.col(_RECORD), f"$.{name}", "string")
-        return [F.schema_of_variant(part).alias(f"_kind_{name}"), text.alias(f"_text_{name}")]
-
-    def kind_ok(self) -> Column:
-        number = self.text.try_cast("double")
-        if self.field.kind == "any":
-            return F.lit(True)
-        if self.field.kind == "str":
-            return self.kind == "STRING"
-        if self.field.kind == "int":
+        self.name = field.name
+        self.text = f"`_text_{field.name}`"
+        # used for an absent text only, where a listed key can only be a null
+        self.listed = f"(_has_nulls and contains(_kinds, ' {field.name}: VOID,'))"
+
+    def is_kind(self, kind: str) -> str:
+        return f"contains(_kinds, ' {self.name}: {kind},')"
+
+    def typed(self) -> str:
+        """Value in the table's type, null if it has none."""
+        ddl = self.field.type.simpleString()
+        if isinstance(self.field.type, T.StringType):
+            return self.text
+        if isinstance(self.field.type, T.BooleanType):
             return (
-                self.kind.isin("BIGINT", "BOOLEAN")
-                | (self.is_number & (number == F.floor(number)))
-                | ((self.kind == "STRING") & self.text.rlike(_WHOLE_TEXT))
+                f"case when lower({self.text}) in {_listed(TRUE_TEXTS)} then true"
+                f" when lower({self.text}) in {_listed(FALSE_TEXTS)} then false"
+                f" when {self.text} = '1.0' and not {self.is_kind('STRING')} then true"
+                f" when {self.text} = '0.0' and not {self.is_kind('STRING')} then false end"
             )
-        return (
-            (self.kind == "BOOLEAN")
-            | (self.is_number & number.isin(0.0, 1.0))
-            | (
-                (self.kind == "STRING")
-                & F.lower(self.text).isin(*TRUE_TEXTS, *FALSE_TEXTS)
+        if isinstance(self.field.type, (T.IntegerType, T.LongType)):
+            # plain digits first; then a flag, or whole text such as 7.0
+            return (
+                f"coalesce(try_cast({self.text} as {ddl}), case when {self.is_kind('BOOLEAN')}"
+                f" then if({self.text} = 'true', 1, 0)"
+                f" else try_cast(regexp_replace({self.text}, '{_ZERO_FRACTION}', '') as {ddl}) end)"
             )
+        return f"try_cast({self.text} as {ddl})"
+
+    def value(self) -> str:
+        default = self.field.default
+        if default is None:
+            return f"{self.typed()} as `{self.name}`"
+        ddl = self.field.type.simpleString()
+        filled = "current_timestamp()" if default == "now" else f"cast('{default}' as {ddl})"
+        return (
+            f"case when {self.text} is null and not {self.listed} then {filled}"
+            f" else {self.typed()} end as `{self.name}`"
         )
 
-    def typed(self) -> Column:
-        """Value in the table's type, null if it has none."""
-        target = self.field.type
-        if isinstance(target, T.StringType):
-            return self.text
-        if isinstance(target, T.BooleanType):
-            text = F.lower(self.text)
-            return (
-                F.when(self.is_number, self.text.try_cast("double") == 1.0)
-                .when(text.isin(*TRUE_TEXTS), True)
-                .when(text.isin(*FALSE_TEXTS), False)
+    def contract_error(self) -> str | None:
+        """What is wrong with the key, null if nothing. For numbers and flags the
+        typed value says whether the text was a valid one."""
+        field = self.field
+        if field.kind is None or field.kind == "any":
+            return None
+        wrong = f"_has_flips and not {self.is_kind('STRING')}" if field.kind == "str" else f"`{self.name}` is null"
+        cases = [
+            f"when {self.text} is not null then case when {wrong}"
+            f" then concat('{self.name}: not a valid {field.kind}: ', {self.text}) end"
+        ]
+        if not field.optional:
+            cases.append(f"when {self.listed} then '{self.name}: null is not a valid {field.kind}'")
+            if field.required:
+                cases.append(f"else '{self.name}: field required'")
+        return f"case {' '.join(cases)} end"
+
+    def table_error(self) -> str | None:
+        """Why the table would refuse what the contract lets through, null if it
+        would not."""
+        field = self.field
+        settled = field.kind in ("int", "bool")
+        cases = []
+        if not (settled or isinstance(field.type, T.StringType)):
+            stored = f"{self.name}: cannot be stored as {field.type.simpleString()}"
+            cases.append(
+                f"when {self.text} is not null then case when `{self.name}` is null then '{stored}' end"
             )
-        if isinstance(target, (T.IntegerType, T.LongType)):
-            flag = F.when(self.kind == "BOOLEAN", (self.text == "true").cast(target))
-            return F.coalesce(flag, F.trim(self.text).try_cast("decimal(38,6)").try_cast(target))
-        return self.text.try_cast(target)
-
-
-def _message(name: str, reason: str) -> Column:
-    return F.lit(f"{name}: {reason}")
-
-
-def _contract_error(cell: _Cell) -> Column | None:
-    field = cell.field
-    if field.kind is None:
-        return None
-    checks = []
-    if field.required:
-        checks.append((cell.missing, _message(field.name, "field required")))
-    if not (field.optional or field.kind == "any"):
-        checks.append((cell.is_null, _message(field.name, f"null is not a valid {field.kind}")))
-    wrong = cell.given & ~F.coalesce(cell.kind_ok(), F.lit(False))
-    checks.append((wrong, F.concat(_message(field.name, f"not a valid {field.kind}: "), cell.kind)))
-    chain = F
-    for condition, message in checks:
-        chain = chain.when(condition, message)
-    return chain
-
-
-def _table_error(cell: _Cell) -> Column:
-    field = cell.field
-    stored = f"cannot be stored as {field.type.simpleString()}"
-    chain = F.when(cell.given & F.col(field.name).isNull(), _message(field.name, stored))
-    if field.not_null:
-        absent = cell.is_null if field.default is not None else cell.is_null | cell.missing
-        chain = chain.when(absent, _message(field.name, "null in a not-null column"))
-    return chain
-
-
-def _typed_or_default(cell: _Cell) -> Column:
-    value = cell.typed()
-    if cell.field.default is not None:
-        value = F.when(cell.missing, cell.field.default_value()).otherwise(value)
-    return value.alias(cell.field.name)
+        if field.not_null and (field.kind is None or field.optional):
+            absent = f"{self.text} is null"
+            if field.default is not None:
+                absent = f"{absent} and {self.listed}"
+            cases.append(f"when {absent} then '{self.name}: null in a not-null column'")
+        return f"case {' '.join(cases)} end" if cases else None
+
+
+def _joined(errors: list[str | None]) -> str:
+    found = [error for error in errors if error is not None]
+    return f"concat_ws('; ', {', '.join(found)})" if found else "''"
+
+
+# The kinds of a record come as ``OBJECT<id: BIGINT, name: STRING, ...>``; the kinds
+# inside nested values are cut out, innermost first.
+_KINDS = "schema_of_variant(try_parse_json(_record))"
+_NESTED = "<[^<>]*>"
+_TOP_LEVEL = (
+    f"case when {{0}} like 'OBJECT<%<%' then regexp_replace(regexp_replace(regexp_replace("
+    f"substr({{0}}, 8), '{_NESTED}', ''), '{_NESTED}', ''), '{_NESTED}', '')"
+    f" when {{0}} like 'OBJECT<%' then substr({{0}}, 8) end"
+)
 
 
 def validate(records: DataFrame, entity: str) -> DataFrame:
     """Typed columns of ``entity`` beside the record, its place and its failures.
 
-    Nothing is dropped: ``accepted`` and ``rejects`` pick from the result. The steps
-    are separate projections so that the record is parsed once and each key is
-    extracted once.
+    Nothing is dropped: ``accepted`` and ``rejects`` pick from the result.
     """
-    cells = [_Cell(field) for field in fields(entity)]
+    keys = [_Key(field) for field in fields(entity)]
     place = [f"_{name}" for name in records.columns]
-    parsed = records.toDF(*place).withColumn(_RECORD, F.try_parse_json("_record"))
-    is_object = F.coalesce(F.schema_of_variant(_RECORD).startswith("OBJECT"), F.lit(False))
-    extracted = parsed.select(
-        *place, is_object.alias("_is_object"), *[c for cell in cells for c in cell.extract()]
+    texts = F.json_tuple("_record", *[key.name for key in keys]).alias(
+        *[f"_text_{key.name}" for key in keys]
     )
-    typed = extracted.select("*", *[_typed_or_default(cell) for cell in cells])
-
-    errors = [error for cell in cells if (error := _contract_error(cell)) is not None]
-    table_errors = [_table_error(cell) for cell in cells]
-    not_object = F.array(F.lit("not a JSON object"))
-    none = F.array().cast("array<string>")
-    checked = F.struct(
-        *[cell.field.name for cell in cells],
-        F.when(F.col("_is_object"), F.array_compact(F.array(*errors)))
-        .otherwise(not_object)
-        .alias("errors"),
-        F.when(F.col("_is_object"), F.array_compact(F.array(*table_errors)))
-        .otherwise(none)
-        .alias("table_errors"),
+    texts_only = "|".join(key.name for key in keys if key.field.kind == "str")
+    extracted = (
+        records.toDF(*place)
+        .selectExpr(*place, f"{_KINDS} as _schema")
+        .selectExpr(*place, f"concat(' ', rtrim('>', {_TOP_LEVEL.format('_schema')}), ',') as _kinds")
+        .selectExpr(
+            *place,
+            "_kinds",
+            "contains(_kinds, ': VOID,') as _has_nulls",
+            f"_kinds rlike ' ({texts_only}): (?!STRING,|VOID,)' as _has_flips",
+        )
+        .select(*place, "_kinds", "_has_nulls", "_has_flips", texts)
     )
+    typed = extracted.selectExpr("*", *[key.value() for key in keys])
+    errors = _joined([key.contract_error() for key in keys])
+    table_errors = _joined([key.table_error() for key in keys])
+    checked = [
+        *[f"`{key.name}`" for key in keys],
+        f"case when _kinds is null then 'not a JSON object' else {errors} end as errors",
+        f"case when _kinds is null then '' else {table_errors} end as table_errors",
+    ]
     # One output row per record. As the output of a generator the failures are
-    # computed once: a filter on them is not pushed down and evaluated again there.
-    return typed.select(*place, F.inline(F.array(checked)))
+    # computed once: a filter on them is not pushed down and computed again there.
+    return typed.selectExpr(*place, f"inline(array(struct({', '.join(checked)})))")
 
 
 def accepted(validated: DataFrame, entity: str) -> DataFrame:
     """Typed rows of records without failures."""
-    return validated.filter((F.size("errors") == 0) & (F.size("table_errors") == 0)).select(
+    return validated.filter("errors = '' and table_errors = ''").select(
         *[f.name for f in fields(entity)]
     )
 
 
 def rejects(validated: DataFrame, label: str) -> DataFrame:
     """One row per failing record: label, place, id as given and all reasons."""
-    reasons = F.concat("errors", "table_errors")
-    return validated.filter(F.size(reasons) > 0).select(
-        F.lit(label).alias("label"),
-        F.col("_doc").alias("doc"),
-        F.col("_pos").alias("row"),
-        F.coalesce(F.get_json_object("_record", "$.id"), F.lit("?")).alias("id"),
-        reasons.alias("reasons"),
+    return validated.filter("errors <> '' or table_errors <> ''").selectExpr(
+        f"'{label}' as label",
+        "_doc as doc",
+        "_pos as row",
+        "coalesce(get_json_object(_record, '$.id'), '?') as id",
+        "concat_ws('; ', nullif(errors, ''), nullif(table_errors, '')) as reasons",
     )
 
 
@@ -193,7 +198,7 @@ def require_valid(rejected: DataFrame, shown: int = 20) -> None:
     sample = rejected.orderBy("label", "doc", "row").limit(shown).collect()
     if not sample:
         return
-    lines = [f"  [{r.label}] row {r.row} id={r.id}: {'; '.join(r.reasons)}" for r in sample]
+    lines = [f"  [{r.label}] row {r.row} id={r.id}: {r.reasons}" for r in sample]
     raise ContractError(
         f"Validation failed for {rejected.count()} row(s):\n" + "\n".join(lines)
     )
