@@ -32,12 +32,17 @@ def build_session(master: str | None = None, app: str = "touchline", **extra: st
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Folder for written state, under the shared folder the cluster names in
     ``spark.checkpoint.dir``. Only a session without that setting (tests on one
-    machine) gets a temporary folder of its own."""
+    machine) gets a temporary folder, one per application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="touchline-")
+        root = _LOCAL_ROOTS[application]
     return os.path.join(root, name)
