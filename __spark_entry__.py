@@ -166,13 +166,16 @@ def match_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(variant == 8, entry("referee", F.lit("null"))),
     ]
     body = F.concat_ws(",", *entries)
-    return rows.withColumn("_base", base).select(
+    texts = rows.withColumn("_base", base).select(
         F.lpad(F.col("element").cast("string"), 12, "0").alias("doc"),
         F.col("fixture").alias("pos"),
         F.concat(F.expr("left(_base, length(_base) - 1)"), F.lit(","), body, F.lit("}")).alias(
             "record"
         ),
     )
+    # Landed records come out of a generator too; it keeps the text from being built
+    # again in every filter on it.
+    return texts.selectExpr("inline(array(struct(doc, pos, record)))")
 
 
 def validate_rejects(spark: SparkSession, sf: str) -> DataFrame:
