@@ -166,16 +166,19 @@ def match_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(variant == 8, entry("referee", F.lit("null"))),
     ]
     body = F.concat_ws(",", *entries)
-    texts = rows.withColumn("_base", base).select(
+    return rows.withColumn("_base", base).select(
         F.lpad(F.col("element").cast("string"), 12, "0").alias("doc"),
         F.col("fixture").alias("pos"),
         F.concat(F.expr("left(_base, length(_base) - 1)"), F.lit(","), body, F.lit("}")).alias(
             "record"
         ),
     )
-    # Landed records come out of a generator too; it keeps the text from being built
-    # again in every filter on it.
-    return texts.selectExpr("inline(array(struct(doc, pos, record)))")
+
+
+def _landed(records: DataFrame) -> DataFrame:
+    """Landed records come out of a generator; it keeps a filter on the text from
+    building the text again."""
+    return records.selectExpr("inline(array(struct(doc, pos, record)))")
 
 
 def validate_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,12 +203,12 @@ def open_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def field_drift(spark: SparkSession, sf: str) -> DataFrame:
     known = drift.default_snapshot(spark, "player_gameweek_stats")
-    return drift.new_fields(match_records(spark, sf), known)
+    return drift.new_fields(_landed(match_records(spark, sf)), known)
 
 
 def field_drift_report(spark: SparkSession, sf: str) -> DataFrame:
     known = drift.default_snapshot(spark, "player_gameweek_stats")
-    return drift.drift_report(match_records(spark, sf), known)
+    return drift.drift_report(_landed(match_records(spark, sf)), known)
 
 
 def snapshot_keys(spark: SparkSession, sf: str) -> DataFrame:
