@@ -7,6 +7,7 @@ across engines.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -30,6 +31,12 @@ from touchline.sources.schemas import conform  # noqa: E402
 from touchline.sources.store import TableStore  # noqa: E402
 from touchline.streaming.landing_stream import load_rows  # noqa: E402
 
+#: The training-data operators and their pipeline stand apart; without them the rest works.
+WITH_LLM = all(importlib.util.find_spec(name) for name in ("touchline.llm", "corpus_pipeline"))
+if WITH_LLM:
+    import corpus_pipeline
+    from touchline.llm import queries as llm_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -312,7 +319,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     history = lambda t, **k: hist.player_history(t, **k)
-    return {
+    own = {
         "raw_teams": data.raw_teams,
         "raw_gameweeks": data.raw_gameweeks,
         "raw_fixtures": data.raw_fixtures,
@@ -388,7 +395,15 @@ def queries() -> dict[str, Query]:
         "run_age_label": run_age_label,
         "stream_fixtures": stream_fixtures,
     }
+    if WITH_LLM:
+        own |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return own
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    own = oracle.statements()
+    if WITH_LLM:
+        own |= llm_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            own["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return own

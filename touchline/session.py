@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,17 +31,11 @@ def build_session(master: str | None = None, app: str = "touchline", **extra: st
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """Folder for written state, under the shared folder the cluster names in
-    ``spark.checkpoint.dir``. Only a session without that setting (tests on one
-    machine) gets a temporary folder, one per application."""
+    """Folder for written state that all executors see: under the shared folder the
+    cluster names in ``spark.checkpoint.dir``, and where that is unset, as in tests on
+    one machine, under the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        application = spark.sparkContext.applicationId
-        if application not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="touchline-")
-        root = _LOCAL_ROOTS[application]
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "touchline-state")
     return os.path.join(root, name)
