@@ -34,9 +34,15 @@ from touchline.streaming.landing_stream import load_rows  # noqa: E402
 #: The training-data operators and their pipeline stand apart; without them the rest works.
 WITH_LLM = all(importlib.util.find_spec(name) for name in ("touchline.llm", "corpus_pipeline"))
 if WITH_LLM:
+    from pyspark import cloudpickle
+
     import corpus_pipeline
+    import touchline
     from touchline.llm import queries as llm_queries
 
+    # Functions go to the executors with their code, so these need no copy of the package.
+    cloudpickle.register_pickle_by_value(touchline)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
