@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat_format, mixing, sharding, token_counts, url_filter, warc
+from touchline.llm import (
+    chat_format,
+    decontamination,
+    mixing,
+    near_duplicates,
+    quality,
+    sharding,
+    token_counts,
+    url_filter,
+    warc,
+)
 from touchline.llm.tables import byte_length, read
 
 # Target weights: whole shares of 100. src0 is the large crawl; the rest shares what is left.
@@ -24,6 +34,11 @@ RULES = [
 BAD_HOST_WORDS = ["spam", "pills", "casino", "bets", "adult", "ads"]
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    items = decontamination.question_and_answer(read(spark, sf, "benchmark"))
+    return decontamination.contaminated(read(spark, sf, "documents"), items)
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf, "documents"))
 
@@ -61,6 +76,10 @@ def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf, "documents"), words=3, percent=85)
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "documents").select(
         "doc_id",
@@ -74,6 +93,11 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return quality.with_quality(docs, quality.train(docs, read(spark, sf, "labels")), keep=["doc_id"])
+
+
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read(spark, sf, "pages")))
 
@@ -90,10 +114,13 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
 }
@@ -104,6 +131,32 @@ _WEIGHTS = f"[{', '.join(str(n) for n in [*SHARES.values(), REST])}]"
 _PERIOD = sum(SHARES.values()) + REST
 
 ORACLE_SQL = {
+    "op6_near_duplicates": r"""
+        with recursive texts as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') as w from documents),
+        sets as (
+            select doc_id, list_distinct(case
+                when len(w) = 0 then []
+                when len(w) < 3 then [array_to_string(w, ' ')]
+                else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) as s from texts),
+        counted as (select doc_id, len(s)::bigint as n from sets),
+        owned as (select doc_id, unnest(s) as x from sets),
+        links as (
+            select a.doc_id as a, b.doc_id as b
+            from owned a join owned b on a.x = b.x and a.doc_id < b.doc_id
+            join counted ca on ca.doc_id = a.doc_id join counted cb on cb.doc_id = b.doc_id
+            group by a.doc_id, b.doc_id, ca.n, cb.n
+            having 100 * count(*) >= 85 * (ca.n + cb.n - count(*))),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach(a, b) as (
+            select doc_id, doc_id from documents
+            union
+            select r.a, l.b from reach r join both_ways l on l.a = r.b)
+        select c.doc_id, c.n as n_shingles, min(r.b) as component_id, c.doc_id = min(r.b) as kept
+        from counted c join reach r on r.a = c.doc_id group by c.doc_id, c.n
+    """,
     "op4_mixing": f"""
         with recursive given(name, i, share) as (values {_SHARES}),
         sched(t, done, pick) as (
