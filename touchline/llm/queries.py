@@ -12,6 +12,7 @@ from touchline.llm import (
     near_duplicates,
     quality,
     sharding,
+    substring_dedup,
     token_counts,
     url_filter,
     warc,
@@ -34,6 +35,18 @@ RULES = [
 BAD_HOST_WORDS = ["spam", "pills", "casino", "bets", "adult", "ads"]
 
 
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = substring_dedup.without_repeats(read(spark, sf, "documents"))
+    sizes = F.transform("spans", lambda s: s["end"] - s["start"])
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     items = decontamination.question_and_answer(read(spark, sf, "benchmark"))
     return decontamination.contaminated(read(spark, sf, "documents"), items)
@@ -77,7 +90,8 @@ def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates.near_duplicates(read(spark, sf, "documents"), words=3, percent=85)
+    found = near_duplicates.near_duplicates(read(spark, sf, "documents"), words=3, percent=85, bands=40)
+    return found.drop("text_hash")
 
 
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,6 +128,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
@@ -131,6 +146,32 @@ _WEIGHTS = f"[{', '.join(str(n) for n in [*SHARES.values(), REST])}]"
 _PERIOD = sum(SHARES.values()) + REST
 
 ORACLE_SQL = {
+    "op1_substring_dedup": """
+        with texts as (
+            select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+        windows as (
+            select doc_id, i, substr(hx, 2 * i + 1, 100) as s
+            from (select doc_id, hx, unnest(range(greatest(len(hx) // 2 - 49, 0))) as i from texts)),
+        firsts as (select s, min(doc_id) as first from windows group by s),
+        marked as (select w.doc_id, w.i from windows w join firsts f on f.s = w.s and f.first < w.doc_id),
+        stepped as (
+            select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as new
+            from (select distinct doc_id, i from marked)),
+        runs as (
+            select doc_id, min(i) as a, max(i) + 50 as b
+            from (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from stepped)
+            group by doc_id, run),
+        gaps as (
+            select doc_id, a, b, lag(b, 1, 0::bigint) over (partition by doc_id order by a) as until from runs),
+        kept as (
+            select t.doc_id, t.hx, coalesce(sum(g.b - g.a), 0) as n_removed, count(g.a) as n_spans,
+                   coalesce(string_agg(substr(t.hx, 2 * g.until + 1, 2 * (g.a - g.until)), '' order by g.a), '')
+                   || substr(t.hx, 2 * coalesce(max(g.b), 0) + 1) as left_over
+            from texts t left join gaps g on g.doc_id = t.doc_id group by t.doc_id, t.hx)
+        select doc_id, (len(hx) // 2)::bigint as n_bytes, n_removed::bigint as n_removed, n_spans::bigint as n_spans,
+               sha256(unhex(left_over)) as kept_sha256
+        from kept
+    """,
     "op6_near_duplicates": r"""
         with recursive texts as (
             select doc_id, regexp_extract_all(
