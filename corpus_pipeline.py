@@ -59,7 +59,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows in them, follow the position."""
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_tl_row"))
     mixed = mixing.mixed(rows, SHARES, REST)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("_tl_row.*")
+    ordered = mixed.repartitionByRange("position").sortWithinPartitions("position")
+    return ordered.select(*[F.col("_tl_row")[name].alias(name) for name in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
