@@ -68,7 +68,7 @@ def described(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
         ("bangs", data == ord("!")),
         ("digits", DIGITS[data]),
         # upper-case letters of one byte, and those of Latin-1 in two
-        ("upper", UPPER[data] | np.append((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E), [False] * min(1, len(data)))),
+        ("upper", UPPER[data] | _latin_upper(data)),
     ):
         sums[name] = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
 
@@ -126,6 +126,12 @@ def described(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
     return facts, features, points, owner
 
 
+def _latin_upper(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data), bool)
+    out[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+    return out
+
+
 def _seen_before(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the same key occurs earlier with the same owner."""
     out = np.zeros(len(key), bool)
