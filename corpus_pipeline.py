@@ -57,10 +57,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix of their sources: the files, and the
     rows in them, follow the position."""
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_tl_row"))
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_tl_doc"))
     mixed = mixing.mixed(rows, SHARES, REST)
     ordered = mixed.repartitionByRange("position").sortWithinPartitions("position")
-    return ordered.select(*[F.col("_tl_row")[name].alias(name) for name in docs.columns])
+    return ordered.select(*[F.col("_tl_doc")[name].alias(name) for name in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
