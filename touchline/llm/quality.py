@@ -28,11 +28,9 @@ DIGITS = np.zeros(256, bool)
 DIGITS[48:58] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
-ENDS = np.zeros(256, bool)
-ENDS[[ord(c) for c in ".!?:;"]] = True
 FEATURES = [
     "bias", "symbols>.02", "symbols>.1", "symbols>.3", "pipes>.2", "upper>.3", "upper>.6", "bangs>.3",
-    "stutter>.1", "stutter>.4", "words<3", "words<6", "words>15", "no end", "copy of a line", "digits>.2",
+    "stutter>.1", "stutter>.4", "words<3", "words<6", "words>15", "copy of a line", "digits>.2",
     "digits>.5", "long words", "short words",
 ]
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -112,13 +110,12 @@ def described(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
     ratio = {name: count(name) / np.maximum(points, 1) for name in ("symbols", "digits", "upper")}
     per_word = {name: count(name) / words_in for name in ("pipes", "bangs")}
     mean = points / np.maximum(words_in, 1)
-    last_byte = data[ends[first_word + words_in - 1] - 1] if len(line) else np.zeros(0, np.uint8)
     features = np.stack(
         [
             np.ones(len(line), bool),
             ratio["symbols"] > 0.02, ratio["symbols"] > 0.1, ratio["symbols"] > 0.3, per_word["pipes"] > 0.2,
             ratio["upper"] > 0.3, ratio["upper"] > 0.6, per_word["bangs"] > 0.3, stutter > 0.1, stutter > 0.4,
-            words_in < 3, words_in < 6, words_in > 15, ~ENDS[last_byte], copies, ratio["digits"] > 0.2,
+            words_in < 3, words_in < 6, words_in > 15, copies, ratio["digits"] > 0.2,
             ratio["digits"] > 0.5, mean > 12, mean < 2.5,
         ],
         1,
