@@ -6,9 +6,10 @@ passage is a query: all items that score at least a share of their own best scor
 retrieved, and each is verified by the share of the question's and of the answer's
 word n-grams that the passage holds.
 
-Passages that cannot reach any item are ruled out for a whole batch at once: the sum
-of the highest impacts of their terms bounds every score, the bound that WAND's pivot
-test uses. The others go through the postings with pivots and block maxima.
+Items are kept in the order of the score they need and cut into blocks. Passages that
+cannot reach any item of any block are ruled out for many passages at once: the block
+maxima of their terms, added up, bound every score in the block, the bound that
+block-max WAND tests. The others go through the postings with pivots and block maxima.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ K1, B = 1.2, 0.75
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 ITEM_WORDS = 256
-BLOCK_ITEMS = 8
+BLOCK_ITEMS, MOST_BLOCKS = 8, 32
+PASSAGES = 1024  # bounded at once
 STRIDE = 32
 #: Bytes of item texts in one index that goes to all executors.
 INDEX_BYTES = 32 << 20
@@ -61,10 +63,12 @@ class Entry:
 class Index:
     entries: list[Entry]
     vocabulary: np.ndarray = field(init=False)
-    best: np.ndarray = field(init=False)  # highest impact by term
-    postings: list[tuple[list[int], list[float]]] = field(init=False)
-    block_best: list[dict[int, float]] = field(init=False)
+    #: By block and term: entries, their scores, the highest of them.
+    in_block: list[dict[int, tuple[list[int], list[float], float]]] = field(init=False)
     needed: list[float] = field(init=False)
+    block: int = field(init=False)  # items of a block
+    block_bounds: np.ndarray = field(init=False)  # highest impact by term (the last: unknown) and block
+    block_needs: np.ndarray = field(init=False)
 
     def build(self, share: float) -> Index:
         """``share``: of its own best score that a passage must reach."""
@@ -77,68 +81,64 @@ class Index:
             for term, tf in zip(ids.tolist(), n.tolist(), strict=True):
                 counts[term][i] = tf
         total = len(self.entries)
-        self.postings, self.block_best = [], []
+        idf = [math.log(1 + (total - len(counts[t]) + 0.5) / (len(counts[t]) + 0.5)) for t in range(len(self.vocabulary))]
+        impact = lambda t, i, tf: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / mean))
         own = [0.0] * total
+        for term, found in counts.items():
+            for i, tf in found.items():
+                own[i] += impact(term, i, tf)
+        order = sorted(range(total), key=lambda i: (own[i], i))
+        place = {i: p for p, i in enumerate(order)}
+        self.needed = [share * own[i] for i in order]
+        self.block = max(BLOCK_ITEMS, -(-total // MOST_BLOCKS))
+        n = -(-total // self.block)
+        self.in_block = [{} for _ in range(n)]
+        self.block_bounds = np.zeros((len(self.vocabulary) + 1, n), np.float32)
         for term in range(len(self.vocabulary)):
-            found = counts[term]
-            idf = math.log(1 + (total - len(found) + 0.5) / (len(found) + 0.5))
-            impacts = [idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / mean)) for i, tf in found.items()]
-            blocks: dict[int, float] = {}
-            for i, impact in zip(found, impacts, strict=True):
-                own[i] += impact
-                blocks[i // BLOCK_ITEMS] = max(blocks.get(i // BLOCK_ITEMS, 0.0), impact)
-            self.postings.append((list(found), impacts))
-            self.block_best.append(blocks)
-        self.best = np.array([max(impacts) for _, impacts in self.postings])
-        self.needed = [share * score for score in own]
+            for p, score in sorted((place[i], impact(term, i, tf)) for i, tf in counts[term].items()):
+                entries, scores, best = self.in_block[p // self.block].get(term, ([], [], 0.0))
+                self.in_block[p // self.block][term] = ([*entries, p], [*scores, score], max(best, score))
+                self.block_bounds[term, p // self.block] = max(best, score)
+        self.entries = [self.entries[i] for i in order]
+        self.block_needs = np.array([min(self.needed[k * self.block : (k + 1) * self.block]) for k in range(n)])
         return self
 
-    @property
-    def least(self) -> float:
-        return min(self.needed)
-
-    def search(self, query: list[int]) -> list[tuple[int, float]]:
-        """(entry, score) of all entries that reach what they need for a passage of these
-        distinct terms: WAND with block maxima over postings in entry order."""
-        least = self.least
-        lists = [(*self.postings[t], self.block_best[t], float(self.best[t])) for t in query]
+    def search(self, query: list[int], block: int) -> list[tuple[int, float]]:
+        """(entry, score) of the block's entries that reach what they need for a passage of
+        these distinct terms: WAND over the block's postings in entry order, where a term's
+        bound is its maximum in the block."""
+        own = self.in_block[block]
+        lists = [own[t] for t in query if t in own]
+        least = self.block_needs[block] - 1e-9
         at = [0] * len(lists)
+        live = list(range(len(lists)))
         out = []
-        order = list(range(len(lists)))
-        while order:
-            order = [i for i in order if at[i] < len(lists[i][0])]
-            order.sort(key=lambda i: lists[i][0][at[i]])
+        while live:
+            live.sort(key=lambda i: lists[i][0][at[i]])
             bound, pivot = 0.0, -1
-            for k, i in enumerate(order):
-                bound += lists[i][3]
-                if bound >= least - 1e-9:
+            for k, i in enumerate(live):
+                bound += lists[i][2]
+                if bound >= least:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            target = lists[order[pivot]][0][at[order[pivot]]]
-            while pivot + 1 < len(order) and lists[order[pivot + 1]][0][at[order[pivot + 1]]] == target:
+            target = lists[live[pivot]][0][at[live[pivot]]]
+            while pivot + 1 < len(live) and lists[live[pivot + 1]][0][at[live[pivot + 1]]] == target:
                 pivot += 1
-            block = target // BLOCK_ITEMS
-            in_block = sum(lists[i][2].get(block, 0.0) for i in order[: pivot + 1])
-            if in_block >= min(self.needed[block * BLOCK_ITEMS : (block + 1) * BLOCK_ITEMS]) - 1e-9:
-                if lists[order[0]][0][at[order[0]]] == target:
-                    score = sum(lists[i][1][at[i]] for i in order[: pivot + 1])
-                    if score >= self.needed[target] - 1e-9:
-                        out.append((target, score))
-                    beyond = target + 1
-                else:
-                    beyond = target
-            else:  # nothing in this block up to the next list's entry can reach what it needs
-                beyond = (block + 1) * BLOCK_ITEMS
-                if pivot + 1 < len(order):
-                    beyond = min(beyond, lists[order[pivot + 1]][0][at[order[pivot + 1]]])
-                beyond = max(beyond, target + 1)
-            for i in order[: pivot + 1]:
+            # Lists behind the pivot skip to it; once all stand there the entry is scored.
+            beyond = target
+            if lists[live[0]][0][at[live[0]]] == target:
+                score = sum(lists[i][1][at[i]] for i in live[: pivot + 1])
+                if score >= self.needed[target] - 1e-9:
+                    out.append((target, score))
+                beyond = target + 1
+            for i in live[: pivot + 1]:
                 entries, p = lists[i][0], at[i]
                 while p < len(entries) and entries[p] < beyond:
                     p += 1
                 at[i] = p
+            live = [i for i in live if at[i] < len(lists[i][0])]
         return out
 
 
@@ -182,6 +182,37 @@ def indexes(items: DataFrame, share: float) -> list[Index]:
     return out
 
 
+def _reachable(index: Index, term: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(passage, block) where the passage, ``first`` to ``last`` word, may reach an item of
+    the block: the block maxima of its terms, each term once, add up to what the block's
+    items need at least."""
+    out = []
+    for k in range(0, len(first), PASSAGES):
+        a, b = first[k : k + PASSAGES], last[k : k + PASSAGES]
+        start = int(a[0])
+        own = term[start : int(b[-1])]
+        a, b = a - start, b - start
+        # Bounds with each occurrence counted are cheap and come first.
+        sums = np.zeros((len(own) + 1, len(index.block_needs)))
+        np.cumsum(index.block_bounds[own], axis=0, out=sums[1:])
+        near = np.flatnonzero((sums[b] - sums[a] >= index.block_needs - 1e-3).any(1))
+        if not len(near):
+            continue
+        order = np.argsort(own, kind="stable")
+        previous = np.full(len(own), -1)
+        same = own[order][1:] == own[order][:-1]
+        previous[order[1:][same]] = order[:-1][same]
+        for part in np.array_split(near, -(-len(near) // 128)):
+            place = a[part][:, None] + np.arange(int((b[part] - a[part]).max()))
+            inside = place < b[part][:, None]
+            place = np.minimum(place, len(own) - 1)
+            once = inside & (previous[place] < a[part][:, None])
+            bounds = np.einsum("pw,pwb->pb", once.astype(np.float32), index.block_bounds[own[place]])
+            passage, block = np.nonzero(bounds >= index.block_needs - 1e-3)
+            out.append(np.stack([part[passage] + k, block], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(text, item): best score with its question and answer overlap."""
     words, text = terms(data, offsets)
@@ -191,7 +222,7 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -
     term = np.searchsorted(index.vocabulary, words)
     term[term == len(index.vocabulary)] = 0
     known = index.vocabulary[term] == words
-    weight = np.where(known, index.best[term], 0.0)
+    term = np.where(known, term, len(index.vocabulary))
     length = max(len(e.words) for e in index.entries) + STRIDE
     begin = np.searchsorted(text, np.arange(len(offsets) - 1))
     stop = np.searchsorted(text, np.arange(len(offsets) - 1), "right")
@@ -199,14 +230,12 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -
     n = np.where(stop > begin, np.maximum(0, -(-(stop - begin - length) // STRIDE)) + 1, 0)
     first = np.repeat(begin - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum())
     last = np.minimum(first + length, np.repeat(stop, n))
-    sums = np.concatenate([[0.0], np.cumsum(weight)])
-    may = np.flatnonzero(sums[last] - sums[first] >= index.least - 1e-6)
-    for p in may:
+    query, of = [], -1
+    for p, block in _reachable(index, term, first, last).tolist():
         a, b = int(first[p]), int(last[p])
-        query = np.unique(term[a:b][known[a:b]])
-        if index.best[query].sum() < index.least - 1e-9:
-            continue
-        for i, score in index.search(query.tolist()):
+        if p != of:
+            query, of = np.unique(term[a:b][known[a:b]]).tolist(), p
+        for i, score in index.search(query, block):
             entry = index.entries[i]
             asked, answered = overlaps(entry, words[a:b])
             if asked >= overlap and answered >= overlap:
