@@ -34,6 +34,7 @@ from touchline.llm import hashing
 
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id, behind all others
 CHUNK_WINDOWS = 1 << 20
+CODEC = "zstd"  # stretches overlap; the shuffle's own compression finds less of it
 _HEAD = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("at", "<i4"), ("before", "u1"), ("windows", "u1")])
 
 
@@ -164,7 +165,8 @@ def _stretches_to_sort(block: Block, number: int, shared: np.ndarray, buckets: i
     rows = []
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         part = order[cuts[k] : cuts[k + 1]]
-        rows.append((k, number, head[part].tobytes(), block.data[_ranges(block.first[chosen[part]], size[part])].tobytes()))
+        text = block.data[_ranges(block.first[chosen[part]], size[part])]
+        rows.append((k, number, head[part].tobytes(), pa.compress(text, CODEC, asbytes=True)))
     names, kinds = ["bucket", "block", "heads", "bytes"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
@@ -274,8 +276,11 @@ def _marked(rows: pa.Table, length: int) -> pa.Table:
     heads = [np.frombuffer(x, _HEAD) for x in rows.column("heads").to_pylist()]
     owner = np.repeat(rows.column("block").to_numpy(), [len(h) for h in heads])
     head = np.concatenate(heads)
-    data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
     size = head["windows"].astype(np.int64) + length - 1
+    packed = rows.column("bytes").to_pylist()
+    sizes = [int(h["windows"].sum(dtype=np.int64)) + (length - 1) * len(h) for h in heads]
+    data = b"".join(pa.decompress(x, n, CODEC, asbytes=True) for x, n in zip(packed, sizes, strict=True))
+    data = np.frombuffer(data, np.uint8)
     base = np.cumsum(size) - size
     order = np.argsort(head["anchor"], kind="stable")
     anchor = head["anchor"][order]
