@@ -8,8 +8,7 @@ Within a band's group nobody is compared with everybody:
 
 1. each document is confirmed against the smallest id of each of its groups;
 2. groups whose members are not yet in one component are compared by signature, in
-   blocks of bounded size, and the best pair per document and foreign component is
-   confirmed;
+   blocks of bounded size, and the best pair of any two components is confirmed;
 3. what is still apart after that is confirmed pair by pair where the signatures allow
    a link at all.
 
@@ -190,8 +189,8 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _across(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of a band's group that lie in different components and whose sizes and
-    signatures allow a link; with ``best`` only the most alike per node and foreign
-    component of a block."""
+    signatures allow a link, each in the first band that it shares; with ``best`` only the
+    most alike of any two components of a block."""
     members = _labelled(shared, labels)
     apart = (
         members.groupBy("band")
@@ -206,31 +205,34 @@ def _across(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-            "node", "component", "n_shingles", "signature",
+            "node", "component", "n_shingles", "signature", "bands",
         )
     )
-    names = ["band", "i", "j", "own", "node", "component", "n_shingles", "signature"]
+    names = ["band", "i", "j", "own", "node", "component", "n_shingles", "signature", "bands"]
 
-    def pairs_of(g: dict[str, np.ndarray], i: int, j: int) -> list[tuple[int, int]]:
+    def pairs_of(g: dict[str, np.ndarray], band: int, i: int, j: int) -> list[tuple[int, int]]:
         mine, theirs = np.flatnonzero(g["own"] == i), np.flatnonzero(g["own"] == j)
-        out = []
+        node, component, size = g["node"], g["component"], g["n_shingles"]
+        out, most = [], {}
         for p in mine:
             q = theirs[theirs > p] if i == j else theirs
-            size = g["n_shingles"]
-            q = q[g["component"][q] != g["component"][p]]
+            q = q[component[q] != component[p]]
             q = q[100 * np.minimum(size[q], size[p]) >= percent * np.maximum(size[q], size[p])]
             if not len(q):
                 continue
             same = (g["signature"][q] == g["signature"][p]).mean(1)
             near = same >= percent / 100 - MARGIN
             q, same = q[near], same[near]
-            if best and len(q) > 1:
-                order = np.lexsort((-same, g["component"][q]))
-                q = q[order]
-                part = g["component"][q]
-                q = q[np.concatenate([[True], part[1:] != part[:-1]])]
-            out += [(min(g["node"][p], g["node"][x]), max(g["node"][p], g["node"][x])) for x in q]
-        return out
+            shared = g["bands"][q] == g["bands"][p]
+            here = g["bands"][p][shared.argmax(1)] == band
+            for x, alike in zip(q[here].tolist(), same[here].tolist(), strict=True):
+                pair = (min(node[p], node[x]), max(node[p], node[x]))
+                if best:
+                    key = (min(component[p], component[x]), max(component[p], component[x]))
+                    most[key] = max(most.get(key, (-1.0, pair)), (alike, pair))
+                else:
+                    out.append(pair)
+        return out + [pair for _, pair in most.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -243,12 +245,16 @@ def _across(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int
             end = len(cuts) - 1 if whole else len(cuts) - 2
             numbers = {c: table.column(c).to_numpy() for c in names[3:7]}
             signature = table.column("signature").to_pylist()
+            bands = table.column("bands").combine_chunks()
+            bands = bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands
+            bands = bands.flatten().to_numpy().reshape(len(keys), -1)
             out = []
             for a, b in zip(cuts[:end], cuts[1 : end + 1], strict=True):
                 if b - a > 1:
                     g = {c: x[a:b] for c, x in numbers.items()}
                     g["signature"] = np.frombuffer(b"".join(signature[a:b]), np.uint8).reshape(b - a, -1)
-                    out += pairs_of(g, keys[a][1], keys[a][2])
+                    g["bands"] = bands[a:b]
+                    out += pairs_of(g, *keys[a].tolist())
             return out, table.slice(cuts[end])
 
         def rows_of(out):
@@ -305,7 +311,7 @@ def near_duplicates(
     shared = staged(each.join(groups, "band"), "shared-bands")
     full = _full_sets(docs, shared.select(F.col("node").alias("id")).distinct(), id_col, text_col, words)
 
-    short = facts.select("node", "n_shingles", "signature")
+    short = facts.select("node", "n_shingles", "signature", "bands")
     first = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tested = staged(first, "pairs")
     links = _confirmed(tested, full, percent)
