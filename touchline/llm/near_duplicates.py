@@ -162,10 +162,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of the links (a, b); the component is its smallest
-    node. Alternates large and small stars until the links no longer change; a star's
-    links are summed up before they are shuffled, so its centre is no hot key."""
+    node. Alternates large and small stars until every node but the centres has one link,
+    to a centre; a star's links are summed up before they are shuffled, so its centre is no
+    hot key."""
     links = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "stars")
-    state = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -177,10 +177,10 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         links = staged(small, "stars")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        ends = links.selectExpr("u as x", "1 as n", "false as centre").unionAll(links.selectExpr("v", "0", "true"))
+        ends = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("centre").alias("centre"))
+        if not ends.agg(F.count_if(F.expr("n > 1 or n = 1 and centre"))).first()[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -314,15 +314,13 @@ def near_duplicates(
     short = facts.select("node", "n_shingles", "signature", "bands")
     first = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tested = staged(first, "pairs")
-    links = _confirmed(tested, full, percent)
-    labels = components(links)
+    labels = components(_confirmed(tested, full, percent))
     for best in (True, False):
         pairs = staged(_across(shared.select("node", "band"), labels, short, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        links = links.union(_confirmed(pairs, full, percent))
         tested = tested.union(pairs)
-        labels = components(links)
+        labels = components(labels.union(_confirmed(pairs, full, percent).select("a", "b")).toDF("a", "b"))
 
     labelled = _labelled(facts.select("set1", "set2", "node"), labels).select("set1", "set2", "component")
     return table.select("id", "text_hash", "n_shingles", "set1", "set2").join(labelled, ["set1", "set2"], "left").select(
