@@ -137,13 +137,42 @@ def test_contract_check(spark, landed):
         contract_check.check_contract(spark, landed.paths)
 
 
-def test_history_sample_reads_first_players_only(spark, landed):
+def test_check_reads_all_histories(spark, landed, store):
     landed.write(
         bootstrap={**BOOTSTRAP, "elements": [player(i, 1) for i in range(1, 9)]},
-        history={i: [match(i, 1)] for i in range(1, 9)},
+        history={i: [{**match(i, 1), **({"mood": "good"} if i == 8 else {})}] for i in range(1, 9)},
     )
-    sampled = contract_check.sampled_records(spark, landed.paths)["player_gameweek_stats"]
-    assert sampled.count() == 5
+    docs = landing.documents(spark, landed.paths.bootstrap)
+    assert [r.id for r in landing.sample_players(docs).collect()] == [1, 2, 3, 4, 5]
+    for check in (lambda: contract_check.check_contract(spark, landed.paths), lambda: run_load(store, landed.paths)):
+        with pytest.raises(contract.ContractError, match="player_gameweek_stats.mood"):
+            check()
+    assert store.read("teams").count() == 0
+
+
+@pytest.mark.parametrize(
+    "name,text",
+    [
+        ("element-summary/2.json", '{"history": [{"element": 2'),
+        ("element-summary/2.json", '{"history": {"element": 2}}'),
+        ("element-summary/2.json", "late"),
+        ("fixtures/all.json", '[{"id": 1'),
+        ("fixtures/all.json", '{"detail": "err"}'),
+        ("bootstrap-static/all.json", '{"events": [], "elements": []}'),
+    ],
+)
+def test_unreadable_documents_are_rejected(spark, landed, store, name, text):
+    (landed.root / name).write_text(text)
+    with pytest.raises(contract.ContractError, match="document without a readable list of records"):
+        run_load(store, landed.paths)
+    assert store.read("fixtures").count() == 0
+
+
+def test_deeply_nested_values(spark):
+    deep = {"a": {"b": {"c": {"d": {"minutes": None}}}}, "z": 1}
+    good = match(1, 1)
+    found = reasons(spark, "player_gameweek_stats", {**good, "x": deep}, {**good, "x": deep, "minutes": None})
+    assert found == {1: "minutes: null is not a valid int"}
 
 
 def test_empty_histories(spark, landed, store):

@@ -136,6 +136,11 @@ _TOP_LEVEL = (
     f"substr({{0}}, 8), '{_NESTED}', ''), '{_NESTED}', ''), '{_NESTED}', '')"
     f" when {{0}} like 'OBJECT<%' then substr({{0}}, 8) end"
 )
+# Deeper records, which are rare, have their keys looked at one by one.
+_ONE_BY_ONE = (
+    "concat(concat_ws(', ', transform(map_entries(cast(try_parse_json(_record) as map<string, variant>)),"
+    " e -> concat(e.key, ': ', substring_index(schema_of_variant(e.value), '<', 1)))), '>')"
+)
 
 
 def validate(records: DataFrame, entity: str) -> DataFrame:
@@ -152,7 +157,9 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
     extracted = (
         records.toDF(*place)
         .selectExpr(*place, f"{_KINDS} as _schema")
-        .selectExpr(*place, f"concat(' ', rtrim('>', {_TOP_LEVEL.format('_schema')}), ',') as _kinds")
+        .selectExpr(*place, f"{_TOP_LEVEL.format('_schema')} as _top")
+        .selectExpr(*place, f"case when contains(_top, '<') then {_ONE_BY_ONE} else _top end as _top")
+        .selectExpr(*place, "concat(' ', rtrim('>', _top), ',') as _kinds")
         .selectExpr(
             *place,
             "_kinds",
@@ -166,7 +173,8 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
     table_errors = _joined([key.table_error() for key in keys])
     checked = [
         *[f"`{key.name}`" for key in keys],
-        f"case when _kinds is null then 'not a JSON object' else {errors} end as errors",
+        "case when _record is null then 'document without a readable list of records'"
+        f" when _kinds is null then 'not a JSON object' else {errors} end as errors",
         f"case when _kinds is null then '' else {table_errors} end as table_errors",
     ]
     # One output row per record. As the output of a generator the failures are

@@ -44,7 +44,7 @@ def raw_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey + 1 as id",
         "c_custkey * 3 + 100 as code",
         "c_name as name",
-        "concat('T', lpad(c_custkey + 1, 6, '0')) as short_name",
+        "concat('T', lpad(c_custkey + 1, greatest(6, length(c_custkey + 1)), '0')) as short_name",
         "cast(c_custkey % 5 + 1 as int) as strength",
     )
 
