@@ -152,6 +152,7 @@ def clusters(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 1500), (5, 80, 3)])
 def test_near_duplicates_as_brute_force(documents, monkeypatch, k, percent, block):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_BYTES", block * 2000)
     rng = random.Random(11)
     rows = []
     for base in range(5):

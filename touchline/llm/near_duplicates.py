@@ -8,12 +8,14 @@ Within a band's group nobody is compared with everybody:
 
 1. each document is confirmed against the smallest id of each of its groups;
 2. groups whose members are not yet in one component are compared by signature, in
-   blocks of bounded size, and the best pair of any two components is confirmed;
-3. what is still apart after that is confirmed pair by pair where the signatures allow
-   a link at all.
+   blocks of bounded size. Of the pairs in different components whose signatures allow a
+   link, a block gives only a forest that connects their ends, at most one row per member;
+3. the documents that the forests connect are a cloud. Its full sets are dealt into blocks
+   of bounded bytes, and each pair of blocks is compared there, over the documents that
+   hold each shingle; a block gives only a forest of the links.
 
 So every pair that shares a band ends up linked, confirmed as no link, or known to be
-in one component. With 60 bands of six values a pair at 0.8 shares no band with a chance
+in one component, and no step writes the pairs of a group. With 60 bands of six values a pair at 0.8 shares no band with a chance
 of 1e-8; 40 bands do that for 0.85.
 """
 
@@ -30,7 +32,11 @@ from pyspark.sql import types as T
 from touchline.llm import hashing
 from touchline.llm.tables import staged
 
+#: Members of a band's group, and bytes of the full sets of a cloud, in one block.
 BLOCK = 1500
+BLOCK_BYTES = 16 << 20
+#: Entries of a block's posting lists that are read at a time.
+POSTINGS = 1 << 20
 #: Signatures of pairs at the threshold fall below it by more than this once in 1e8.
 MARGIN = 0.14
 _random = np.random.default_rng(77)
@@ -187,10 +193,56 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _across(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of a band's group that lie in different components and whose sizes and
-    signatures allow a link, each in the first band that it shares; with ``best`` only the
-    most alike of any two components of a block."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of the groups of rows that follow one another with equal ``keys``."""
+    held: list[pa.Table] = []
+    last: tuple[int, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = np.stack([table.column(c).to_numpy() for c in keys], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1, [len(columns)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(columns[a].tolist())
+            if last is not None and key != last:
+                yield last, pa.concat_tables(held).combine_chunks()
+                held = []
+            last = key
+            held.append(table.slice(a, b - a))
+    if last is not None:
+        yield last, pa.concat_tables(held).combine_chunks()
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _in_blocks(members: DataFrame, group: str) -> DataFrame:
+    """The members of each ``group`` dealt by hash into its ``blocks``, once for every pair
+    (i, j) of blocks that holds their own; ordered by group and pair within a partition."""
+    return (
+        members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .drop("other", "blocks")
+        .repartition(group, "i", "j")
+        .sortWithinPartitions(group, "i", "j", "node")
+    )
+
+
+def _forest(label: np.ndarray, p: int, partners: np.ndarray) -> list[int]:
+    """One of the ``partners`` per tree that is not yet that of ``p``; their trees join it."""
+    trees, first = np.unique(label[partners], return_index=True)
+    new = trees != label[p]
+    label[np.isin(label, trees[new])] = label[p]
+    return partners[first[new]].tolist()
+
+
+def _alike(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """A forest over the pairs of a band's group that lie in different components and whose
+    sizes and signatures allow a link, each in the first band that it shares."""
     members = _labelled(shared, labels)
     apart = (
         members.groupBy("band")
@@ -198,81 +250,80 @@ def _across(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int
         .filter("lo <> hi")
         .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    rows = (
-        members.join(apart, "band")
-        .join(facts, "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-            "node", "component", "n_shingles", "signature", "bands",
-        )
-    )
-    names = ["band", "i", "j", "own", "node", "component", "n_shingles", "signature", "bands"]
 
-    def pairs_of(g: dict[str, np.ndarray], band: int, i: int, j: int) -> list[tuple[int, int]]:
-        mine, theirs = np.flatnonzero(g["own"] == i), np.flatnonzero(g["own"] == j)
-        node, component, size = g["node"], g["component"], g["n_shingles"]
-        out, most = [], {}
-        for p in mine:
+    def edges(band: int, i: int, j: int, table: pa.Table) -> list[tuple[int, int]]:
+        node, component, size, own = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "own"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = np.concatenate([c.flatten().to_numpy() for c in table.column("bands").chunks]).reshape(len(node), -1)
+        theirs = np.flatnonzero(own == j)
+        label = np.arange(len(node))
+        out = []
+        for p in np.flatnonzero(own == i):
             q = theirs[theirs > p] if i == j else theirs
             q = q[component[q] != component[p]]
+            q = q[label[q] != label[p]]
             q = q[100 * np.minimum(size[q], size[p]) >= percent * np.maximum(size[q], size[p])]
-            if not len(q):
-                continue
-            same = (g["signature"][q] == g["signature"][p]).mean(1)
-            near = same >= percent / 100 - MARGIN
-            q, same = q[near], same[near]
-            shared = g["bands"][q] == g["bands"][p]
-            here = g["bands"][p][shared.argmax(1)] == band
-            for x, alike in zip(q[here].tolist(), same[here].tolist(), strict=True):
-                pair = (min(node[p], node[x]), max(node[p], node[x]))
-                if best:
-                    key = (min(component[p], component[x]), max(component[p], component[x]))
-                    most[key] = max(most.get(key, (-1.0, pair)), (alike, pair))
-                else:
-                    out.append(pair)
-        return out + [pair for _, pair in most.values()]
+            q = q[(signature[q] == signature[p]).mean(1) >= percent / 100 - MARGIN]
+            if len(q):
+                q = q[bands[p][(bands[q] == bands[p]).argmax(1)] == band]
+                out += [(node[p], node[x]) for x in _forest(label, p, q)]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(table: pa.Table, whole: bool):
-            """Pairs of the table's groups; the last group is left unless ``whole``."""
-            keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            cuts = np.concatenate([[0], cuts, [len(keys)]])
-            end = len(cuts) - 1 if whole else len(cuts) - 2
-            numbers = {c: table.column(c).to_numpy() for c in names[3:7]}
-            signature = table.column("signature").to_pylist()
-            bands = table.column("bands").combine_chunks()
-            bands = bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands
-            bands = bands.flatten().to_numpy().reshape(len(keys), -1)
-            out = []
-            for a, b in zip(cuts[:end], cuts[1 : end + 1], strict=True):
-                if b - a > 1:
-                    g = {c: x[a:b] for c, x in numbers.items()}
-                    g["signature"] = np.frombuffer(b"".join(signature[a:b]), np.uint8).reshape(b - a, -1)
-                    g["bands"] = bands[a:b]
-                    out += pairs_of(g, *keys[a].tolist())
-            return out, table.slice(cuts[end])
-
-        def rows_of(out):
-            a, b = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        for key, table in _grouped(batches, ["band", "i", "j"]):
+            if table.num_rows > 1:
+                yield _pair_batch(edges(*key, table))
+
+    return _in_blocks(members.join(apart, "band").join(facts, "node"), "band").mapInArrow(run, PAIR).distinct()
+
+
+def _compared(clouds: DataFrame, sets: DataFrame, facts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """A forest of the links between the documents of each cloud (node, cloud) that lie in
+    different components, found on the full sets."""
+    n_bytes = F.sum(8 * F.col("n_shingles"))
+    blocks = clouds.join(facts, "node").groupBy("cloud").agg(F.ceil(n_bytes / BLOCK_BYTES).cast("int").alias("blocks"))
+    # The sets come last and by document, so that only a block's share of them meets.
+    members = _labelled(clouds, labels).join(blocks, "cloud").join(sets.select(F.col("id").alias("node"), "set").hint("merge"), "node")
+
+    def links(i: int, j: int, table: pa.Table) -> list[tuple[int, int]]:
+        node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        sets = table.column("set").to_pylist()
+        size = np.array([len(x) // 8 for x in sets])
+        doc = np.repeat(np.arange(len(node)), size)
+        # The shingles as whole numbers from 0, and the documents that hold each.
+        _, shingle = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        del sets
+        at = np.concatenate([[0], np.cumsum(size)])
+        holders = doc[np.argsort(shingle, kind="stable")]
+        n_holders = np.bincount(shingle)
+        begin = np.concatenate([[0], np.cumsum(n_holders)])
+        label = np.unique(component, return_inverse=True)[1]
+        out = []
+        for p in np.flatnonzero(own == i):
+            able = (own == j) & (label != label[p])
+            able &= 100 * np.minimum(size, size[p]) >= percent * np.maximum(size, size[p])
+            if i == j:
+                able[: p + 1] = False
+            if not able.any():
                 continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            out, held = groups(held, False)
-            yield rows_of(out)
-        if held is not None and held.num_rows:
-            yield rows_of(groups(held, True)[0])
+            mine = shingle[at[p] : at[p + 1]]
+            mine = mine[n_holders[mine] > 1]
+            both = np.zeros(len(node), np.int64)
+            read = np.cumsum(n_holders[mine]) // POSTINGS
+            for part in np.split(mine, np.flatnonzero(np.diff(read)) + 1):
+                n = n_holders[part]
+                entry = np.arange(n.sum()) + np.repeat(begin[part] - np.cumsum(n) + n, n)
+                both += np.bincount(holders[entry], minlength=len(node))
+            q = np.flatnonzero(able & (100 * both >= percent * (size + size[p] - both)))
+            if len(q):
+                out += [(node[p], node[x]) for x in _forest(label, p, q)]
+        return out
 
-    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    return dealt.mapInArrow(run, PAIR).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), table in _grouped(batches, ["cloud", "i", "j"]):
+            yield _pair_batch(links(i, j, table))
+
+    return staged(_in_blocks(members, "cloud").mapInArrow(run, PAIR), "links")
 
 
 def near_duplicates(
@@ -313,14 +364,13 @@ def near_duplicates(
 
     short = facts.select("node", "n_shingles", "signature", "bands")
     first = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = staged(first, "pairs")
-    labels = components(_confirmed(tested, full, percent))
-    for best in (True, False):
-        pairs = staged(_across(shared.select("node", "band"), labels, short, percent, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = tested.union(pairs)
-        labels = components(labels.union(_confirmed(pairs, full, percent).select("a", "b")).toDF("a", "b"))
+    labels = components(_confirmed(first, full, percent))
+    edges = staged(_alike(shared.select("node", "band"), labels, short, percent), "alike")
+    if not edges.isEmpty():
+        clouds = components(edges)
+        clouds = clouds.unionAll(clouds.select("component", "component").distinct()).toDF("node", "cloud")
+        links = _compared(clouds, full, short, labels, percent)
+        labels = components(labels.toDF("a", "b").unionAll(links))
 
     labelled = _labelled(facts.select("set1", "set2", "node"), labels).select("set1", "set2", "component")
     return table.select("id", "text_hash", "n_shingles", "set1", "set2").join(labelled, ["set1", "set2"], "left").select(
