@@ -123,6 +123,24 @@ def test_decontamination(spark, documents):
     assert deco.clean(documents(rows), qa.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [257, 300, 511, 513, 705])
+def test_long_items_are_verified_whole(spark, documents, n):
+    rng = random.Random(n)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    question, answer = text(n - 5), text(5)
+    item = f"{question}. {answer}"
+    inserted = item.split(" ")
+    inserted[100:100] = text(40).split(" ")
+    rows = [(1, f"{text(150)} {item.split(' ')[-1]} {text(150)}"), (2, f"{text(90)} {answer} {text(400)}"), (3, f"{text(70)} {question} {text(300)}")]
+    rows += [(4, f"{text(33)} {item} {text(500)}"), (5, item), (6, " ".join(inserted)), (7, " ".join(item.split(" ")[n // 2 :])), (8, text(900) + " " + item)]
+    qa = deco.question_and_answer(spark.createDataFrame([(0, item), (1, text(20) + ". " + text(8))], "item_id long, text string"))
+    found = deco.contaminated(documents(rows), qa).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(4, 0), (5, 0), (6, 0), (8, 0)]
+    assert all(r.question_overlap == r.answer_overlap == 1.0 for r in found if r.doc_id != 6)
+    assert {r.doc_id for r in deco.clean(documents(rows), qa).collect()} == {1, 2, 3, 7}
+    assert min(len(e.part) for e in deco.indexes(qa, 0.6)[0].entries if e.item == 0) > deco.ITEM_WORDS // 2 - 1
+
+
 def test_question_and_answer(spark):
     table = spark.createDataFrame([(1, "What? One two. Three four."), (2, "a b c d e f g h"), (3, None), (4, "One.")], "item_id long, text string")
     got = {r.item_id: (r.question, r.answer) for r in deco.question_and_answer(table).collect()}

@@ -4,7 +4,8 @@ The index holds the test items, of which there are few. Every text is cut into
 overlapping passages, each so long that an item lies whole in one of them, and every
 passage is a query: all items that score at least a share of their own best score are
 retrieved, and each is verified by the share of the question's and of the answer's
-word n-grams that the passage holds.
+word n-grams that the passage holds. Long items are retrieved by stretches of equal
+length and verified whole, in the words around the passage.
 
 Items are kept in the order of the score they need and cut into blocks. Passages that
 cannot reach any item of any block are ruled out for many passages at once: the block
@@ -18,6 +19,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +53,18 @@ def _terms_of(text: str) -> np.ndarray:
 
 @dataclass
 class Entry:
-    """An item, or a part of a long one: its terms, of which those from ``answer`` on
-    belong to the answer."""
+    """An item's terms, of which those from ``answer`` on belong to the answer. It is
+    retrieved by the terms from ``first`` to ``last``, all of them by default."""
 
     item: int
     words: np.ndarray
     answer: int
+    first: int = 0
+    last: int | None = None
+
+    @property
+    def part(self) -> np.ndarray:
+        return self.words[self.first : self.last]
 
 
 @dataclass
@@ -72,12 +80,12 @@ class Index:
 
     def build(self, share: float) -> Index:
         """``share``: of its own best score that a passage must reach."""
-        size = [len(e.words) for e in self.entries]
+        size = [len(e.part) for e in self.entries]
         mean = sum(size) / len(size)
-        self.vocabulary = np.unique(np.concatenate([e.words for e in self.entries]))
+        self.vocabulary = np.unique(np.concatenate([e.part for e in self.entries]))
         counts: dict[int, dict[int, int]] = defaultdict(dict)
         for i, e in enumerate(self.entries):
-            ids, n = np.unique(np.searchsorted(self.vocabulary, e.words), return_counts=True)
+            ids, n = np.unique(np.searchsorted(self.vocabulary, e.part), return_counts=True)
             for term, tf in zip(ids.tolist(), n.tolist(), strict=True):
                 counts[term][i] = tf
         total = len(self.entries)
@@ -163,7 +171,7 @@ def overlaps(entry: Entry, passage: np.ndarray, n: int = 3) -> tuple[float, floa
 def indexes(items: DataFrame, share: float) -> list[Index]:
     """Indexes over (``item_id``, ``question``, ``answer``), each of a bounded size; null
     texts are empty and items without words are left out. Items of over ``ITEM_WORDS``
-    words are entered in parts."""
+    words are entered by stretches of equal length, more than half of that each."""
     size = F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))
     total = items.agg(F.sum(size)).first()[0] or 0
     n = max(1, math.ceil(total / INDEX_BYTES))
@@ -174,9 +182,9 @@ def indexes(items: DataFrame, share: float) -> list[Index]:
         for item, question, answer in sorted(rows, key=lambda r: (r[0] is None, r[0])):
             asked = _terms_of(question or "")
             found = np.concatenate([asked, _terms_of(answer or "")])
-            for first in range(0, len(found), ITEM_WORDS):
-                part = found[first : first + ITEM_WORDS]
-                entries.append(Entry(item, part, min(max(len(asked) - first, 0), len(part))))
+            parts = -(-len(found) // ITEM_WORDS)
+            cuts = [len(found) * i // parts for i in range(parts + 1)] if parts else []
+            entries += [Entry(item, found, len(asked), *cut) for cut in pairwise(cuts)]
         if entries:
             out.append(Index(entries).build(share))
     return out
@@ -213,6 +221,17 @@ def _reachable(index: Index, term: np.ndarray, first: np.ndarray, last: np.ndarr
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def _surroundings(entry: Entry, a: int, length: int, begin: int, stop: int) -> tuple[int, int]:
+    """The words, of the text from ``begin`` to ``stop``, that hold the whole item if its
+    part is in the passage of ``length`` words from ``a`` on, with a quarter of the item's
+    length to spare on both sides. They begin on a grid, so that the parts of one copy
+    share them."""
+    size = len(entry.words)
+    step = max(STRIDE, size // 4)
+    at = begin + (a - begin - entry.first) // step * step
+    return max(begin, at - step), min(stop, at + size + length + 2 * step)
+
+
 def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(text, item): best score with its question and answer overlap."""
     words, text = terms(data, offsets)
@@ -223,7 +242,7 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -
     term[term == len(index.vocabulary)] = 0
     known = index.vocabulary[term] == words
     term = np.where(known, term, len(index.vocabulary))
-    length = max(len(e.words) for e in index.entries) + STRIDE
+    length = max(len(e.part) for e in index.entries) + STRIDE
     begin = np.searchsorted(text, np.arange(len(offsets) - 1))
     stop = np.searchsorted(text, np.arange(len(offsets) - 1), "right")
     # Passages start every STRIDE words of a text, up to the one that reaches its end.
@@ -231,13 +250,21 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -
     first = np.repeat(begin - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum())
     last = np.minimum(first + length, np.repeat(stop, n))
     query, of = [], -1
+    verified: dict[tuple[int, int, int, int], tuple[float, float]] = {}
     for p, block in _reachable(index, term, first, last).tolist():
         a, b = int(first[p]), int(last[p])
         if p != of:
             query, of = np.unique(term[a:b][known[a:b]]).tolist(), p
         for i, score in index.search(query, block):
             entry = index.entries[i]
-            asked, answered = overlaps(entry, words[a:b])
+            if len(entry.part) == len(entry.words):
+                asked, answered = overlaps(entry, words[a:b])
+            else:
+                lo, hi = _surroundings(entry, a, length, int(begin[text[a]]), int(stop[text[a]]))
+                place = (id(entry.words), entry.answer, lo, hi)
+                if place not in verified:
+                    verified[place] = overlaps(entry, words[lo:hi])
+                asked, answered = verified[place]
             if asked >= overlap and answered >= overlap:
                 key = (int(text[a]), entry.item)
                 if key not in out or out[key][0] < score:
@@ -254,7 +281,8 @@ def contaminated(
     overlap: float = 0.8,
 ) -> DataFrame:
     """A row per document and test item that it holds: id, ``item_id``, ``score`` (BM25 of
-    the best passage), ``question_overlap`` and ``answer_overlap``.
+    the best passage, for a long item against the part of it found there),
+    ``question_overlap`` and ``answer_overlap``, both over the whole item.
 
     ``items`` has ``item_id`` (long), ``question`` and ``answer``. Null and empty texts
     hold nothing; a text of any length is searched whole. Items without words are never
