@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
 import json
@@ -103,6 +104,34 @@ def test_layouts_become_the_same_turns(spark):
         assert len(re.findall("<", r.formatted)) == 4
 
 
+def test_length_decides_nothing(spark):
+    """A text above the JSON parser's 20,000,000 characters, and a record of many turns."""
+    rows = spark.sql(
+        """select 1L as conv_id, i as turn, if(i = 0, 'user', 'assistant') as role, if(i = 0, repeat('<a> "b', 3500001), 'ok') as text from range(2) t(i)
+        union all select 2L, i, if(i % 2 = 0, 'user', 'assistant'), if(i % 200 = 0, repeat('"', 100000), 'x') from range(40001) t(i)"""
+    )
+    out = chat.formatted(chat.canonical_turns(chat.records_from_turn_rows(rows, "conv_id", "turn", "role", "text")))
+    got = {r.conv_id: r for r in out.selectExpr("conv_id", "layout", "size(turns) as n", "length(turns[0].text) as first", "sha2(turns[0].text, 256) as sha").collect()}
+    assert {i: (r.layout, r.n, r.first) for i, r in got.items()} == {1: ("prompt_response", 2, 21_000_006), 2: ("conversations", 40_001, 100_000)}
+    assert got[1].sha == hashlib.sha256(b'<a> "b' * 3_500_001).hexdigest()
+
+
+def test_long_records_are_judged_like_short_ones(spark, monkeypatch):
+    records = [json.dumps({"messages": [{"role": "user", "content": t}, {"role": None, "content": t}, {"content": t, "role": "x"}] * 3}) for t in ODD]
+    records += [json.dumps({"prompt": t, "response": t, "id": i}, ensure_ascii=False) for i, t in enumerate(ODD)]
+    records += [
+        None, "", "[]", "1", "{", "{}", '{"a":1}', '{"messages":[]}', '{"messages":"x"}', '{"prompt":"p","response":"a\nb"}', '{"prompt":"p","response":"\\q"}', '{"prompt":"p","response":"x\\"}',
+        "{'prompt':'p','response':'r'}", '{ "prompt" : "p" ,\n "resp\\u006fnse" : "r" }', '{"messages":[{"role":"u","content":"c"},5]}', '{"prompt":{"a":"b"},"response":["x"]}', '{"x{":1,"y":[{"a":"1"}, {"a":"2"},{"b":1}]}', '{"prompt":"p","prompt":"q","response":"r"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    read = lambda: [tuple(r) for r in chat.canonical_turns(df).orderBy("id").collect()]
+    short = read()
+    assert {r[3] for r in short} == {None, "messages", "messages_empty", "prompt_response"}
+    monkeypatch.setattr(chat, "LONG_BYTES", 0)
+    monkeypatch.setattr(chat.F, "raise_error", lambda _: F.lit(None).cast("string"))
+    assert [r[2:] for r in read()] == [r[2:] for r in short]
+
+
 def test_records_that_no_mapping_declares(spark):
     records = [None, "", "[]", "1", "{", "{}", '{"a":1}', '{"messages":[{"role":"user","content":"x","name":"n"}]}', '{"messages":[]}', '{"messages":"x"}',
                '{"messages":[{"role":null,"content":null}]}', '{"prompt":"p","response":"r","extra":{"a":1}}']

@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
+#: Bytes from which the field paths are taken from a record's skeleton. Below, neither
+#: the 20,000,000 characters of a string nor the 128 MB of a variant can be reached.
+LONG_BYTES = 15_000_000
+#: ``from_json`` without its own limit for one string.
+READ = "map('maxStringLen', '2147483647')"
+#: Each time, equal neighbours in an array are halved in number.
+HALVINGS = 12
 
 
 @dataclass(frozen=True)
@@ -80,6 +87,18 @@ MAPPINGS = [
 ]
 
 
+def skeleton(record: str) -> str:
+    """SQL text for a JSON text with all string values emptied, so of the same field
+    paths. Neighbours in an array that are alike then are merged, since only what
+    differs adds paths."""
+    # With backslashes and quotes in texts written as numbers, a quote is always an end.
+    plain = rf"""replace(replace({record}, r'\\', r'\u005c'), r'\"', r'\u0022')"""
+    text = rf"""regexp_replace({plain}, r'("[^"]*+"\s*+:)|(")[^"]*+(")', '$1$2$3')"""
+    for _ in range(HALVINGS):
+        text = rf"""regexp_replace({text}, r'(\{{"[^{{}}]*+\}})\s*+,\s*+\1', '$1')"""
+    return text
+
+
 def field_paths(record: str) -> str:
     """SQL text for the sorted field paths of a JSON object: names, ``name.inner`` for
     objects, ``name[]`` and ``name[].inner`` for arrays. Null if it isn't an object."""
@@ -108,17 +127,30 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: li
     Records that are null, no JSON object, or of field paths that no mapping declares
     have a null layout and null turns. A null role or text becomes an empty one; fields
     that a mapping doesn't declare make another fingerprint, so nothing is lost unseen.
+    The length of a text or record decides nothing. A record whose skeleton still is
+    of ``LONG_BYTES`` and cannot be read raises an error.
     Columns of the input named like the new ones are replaced.
     """
     columns = [F.col(f"`{c}`") for c in records.columns if c not in ("fingerprint", "layout", "turns")]
     known = [(m, F.array(*[F.lit(p) for p in paths])) for m in mappings for paths in m.path_sets()]
     lookup = F.create_map(*[x for m, paths in known for x in (fingerprint(paths), F.lit(m.name))])
-    rows = records.select(
-        *columns, F.col(record_col).alias("_tl_record"), fingerprint(F.expr(field_paths(f"`{record_col}`"))).alias("fingerprint")
-    ).withColumn("layout", lookup[F.col("fingerprint")])
+    # The skeleton lacks the texts, so that these are well-formed is seen by reading the whole.
+    broken = "from_json(_tl_record, '_tl_none string, _tl_broken string', map('maxStringLen', '2147483647', 'columnNameOfCorruptRecord', '_tl_broken'))._tl_broken"
+    long = f"octet_length(_tl_record) >= {LONG_BYTES}"
+    unread = F.raise_error(F.lit("a record's field paths cannot be read: it is too large or no JSON"))
+    rows = (
+        records.select(*columns, F.col(record_col).alias("_tl_record"))
+        .withColumn("_tl_json", F.expr(f"case when not {long} then _tl_record when {broken} is null then {skeleton('_tl_record')} end"))
+        .withColumn("fingerprint", fingerprint(F.expr(field_paths("_tl_json"))))
+        .withColumn(
+            "fingerprint",
+            F.when(F.col("fingerprint").isNull() & F.expr(f"octet_length(_tl_json) >= {LONG_BYTES}"), unread).otherwise(F.col("fingerprint")),
+        )
+        .withColumn("layout", lookup[F.col("fingerprint")])
+    )
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
-        read = F.expr(re.sub(r"\br\.", f"from_json(_tl_record, '{m.shape}').", m.turns))
+        read = F.expr(re.sub(r"\br\.", f"from_json(_tl_record, '{m.shape}', {READ}).", m.turns))
         turns = F.when(F.col("layout") == m.name, read.cast(TURNS)).otherwise(turns)
     plain = F.transform(
         turns,
