@@ -67,8 +67,8 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*[plain(field) for field in df.schema.fields])
 
 
-def _over(facts: str, build: Callable[..., DataFrame]) -> Query:
-    return lambda spark, sf: portable(build(data.tables(spark, sf, facts)))
+def _over(facts: str, build: Callable[..., DataFrame], sql_rows: bool = False) -> Query:
+    return lambda spark, sf: portable(build(data.tables(spark, sf, facts, sql_rows)))
 
 
 # --- player table ---------------------------------------------------------------
@@ -135,7 +135,7 @@ MATCH_FIELDS = [
 def ingest_flatten_history(spark: SparkSession, sf: str) -> DataFrame:
     """Players' documents, cut to at most 64 fixtures each, and one empty document
     per team, back to match rows."""
-    rows = data.match_measures(spark, sf).select(*MATCH_FIELDS)
+    rows = data.match_measures(spark, sf, sql_rows=True).select(*MATCH_FIELDS)
     chunk = F.concat_ws("/", "element", F.floor(F.col("fixture") / F.lit(64)))
     docs = _chunked_documents(rows, chunk, "history")
     empty = data.raw_teams(spark, sf).select(
@@ -145,9 +145,9 @@ def ingest_flatten_history(spark: SparkSession, sf: str) -> DataFrame:
     return records.select(F.from_json("record", rows.schema).alias("r")).select("r.*")
 
 
-def match_records(spark: SparkSession, sf: str) -> DataFrame:
+def match_records(spark: SparkSession, sf: str, sql_rows: bool = False) -> DataFrame:
     """Match rows as JSON records, some of them faulty by rule of the fixture id."""
-    rows = data.raw_player_gameweek_stats(spark, sf)
+    rows = data.raw_player_gameweek_stats(spark, sf, sql_rows=sql_rows)
     variant = F.col("fixture") % 50
     edited = ["was_home", "minutes", "total_points", "expected_goals"]
     base = F.to_json(F.struct(*[name for name in rows.columns if name not in edited]))
@@ -195,19 +195,19 @@ def _landed(records: DataFrame) -> DataFrame:
 
 
 def validate_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    checked = contract.validate(match_records(spark, sf), "player_gameweek_stats")
+    checked = contract.validate(match_records(spark, sf, sql_rows=True), "player_gameweek_stats")
     return contract.rejects(checked, "player_gameweek_stats")
 
 
 def validated_rows(spark: SparkSession, sf: str) -> DataFrame:
-    checked = contract.validate(match_records(spark, sf), "player_gameweek_stats")
+    checked = contract.validate(match_records(spark, sf, sql_rows=True), "player_gameweek_stats")
     rows = contract.accepted(checked, "player_gameweek_stats")
     return rows.select(*MATCH_FIELDS, "opponent_team", "value", "modified", "transfers_in")
 
 
 def open_records(spark: SparkSession, sf: str) -> DataFrame:
     """Unknown keys stay with the record."""
-    checked = contract.validate(match_records(spark, sf), "player_gameweek_stats")
+    checked = contract.validate(match_records(spark, sf, sql_rows=True), "player_gameweek_stats")
     extra = F.get_json_object("_record", "$.expected_cards").cast("bigint")
     return checked.select("element", "fixture", extra.alias("expected_cards")).filter(
         F.col("expected_cards").isNotNull()
@@ -221,7 +221,7 @@ def field_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 def field_drift_report(spark: SparkSession, sf: str) -> DataFrame:
     known = drift.default_snapshot(spark, "player_gameweek_stats")
-    return drift.drift_report(_landed(match_records(spark, sf)), known)
+    return drift.drift_report(_landed(match_records(spark, sf, sql_rows=True)), known)
 
 
 def snapshot_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +235,7 @@ MERGE_FIELDS = ["element", "fixture", "round", "minutes", "total_points"]
 
 def upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections for some matches and new rows for others."""
-    target = data.match_measures(spark, sf).select(*MERGE_FIELDS)
+    target = data.match_measures(spark, sf, sql_rows=True).select(*MERGE_FIELDS)
     corrected = target.filter(F.col("fixture") % 7 == 0).withColumn(
         "total_points", F.col("total_points") + 1
     )
@@ -245,7 +245,7 @@ def upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert_reschedule(spark: SparkSession, sf: str) -> DataFrame:
     """Some fixtures move to the following gameweek."""
-    target = data.match_measures(spark, sf).select(*MERGE_FIELDS)
+    target = data.match_measures(spark, sf, sql_rows=True).select(*MERGE_FIELDS)
     moved = target.filter(F.col("fixture") % 11 == 0).withColumn(
         "round", F.col("round") % data.GAMEWEEKS + 1
     )
@@ -330,7 +330,7 @@ def queries() -> dict[str, Query]:
         "raw_gameweeks": data.raw_gameweeks,
         "raw_fixtures": data.raw_fixtures,
         "raw_players": data.raw_players,
-        "raw_player_gameweek_stats": data.raw_player_gameweek_stats,
+        "raw_player_gameweek_stats": lambda spark, sf: data.raw_player_gameweek_stats(spark, sf, sql_rows=True),
         "teams_view": _over("measures", lambda t: views.teams(t.teams)),
         "gameweeks_view": _over("measures", lambda t: views.gameweeks(t.gameweeks)),
         "fixtures_view": _over("measures", lambda t: views.fixtures(t.fixtures)),
@@ -338,6 +338,7 @@ def queries() -> dict[str, Query]:
         "player_gameweek_view": _over(
             "full",
             lambda t: views.player_gameweek_stats(t.player_gameweek_stats, t.fixtures, t.players),
+            sql_rows=True,
         ),
         "player_stats_season": _player_stats(),
         "player_stats_range": _player_stats(gw_from=RANGE[0], gw_to=RANGE[1]),

@@ -114,13 +114,18 @@ def raw_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _match_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _match_base(spark: SparkSession, sf_dir: str, sql_rows: bool) -> DataFrame:
     """One row per (part, order). The aggregate pre-combines map-side and its key is
-    the pair, so neither a hot part nor a hot order ends up in one task."""
+    the pair, so neither a hot part nor a hot order ends up in one task.
+
+    ``sql_rows``: without orders that have no gameweek or one after the current, the
+    rows that the SQL of the queries showing single rows of the fact has.
+    """
+    lines = read(spark, sf_dir, "lineitem")
+    if sql_rows:
+        lines = lines.filter(f"l_orderkey % 97 <> 5 and l_orderkey % {GAMEWEEKS} <= {FINISHED_GAMEWEEKS}")
     return (
-        read(spark, sf_dir, "lineitem")
-        .filter(f"l_orderkey % 97 <> 5 and l_orderkey % {GAMEWEEKS} <= {FINISHED_GAMEWEEKS}")
-        .groupBy("l_partkey", "l_orderkey")
+        lines.groupBy("l_partkey", "l_orderkey")
         .agg(
             F.expr("cast(max(l_quantity) as int) as q"),
             F.expr("cast(round(max(l_discount) * 100) as int) as d"),
@@ -136,7 +141,7 @@ def _hundredths(value: str) -> str:
     return f"concat(({value}) div 100, '.', lpad(({value}) % 100, 2, '0'))"
 
 
-def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def match_measures(spark: SparkSession, sf_dir: str, sql_rows: bool = False) -> DataFrame:
     """The fact without the columns that come from a lookup (opponent, scores, value).
 
     Enough for every per-player aggregate, which then shuffles the fact only to
@@ -148,7 +153,7 @@ def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     goals = "case when ln >= 6 then ln - 5 else 0 end"
     return (
-        _match_base(spark, sf_dir)
+        _match_base(spark, sf_dir, sql_rows)
         .selectExpr(
             "*",
             "case when q <= 10 then 0 when q <= 45 then q * 2 else 90 end as minutes",
@@ -191,11 +196,13 @@ def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_player_gameweek_stats(spark: SparkSession, sf_dir: str, price: bool = True) -> DataFrame:
+def raw_player_gameweek_stats(
+    spark: SparkSession, sf_dir: str, price: bool = True, sql_rows: bool = False
+) -> DataFrame:
     """The fact with opponent and scores from the fixture and, with ``price``, the
     player's value. The player is looked up first, so that a later fixture join
     of the plan finds the rows placed by fixture already."""
-    rows = match_measures(spark, sf_dir)
+    rows = match_measures(spark, sf_dir, sql_rows)
     if price:
         part = read(spark, sf_dir, "part")
         rows = rows.join(part.selectExpr("p_partkey + 1 as element", "p_size + 40 as value"), "element")
@@ -218,12 +225,12 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str, facts: str = "full") -> RawTables:
+def tables(spark: SparkSession, sf_dir: str, facts: str = "full", sql_rows: bool = False) -> RawTables:
     """``facts``: ``measures`` (no lookups), ``opponents`` (fixture lookup) or ``full``."""
     if facts == "measures":
-        matches = match_measures(spark, sf_dir)
+        matches = match_measures(spark, sf_dir, sql_rows)
     else:
-        matches = raw_player_gameweek_stats(spark, sf_dir, price=facts == "full")
+        matches = raw_player_gameweek_stats(spark, sf_dir, price=facts == "full", sql_rows=sql_rows)
     return RawTables(
         teams=raw_teams(spark, sf_dir),
         gameweeks=raw_gameweeks(spark, sf_dir),
