@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import (
+    centroids,
     chat_format,
     decontamination,
+    hard_negatives,
     mixing,
     near_duplicates,
     quality,
+    secrets,
     sharding,
     substring_dedup,
     token_counts,
@@ -127,6 +130,23 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judged(pages, RULES, url_filter.train(labelled_urls(pages))).drop("url")
 
 
+def op11_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.secrets(read(spark, sf, "documents"))
+    return found.withColumn("spans", secrets.as_text("found")).drop("found")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    found, model = centroids.clustered(read(spark, sf, "embeddings"))
+    columns = ["cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    return centroids.with_totals(found, model).select(F.col("id").alias("vec_id"), *columns)
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 50 == 0, label=moved)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -138,14 +158,69 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
+    """The rounds written out: assignment by the smallest distance, then floored means."""
+    parts = [
+        f"""kept as materialized (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+            where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size})""",
+        f"""c0 as materialized (
+            select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v as m
+            from kept qualify c < {k})""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} as materialized (
+            select vec_id, v, min(struct_pack(d, c)) as best from (
+                select vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+                from kept, c{n}) group by vec_id, v)""")
+        if n < rounds:
+            parts.append(f"""s{n} as materialized (
+                select c, i, sum(x)::bigint as s, count(*) as n from (
+                    select best.c as c, unnest(v) as x, unnest(range({size})) as i from a{n}) group by c, i)""")
+            parts.append(f"""c{n + 1} as materialized (
+                select o.c, coalesce(w.m, o.m) as m from c{n} o left join (
+                    select c, list((s - ((s % n) + n) % n) // n order by i) as m from s{n} group by c) w on w.c = o.c)""")
+    return "with " + ", ".join(parts) + f"""
+        select vec_id, best.c::int as cluster, best.d::bigint as distance,
+               sum(best.d) over (partition by best.c)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+               sha256(array_to_string(m, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} f on f.c = best.c"""
+
+
 _ESCAPED = r"replace(replace(replace({}, '\', '\b'), '<', '\l'), '>', '\g')"
 _SHARES = ", ".join(f"('{name}', {i}, {share})" for i, (name, share) in enumerate({**SHARES, "*": REST}.items()))
 _WEIGHTS = f"[{', '.join(str(n) for n in [*SHARES.values(), REST])}]"
 _PERIOD = sum(SHARES.values()) + REST
 
 ORACLE_SQL = {
+    "op12_centroid_clustering": _clustering_sql(),
+    "op13_hard_negatives": """
+        with kept as materialized (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)) as v
+            from embeddings
+            where label is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+        scores as materialized (
+            select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same,
+                   list_inner_product(a.v, r.v)::bigint as score
+            from kept a join kept r on a.vec_id <> r.vec_id where a.vec_id % 50 = 0),
+        positives as (
+            select anchor_id, id as positive_id, score as positive_score from scores where same
+            qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+        select p.anchor_id, positive_id,
+               (row_number() over (partition by p.anchor_id, positive_id order by score desc, id))::int as rank,
+               id as negative_id, positive_score, score as negative_score
+        from positives p join scores s on s.anchor_id = p.anchor_id and not s.same
+             and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        qualify rank <= 3
+    """,
     "op1_substring_dedup": """
         with texts as (
             select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
