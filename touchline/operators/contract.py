@@ -8,16 +8,17 @@ Two texts are kept apart: ``errors`` (the contract) and ``table_errors`` (what t
 table would refuse: null in a not-null column, a value of the wrong type). Both are
 empty for a good record.
 
-One pass over the JSON gives the text of every key, which settles almost every
-value. Whether a key is missing or null, and the JSON kind of a value, are looked up
-only where the text leaves them open. A value the contract already refused is not
-reported again for the table.
+One typed parse with a corrupt-record marker settles the good records: every value has
+the JSON kind of its column, nothing required is absent, and no null stands where a
+default would. Only the other records are looked at key by key, for the reasons or for
+what the contract lets through (text for a number, ``7.0``). Of a repeated key the last
+value counts; text after the record makes it unreadable. A value the contract already
+refused is not reported again for the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.sources.schemas import Field, fields
@@ -129,7 +130,7 @@ def _joined(errors: list[str | None]) -> str:
 
 # The kinds of a record come as ``OBJECT<id: BIGINT, name: STRING, ...>``; the kinds
 # inside nested values are cut out, innermost first.
-_KINDS = "schema_of_variant(try_parse_json(_record))"
+_KINDS = "schema_of_variant(try_parse_json(_rest))"
 _NESTED = "<[^<>]*>"
 _TOP_LEVEL = (
     f"case when {{0}} like 'OBJECT<%<%' then regexp_replace(regexp_replace(regexp_replace("
@@ -138,47 +139,137 @@ _TOP_LEVEL = (
 )
 # Deeper records, which are rare, have their keys looked at one by one.
 _ONE_BY_ONE = (
-    "concat(concat_ws(', ', transform(map_entries(cast(try_parse_json(_record) as map<string, variant>)),"
+    "concat(concat_ws(', ', transform(map_entries(cast(try_parse_json(_rest) as map<string, variant>)),"
     " e -> concat(e.key, ': ', substring_index(schema_of_variant(e.value), '<', 1)))), '>')"
 )
 
 
+def strictly(text: str, fields_ddl: str) -> str:
+    """SQL that parses one whole JSON text as the field ``r`` of a struct of the DDL; text
+    after the value, which the parser itself would pass over, leaves the field ``e``
+    without the text's hash."""
+    return (
+        f"from_json(concat('{{\"r\":', {text}, ',\"e\":', xxhash64({text}), '}}'), 'r {fields_ddl}, e bigint, c string',"
+        " map('columnNameOfCorruptRecord', 'c', 'allowSingleQuotes', 'false',"
+        " 'allowNonNumericNumbers', 'false', 'maxStringLen', '2147483647'))"
+    )
+
+
+_PLAIN = (T.IntegerType, T.LongType, T.BooleanType)
+
+
+class _Parsed:
+    """SQL about one field of the typed parse: its value, and whether it is settled."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.plain = isinstance(field.type, _PLAIN)
+        # a text field keeps its JSON kind
+        self.kept = field.kind == "str"
+        given = f"_p.r.`{field.name}`"
+        self.raw = f"cast({given} as string)" if self.kept else given
+        self.kind = f"coalesce(schema_of_variant({given}), 'VOID') in ('STRING', 'VOID')"
+        parsed_as = "variant" if self.kept else field.type.simpleString() if self.plain else "string"
+        self.ddl = f"`{field.name}`: {parsed_as}"
+
+    def stored(self) -> str:
+        if self.plain or isinstance(self.field.type, T.StringType):
+            return self.raw
+        return f"try_cast({self.raw} as {self.field.type.simpleString()})"
+
+    def value(self) -> str:
+        default = self.field.default
+        if default is None:
+            return self.stored()
+        ddl = self.field.type.simpleString()
+        filled = "current_timestamp()" if default == "now" else f"cast('{default}' as {ddl})"
+        return f"coalesce({self.stored()}, {filled})"
+
+    def filled_when_missing(self) -> bool:
+        """Whether a missing key is fine but a null is not."""
+        field = self.field
+        refuses_null = field.kind not in (None, "any") and not (field.optional or field.required)
+        return refuses_null or field.default is not None
+
+    def settled(self) -> list[str]:
+        conditions = [self.kind] if self.kept else []
+        if self.field.required or (self.field.not_null and self.field.default is None):
+            conditions.append(f"{self.stored()} is not null")
+        elif self.stored() != self.raw:
+            conditions.append(f"({self.raw} is null or {self.stored()} is not null)")
+        return conditions
+
+
+def _all(conditions: list[str]) -> str:
+    """Whether all conditions hold; an unknown one doesn't. A chain of cases: the planner
+    compares long conjunctions in every order."""
+    return "case" + "".join(f" when ({c}) is not true then false" for c in conditions) + " else true end"
+
+
+def _good(parsed: list[_Parsed]) -> str:
+    """Whether the typed parse settles the record. The pattern looks for a null in place of
+    a default; a match inside a nested value only sends a good record the longer way.
+    Escapes could hide a name from it."""
+    gaps = [p for p in parsed if p.filled_when_missing()]
+    conditions = ["_p.c is null", "_p.e = _h", "_p.r is not null", *[c for p in parsed for c in p.settled()]]
+    if gaps:
+        given = _all([f"{p.raw} is not null" for p in gaps])
+        names = "|".join(p.field.name for p in gaps)
+        unclear = "contains(_record, 'null') and (contains(_record, chr(92)) or _record rlike"
+        conditions.append(f"{given} or not ({unclear} '\"({names})\"\\\\s*:\\\\s*null'))")
+    return _all(conditions)
+
+
 def validate(records: DataFrame, entity: str) -> DataFrame:
     """Typed columns of ``entity`` beside the record, its place and its failures.
 
     Nothing is dropped: ``accepted`` and ``rejects`` pick from the result.
     """
+    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     keys = [_Key(field) for field in fields(entity)]
+    parsed = [_Parsed(field) for field in fields(entity)]
     place = [f"_{name}" for name in records.columns]
-    texts = F.json_tuple("_record", *[key.name for key in keys]).alias(
-        *[f"_text_{key.name}" for key in keys]
-    )
-    texts_only = "|".join(key.name for key in keys if key.field.kind == "str")
+    as_texts = "struct<" + ", ".join(f"`{key.name}`: string" for key in keys) + ">"
+    all_texts = _all([p.kind for p in parsed if p.kept])
+    typed_ddl = f"struct<{', '.join(p.ddl for p in parsed)}>"
+    once = f"inline(array(struct({strictly('_record', typed_ddl)} as _p, xxhash64(_record) as _h)))"
+    settled = [
+        "coalesce(_p.e = _h, false) as _whole",
+        f"{_good(parsed)} as _good",
+        f"not {all_texts} as _has_flips",
+    ]
+    carried = [*place, "_p", "_whole", "_good", "_has_flips"]
     extracted = (
         records.toDF(*place)
-        .selectExpr(*place, f"{_KINDS} as _schema")
-        .selectExpr(*place, f"{_TOP_LEVEL.format('_schema')} as _top")
-        .selectExpr(*place, f"case when contains(_top, '<') then {_ONE_BY_ONE} else _top end as _top")
-        .selectExpr(*place, "concat(' ', rtrim('>', _top), ',') as _kinds")
+        # one output row per record; a generator's output is computed once
+        .selectExpr(*place, once)
+        .selectExpr(*place, "_p", f"inline(array(struct({', '.join(settled)})))")
+        .selectExpr(*carried, "case when _whole and not _good then _record end as _rest")
+        .selectExpr(*carried, "_rest", f"{_KINDS} as _schema")
+        .selectExpr(*carried, "_rest", f"{_TOP_LEVEL.format('_schema')} as _top")
+        .selectExpr(*carried, "_rest", f"case when contains(_top, '<') then {_ONE_BY_ONE} else _top end as _top")
+        .selectExpr(*carried, "_rest", "concat(' ', rtrim('>', _top), ',') as _kinds")
         .selectExpr(
-            *place,
+            *carried,
+            "_rest",
             "_kinds",
             "contains(_kinds, ': VOID,') as _has_nulls",
-            f"_kinds rlike ' ({texts_only}): (?!STRING,|VOID,)' as _has_flips",
         )
-        .select(*place, "_kinds", "_has_nulls", "_has_flips", texts)
+        .selectExpr(*carried, "_kinds", "_has_nulls", f"inline(array(struct({strictly('_rest', as_texts)} as _t)))")
+        .selectExpr(*carried, "_kinds", "_has_nulls", *[f"_t.r.`{key.name}` as `_text_{key.name}`" for key in keys])
     )
     typed = extracted.selectExpr("*", *[key.value() for key in keys])
     errors = _joined([key.contract_error() for key in keys])
     table_errors = _joined([key.table_error() for key in keys])
     checked = [
-        *[f"`{key.name}`" for key in keys],
-        "case when _record is null then 'document without a readable list of records'"
+        *[f"case when _good then {p.value()} else `{p.field.name}` end as `{p.field.name}`" for p in parsed],
+        "case when _good then ''"
+        " when _record is null then 'document without a readable list of records'"
         f" when _kinds is null then 'not a JSON object' else {errors} end as errors",
-        f"case when _kinds is null then '' else {table_errors} end as table_errors",
+        f"case when _good or _kinds is null then '' else {table_errors} end as table_errors",
     ]
-    # One output row per record. As the output of a generator the failures are
-    # computed once: a filter on them is not pushed down and computed again there.
+    # As the output of a generator the failures are computed once: a filter on them is
+    # not pushed down and computed again there.
     return typed.selectExpr(*place, f"inline(array(struct({', '.join(checked)})))")
 
 
@@ -206,7 +297,5 @@ def require_valid(rejected: DataFrame, shown: int = 20) -> None:
     sample = rejected.orderBy("label", "doc", "row").limit(shown).collect()
     if not sample:
         return
-    lines = [f"  [{r.label}] row {r.row} id={r.id}: {r.reasons}" for r in sample]
-    raise ContractError(
-        f"Validation failed for {rejected.count()} row(s):\n" + "\n".join(lines)
-    )
+    lines = [f"{r.label}, record {r.row} (id {r.id}) of {r.doc}: {r.reasons}" for r in sample]
+    raise ContractError("\n".join([f"records refused: {rejected.count()}, of which", *lines]))
