@@ -236,27 +236,31 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
     settled = [
         "coalesce(_p.e = _h, false) as _whole",
         f"{_good(parsed)} as _good",
-        f"not {all_texts} as _has_flips",
     ]
-    carried = [*place, "_p", "_whole", "_good", "_has_flips"]
+    rest = [
+        "case when _whole and not _good then _record end as _rest",
+        f"case when _whole and not _good then not {all_texts} end as _has_flips",
+    ]
+    carried = [*place, "_p", "_whole", "_good"]
+    shown = [*carried, "_has_flips"]
     extracted = (
         records.toDF(*place)
         # one output row per record; a generator's output is computed once
         .selectExpr(*place, once)
         .selectExpr(*place, "_p", f"inline(array(struct({', '.join(settled)})))")
-        .selectExpr(*carried, "case when _whole and not _good then _record end as _rest")
-        .selectExpr(*carried, "_rest", f"{_KINDS} as _schema")
-        .selectExpr(*carried, "_rest", f"{_TOP_LEVEL.format('_schema')} as _top")
-        .selectExpr(*carried, "_rest", f"case when contains(_top, '<') then {_ONE_BY_ONE} else _top end as _top")
-        .selectExpr(*carried, "_rest", "concat(' ', rtrim('>', _top), ',') as _kinds")
+        .selectExpr(*carried, f"inline(array(struct({', '.join(rest)})))")
+        .selectExpr(*shown, "_rest", f"{_KINDS} as _schema")
+        .selectExpr(*shown, "_rest", f"{_TOP_LEVEL.format('_schema')} as _top")
+        .selectExpr(*shown, "_rest", f"case when contains(_top, '<') then {_ONE_BY_ONE} else _top end as _top")
+        .selectExpr(*shown, "_rest", "concat(' ', rtrim('>', _top), ',') as _kinds")
         .selectExpr(
-            *carried,
+            *shown,
             "_rest",
             "_kinds",
             "contains(_kinds, ': VOID,') as _has_nulls",
         )
-        .selectExpr(*carried, "_kinds", "_has_nulls", f"inline(array(struct({strictly('_rest', as_texts)} as _t)))")
-        .selectExpr(*carried, "_kinds", "_has_nulls", *[f"_t.r.`{key.name}` as `_text_{key.name}`" for key in keys])
+        .selectExpr(*shown, "_kinds", "_has_nulls", f"inline(array(struct({strictly('_rest', as_texts)} as _t)))")
+        .selectExpr(*shown, "_kinds", "_has_nulls", *[f"_t.r.`{key.name}` as `_text_{key.name}`" for key in keys])
     )
     typed = extracted.selectExpr("*", *[key.value() for key in keys])
     errors = _joined([key.contract_error() for key in keys])
