@@ -7,10 +7,10 @@ across engines.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -20,25 +20,30 @@ from pyspark.sql import types as T  # noqa: E402
 
 import oracle  # noqa: E402
 from touchline.functions.labels import age_label  # noqa: E402
-from touchline.operators import contract, drift, integrity, merge, selection, views  # noqa: E402
+from touchline.operators import contract, drift, integrity, merge, runs, selection, views  # noqa: E402
 from touchline.plans import fixtures_grid as grid  # noqa: E402
 from touchline.plans import player_history as hist  # noqa: E402
 from touchline.plans import player_stats as stats  # noqa: E402
+from touchline.plans.load import LandingPaths, run_load  # noqa: E402
 from touchline.session import shared_dir  # noqa: E402
 from touchline.sources import driver_tables as data  # noqa: E402
 from touchline.sources import landing  # noqa: E402
 from touchline.sources.schemas import conform  # noqa: E402
 from touchline.sources.store import TableStore  # noqa: E402
-from touchline.streaming.landing_stream import load_rows  # noqa: E402
+from touchline.streaming.landing_stream import load_histories, load_rows  # noqa: E402
 
 #: The training-data operators and their pipeline stand apart; without them the rest works.
-WITH_LLM = all(importlib.util.find_spec(name) for name in ("touchline.llm", "corpus_pipeline"))
+try:
+    import corpus_pipeline
+    from touchline.llm import queries as llm_queries
+
+    WITH_LLM = True
+except ImportError:
+    WITH_LLM = False
 if WITH_LLM:
     from pyspark import cloudpickle
 
-    import corpus_pipeline
     import touchline
-    from touchline.llm import queries as llm_queries
 
     # Functions go to the executors with their code, so these need no copy of the package.
     cloudpickle.register_pickle_by_value(touchline)
@@ -48,6 +53,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 LAST_N = 8
 RANGE = (5, 20)
+#: Narrow forms: one player, one team, a range of gameweeks, and a next gameweek that has
+#: finished matches after it.
+ONE_PLAYER, ONE_TEAM, OWN_RANGE, EARLY_NEXT = 7, "T000003", (3, 9), 21
 FILTERS = {"pos": "MID", "max_price": 7.5, "min_mp_pct": 45.0}
 
 
@@ -132,19 +140,49 @@ MATCH_FIELDS = [
 ]
 
 
-def ingest_flatten_history(spark: SparkSession, sf: str) -> DataFrame:
+def ingest_flatten_history(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
     """Players' documents, cut to at most 64 fixtures each, and one empty document
     per team, back to match rows."""
-    rows = data.match_measures(spark, sf, sql_rows=True).select(*MATCH_FIELDS)
-    chunk = F.concat_ws("/", "element", F.floor(F.col("fixture") / F.lit(64)))
-    docs = _chunked_documents(rows, chunk, "history")
+    rows = data.match_measures(spark, sf, sql_rows=sql_rows).select(*MATCH_FIELDS)
     empty = data.raw_teams(spark, sf).select(
         F.col("short_name").alias("doc"), F.lit('{"history": []}').alias("value")
     )
-    records = landing.history_records(docs.unionByName(empty))
+    records = landing.history_records(_history_documents(rows).unionByName(empty))
     return records.select(F.from_json("record", rows.schema).alias("r")).select("r.*")
 
 
+def _history_documents(rows: DataFrame) -> DataFrame:
+    chunk = F.concat_ws("/", "element", F.floor(F.col("fixture") / F.lit(64)))
+    return _chunked_documents(rows, chunk, "history")
+
+
+def ingest_gameweeks(spark: SparkSession, sf: str) -> DataFrame:
+    weeks = data.raw_gameweeks(spark, sf)
+    docs = _chunked_documents(weeks, F.floor(F.col("id") / F.lit(64)), "events")
+    checked = contract.validate(landing.bootstrap_records(docs, "gameweeks"), "gameweeks")
+    return contract.accepted(checked, "gameweeks").select(*weeks.columns, "highest_score", "data_checked")
+
+
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    """Players with all that the contract requires."""
+    return data.raw_players(spark, sf).selectExpr("*", "id * 2 as code", "'a' as status")
+
+
+def ingest_players(spark: SparkSession, sf: str) -> DataFrame:
+    """Players through the contract; by rule of the id some lack their status, their form,
+    or have a text for a price."""
+    people = _people(spark, sf)
+    faulty = people.selectExpr(
+        "* except (now_cost, status, form)",
+        "case when id % 20 = 1 then null else status end as status",
+        "case when id % 20 = 2 then 'dear' else cast(now_cost as string) end as now_cost",
+        "case when id % 20 <> 3 then form end as form",
+    )
+    docs = _chunked_documents(faulty, F.floor(F.col("id") / F.lit(64)), "elements")
+    checked = contract.validate(landing.bootstrap_records(docs, "players"), "players")
+    return checked.select(*people.columns, "errors")
+
+
 def match_records(spark: SparkSession, sf: str, sql_rows: bool = False) -> DataFrame:
     """Match rows as JSON records, some of them faulty by rule of the fixture id."""
     rows = data.raw_player_gameweek_stats(spark, sf, sql_rows=sql_rows)
@@ -194,20 +232,20 @@ def _landed(records: DataFrame) -> DataFrame:
     return records.selectExpr("inline(array(struct(doc, pos, record)))")
 
 
-def validate_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    checked = contract.validate(match_records(spark, sf, sql_rows=True), "player_gameweek_stats")
+def validate_rejects(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
+    checked = contract.validate(match_records(spark, sf, sql_rows=sql_rows), "player_gameweek_stats")
     return contract.rejects(checked, "player_gameweek_stats")
 
 
-def validated_rows(spark: SparkSession, sf: str) -> DataFrame:
-    checked = contract.validate(match_records(spark, sf, sql_rows=True), "player_gameweek_stats")
+def validated_rows(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
+    checked = contract.validate(match_records(spark, sf, sql_rows=sql_rows), "player_gameweek_stats")
     rows = contract.accepted(checked, "player_gameweek_stats")
     return rows.select(*MATCH_FIELDS, "opponent_team", "value", "modified", "transfers_in")
 
 
-def open_records(spark: SparkSession, sf: str) -> DataFrame:
+def open_records(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
     """Unknown keys stay with the record."""
-    checked = contract.validate(match_records(spark, sf, sql_rows=True), "player_gameweek_stats")
+    checked = contract.validate(match_records(spark, sf, sql_rows=sql_rows), "player_gameweek_stats")
     extra = F.get_json_object("_record", "$.expected_cards").cast("bigint")
     return checked.select("element", "fixture", extra.alias("expected_cards")).filter(
         F.col("expected_cards").isNotNull()
@@ -219,9 +257,9 @@ def field_drift(spark: SparkSession, sf: str) -> DataFrame:
     return drift.new_fields(_landed(match_records(spark, sf)), known)
 
 
-def field_drift_report(spark: SparkSession, sf: str) -> DataFrame:
+def field_drift_report(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
     known = drift.default_snapshot(spark, "player_gameweek_stats")
-    return drift.drift_report(_landed(match_records(spark, sf, sql_rows=True)), known)
+    return drift.drift_report(_landed(match_records(spark, sf, sql_rows=sql_rows)), known)
 
 
 def snapshot_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,9 +271,9 @@ def snapshot_keys(spark: SparkSession, sf: str) -> DataFrame:
 MERGE_FIELDS = ["element", "fixture", "round", "minutes", "total_points"]
 
 
-def upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
+def upsert_stats(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
     """Corrections for some matches and new rows for others."""
-    target = data.match_measures(spark, sf, sql_rows=True).select(*MERGE_FIELDS)
+    target = data.match_measures(spark, sf, sql_rows=sql_rows).select(*MERGE_FIELDS)
     corrected = target.filter(F.col("fixture") % 7 == 0).withColumn(
         "total_points", F.col("total_points") + 1
     )
@@ -243,9 +281,9 @@ def upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
     return merge.merge(target, corrected.unionByName(added), ["element", "fixture"])
 
 
-def upsert_reschedule(spark: SparkSession, sf: str) -> DataFrame:
+def upsert_reschedule(spark: SparkSession, sf: str, sql_rows: bool = True) -> DataFrame:
     """Some fixtures move to the following gameweek."""
-    target = data.match_measures(spark, sf, sql_rows=True).select(*MERGE_FIELDS)
+    target = data.match_measures(spark, sf, sql_rows=sql_rows).select(*MERGE_FIELDS)
     moved = target.filter(F.col("fixture") % 11 == 0).withColumn(
         "round", F.col("round") % data.GAMEWEEKS + 1
     )
@@ -258,6 +296,105 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return merge.latest_per_key(events, ["user_id"], F.struct("ts", "event_id"))
 
 
+def _new_store(spark: SparkSession, name: str, **options: int) -> TableStore:
+    return TableStore(spark, shared_dir(spark, f"{name}-{os.urandom(6).hex()}"), **options)
+
+
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole fact loaded into a store, then all of it again with corrections, moved
+    fixtures and added rows among unchanged ones."""
+    store, name = _new_store(spark, "store-upsert", rows_per_bucket=20_000), "player_gameweek_stats"
+    rows = conform(data.match_measures(spark, sf), name)
+    store.upsert(name, rows)
+    again = rows.withColumns(
+        {
+            "total_points": F.col("total_points") + F.when(F.col("fixture") % 7 == 0, 1).otherwise(0),
+            "round": F.when(F.col("fixture") % 11 == 0, F.col("round") % data.GAMEWEEKS + 1).otherwise(F.col("round")),
+        }
+    )
+    added = rows.filter(F.col("fixture") % 13 == 0).withColumn("fixture", -F.col("fixture"))
+    store.upsert(name, again.unionByName(added))
+    return store.read(name).select(*MERGE_FIELDS)
+
+
+def load_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """References that a load would refuse: by rule of the ids some rows refer to nothing."""
+    tables = data.tables(spark, sf, "opponents").named()
+    players, fixtures, facts = (tables[name] for name in ("players", "fixtures", "player_gameweek_stats"))
+    tables["players"] = players.withColumn("team", F.expr("case when id % 41 = 0 then -id else team end"))
+    tables["fixtures"] = fixtures.withColumn("event", F.expr("case when id % 43 = 0 then 90 else event end")).withColumn(
+        "team_h", F.expr("case when id % 47 = 0 then 0 else team_h end")
+    )
+    tables["player_gameweek_stats"] = facts.withColumn("element", F.expr("case when fixture % 53 = 0 then -1 else element end")).withColumn(
+        "opponent_team", F.expr("case when fixture % 59 = 0 then null when fixture % 61 = 0 then -2 else opponent_team end")
+    )
+    return integrity.foreign_key_orphans(tables)
+
+
+def pk_audit_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Key audit over tables in which some rows come twice."""
+    tables = data.tables(spark, sf, "measures").named()
+    twice = {"teams": "id % 10 = 0", "fixtures": "id % 17 = 0", "player_gameweek_stats": "fixture % 19 = 0"}
+    for name, rule in twice.items():
+        tables[name] = tables[name].selectExpr("*", f"explode(sequence(1, if({rule}, 2, 1))) as _copy").drop("_copy")
+    return integrity.primary_key_audit(tables)
+
+
+def column_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Column audit over the six tables, with faults by rule of the ids."""
+    tables = {name: conform(df, name) for name, df in data.tables(spark, sf, "opponents").named().items()}
+    tables["teams"] = tables["teams"].drop("draw")
+    tables["players"] = tables["players"].withColumn("now_cost", F.col("now_cost").cast("string"))
+    nulls = {
+        "teams": ("win", "id % 3 = 0"), "gameweeks": ("finished", "id % 5 = 0"), "fixtures": ("team_a", "id % 40 = 1"),
+        "player_gameweek_stats": ("bps", "fixture % 29 = 0"), "etl_runs": ("started_at", "id % 10 = 3"),
+    }
+    for name, (column, rule) in nulls.items():
+        tables[name] = tables[name].withColumn(column, F.expr(f"case when not ({rule}) then {column} end"))
+    return integrity.column_audit(tables)
+
+
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the opening and, but for errors, the closing of a run per user."""
+    opened = data.read(spark, sf, "events").selectExpr("user_id as id", "ts as started_at", "cast(null as timestamp) as finished_at")
+    closed = data.read(spark, sf, "events").filter("event_type <> 'error'")
+    return runs.latest_state(opened.unionByName(closed.selectExpr("user_id as id", "ts as started_at", "cast(ts as timestamp) as finished_at")))
+
+
+def _land(docs: DataFrame, path: str) -> None:
+    docs.select("value").write.mode("append").text(path)
+
+
+def load_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of all tables landed, one load, and the season aggregate over the store."""
+    store = _new_store(spark, "load-job")
+    paths = LandingPaths.under(f"{store.root}/landing", lines=True)
+    arrays = {"teams": data.raw_teams(spark, sf), "events": data.raw_gameweeks(spark, sf), "elements": _people(spark, sf)}
+    for name, rows in arrays.items():
+        body = F.struct(*[(F.collect_list(F.struct(*rows.columns)) if a == name else F.array()).alias(a) for a in arrays])
+        _land(rows.groupBy(F.floor(F.col("id") / F.lit(64))).agg(F.to_json(body).alias("value")), paths.bootstrap)
+    _land(_chunked_documents(data.raw_fixtures(spark, sf), F.floor(F.col("id") / F.lit(64)), None), paths.fixtures)
+    _land(_history_documents(data.raw_player_gameweek_stats(spark, sf)), paths.histories)
+    run_load(store, paths)
+    return portable(stats.player_stats(store.tables()))
+
+
+def stream_two_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Match documents streamed into a store that has the rows they refer to; a second run
+    takes documents with corrections that landed later."""
+    store, name = _new_store(spark, "stream-batches"), f"two-batches-{os.urandom(6).hex()}"
+    tables = data.tables(spark, sf)
+    for entity in ("teams", "gameweeks", "players", "fixtures"):
+        store.upsert(entity, conform(tables.named()[entity], entity))
+    rows, path = tables.player_gameweek_stats, f"{store.root}/landing"
+    _land(_history_documents(rows), path)
+    load_histories(store, path, name, lines=True).awaitTermination()
+    corrected = rows.filter(F.col("fixture") % 7 == 0).withColumn("total_points", F.col("total_points") + 1)
+    _land(_history_documents(corrected), path)
+    load_histories(store, path, name, lines=True).awaitTermination()
+    return store.read("player_gameweek_stats").select(*MERGE_FIELDS)
+
+
 def pk_audit(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.primary_key_audit(data.tables(spark, sf, "measures").named())
 
@@ -325,6 +462,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     history = lambda t, **k: hist.player_history(t, **k)
+    whole = lambda query: lambda spark, sf: query(spark, sf, sql_rows=False)
+    early = lambda t: replace(t, gameweeks=t.gameweeks.withColumn("is_next", F.col("id") == EARLY_NEXT))
     own = {
         "raw_teams": data.raw_teams,
         "raw_gameweeks": data.raw_gameweeks,
@@ -401,6 +540,41 @@ def queries() -> dict[str, Query]:
         "etl_last_updated": lambda spark, sf: views.etl_last_updated(data.raw_runs(spark, sf)),
         "run_age_label": run_age_label,
         "stream_fixtures": stream_fixtures,
+        "matches_view": _over(
+            "full", lambda t: views.player_gameweek_stats(t.player_gameweek_stats, t.fixtures, t.players)
+        ),
+        "flatten_history_all": whole(ingest_flatten_history),
+        "validate_all_rejects": whole(validate_rejects),
+        "validate_all_rows": whole(validated_rows),
+        "open_records_all": whole(open_records),
+        "drift_report_all": whole(field_drift_report),
+        "upsert_stats_all": whole(upsert_stats),
+        "upsert_reschedule_all": whole(upsert_reschedule),
+        "store_upsert": store_upsert,
+        "load_orphans": load_orphans,
+        "pk_audit_seeded": pk_audit_seeded,
+        "column_audit": column_audit,
+        "run_log": run_log,
+        "load_job": load_job,
+        "stream_two_batches": stream_two_batches,
+        "ingest_gameweeks": ingest_gameweeks,
+        "ingest_players": ingest_players,
+        "history_before_next": _over("opponents", lambda t: history(early(t), last_n=3, include_current=False)),
+        "player_stats_placed": _over("measures", lambda t: stats.points_order(stats.player_stats(t)).select("player_id", "pts", "place")),
+        "stats_table_placed": _over(
+            "measures", lambda t: stats.points_order(stats.player_stats(t, last_n=LAST_N), "Per 90").select("player_id", "p90", "place")
+        ),
+        "history_placed": _over(
+            "opponents", lambda t: hist.display_order(history(t)).select("player_id", "fixture_id", "gameweek_id", "place")
+        ),
+        "chart_placed": _over(
+            "measures", lambda t: hist.chart_order(hist.involvement(t)).select("player_id", "fixture_id", "cum_gi", "place")
+        ),
+        "teams_placed": _over("measures", lambda t: grid.team_order(grid.matrix_cells(t, texts=False))),
+        "one_player_history": _over("opponents", lambda t: history(t, player_id=ONE_PLAYER)),
+        "one_team_stats": _over("measures", lambda t: stats.filter_players(stats.player_stats(t), team=ONE_TEAM)),
+        "one_team_strip": _over("measures", lambda t: grid.fixture_strip(t, ONE_TEAM)),
+        "own_range_cells": _over("measures", lambda t: grid.matrix_cells(t, grid.MatrixRange(*OWN_RANGE))),
     }
     if WITH_LLM:
         own |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}

@@ -7,11 +7,12 @@ import json
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql.functions import col, spark_partition_id
 from league import fixture, gameweek, league, match, player, rows, team
 
 from touchline.operators import contract, drift, integrity, merge, views
 from touchline.plans import contract_check
-from touchline.plans.load import LandingPaths, open_run, run_load
+from touchline.plans.load import LandingPaths, close_run, open_run, run_load, runs
 from touchline.plans.player_stats import player_stats
 from touchline.sources import landing
 from touchline.sources.schemas import column_names
@@ -172,6 +173,8 @@ def test_check_reads_all_histories(spark, landed, store):
         ("element-summary/2.json", '{"history": [{"element": 2'),
         ("element-summary/2.json", '{"history": {"element": 2}}'),
         ("element-summary/2.json", "late"),
+        ("element-summary/2.json", '{"history": []} late'),
+        ("fixtures/all.json", "[]]"),
         ("fixtures/all.json", '[{"id": 1'),
         ("fixtures/all.json", '{"detail": "err"}'),
         ("bootstrap-static/all.json", '{"events": [], "elements": []}'),
@@ -201,17 +204,20 @@ def test_empty_histories(spark, landed, store):
     assert facts.count() == 0 and facts.columns == column_names("player_gameweek_stats")
 
 
-def test_load_twice_and_correct(spark, landed, store):
+def test_load_twice_and_correct(spark, landed, store, tmp_path):
     clock = iter(datetime(2025, 8, 20, hour, tzinfo=timezone.utc) for hour in range(24)).__next__
-    assert run_load(store, landed.paths, clock) == 1
+    one = run_load(store, landed.paths, clock)
     first = sorted(map(tuple, store.read("player_gameweek_stats").collect()))
-    assert run_load(store, landed.paths, clock) == 2
+    files = sorted(p.name for p in (tmp_path / "store/data").rglob("*.parquet"))
+    assert run_load(store, landed.paths, clock) > one
+    # nothing changed, so no data file is written
+    assert sorted(p.name for p in (tmp_path / "store/data").rglob("*.parquet")) == files
     assert sorted(map(tuple, store.read("player_gameweek_stats").collect())) == first
     assert len(first) == 2
     week = store.read("gameweeks").filter("id = 1").first()
     assert json.loads(week.chip_plays) == [{"n": 1}] and week.deadline_time.hour == 17
     assert [r.pts for r in player_stats(store.tables()).collect()] == [6, 0]
-    assert views.etl_last_updated(store.read("etl_runs")).first().finished_at.hour == 3
+    assert views.etl_last_updated(runs(store)).first().finished_at.hour == 3
 
     landed.write(history={**HISTORY, 1: [match(1, 1, minutes=90, total_points=9)]})
     run_load(store, landed.paths, clock)
@@ -222,13 +228,17 @@ def test_rejected_load_writes_nothing(spark, landed, store):
     landed.write(history={1: [match(1, 1, minutes="x")], 2: [{"element": 2}]})
     with pytest.raises(contract.ContractError, match="refused: 2"):
         run_load(store, landed.paths)
-    assert store.read("teams").count() == 0 and store.read("etl_runs").count() == 0
+    assert store.read("teams").count() == 0 and runs(store).count() == 0
 
 
 def test_unfinished_run_is_not_seen(store):
-    open_run(store, datetime(2025, 8, 20, tzinfo=timezone.utc))
-    assert store.read("etl_runs").count() == 1
-    assert views.etl_last_updated(store.read("etl_runs")).count() == 0
+    at = lambda hour: datetime(2025, 8, 20, hour, tzinfo=timezone.utc)
+    first, second = open_run(store, at(1)), open_run(store, at(2))
+    assert first < second and runs(store).count() == 2
+    assert views.etl_last_updated(runs(store)).count() == 0
+    close_run(store, first, at(1), at(5))
+    assert {r.id: (r.started_at.hour, r.finished_at and r.finished_at.hour) for r in runs(store).collect()} == {first: (1, 5), second: (2, None)}
+    assert views.etl_last_updated(runs(store)).first().finished_at.hour == 5
 
 
 def test_moved_fixture_leaves_no_old_row(spark, store):
@@ -242,7 +252,7 @@ def test_moved_fixture_leaves_no_old_row(spark, store):
 
 def test_uncommitted_version_is_not_read(spark, store):
     store.upsert("teams", rows(spark, "teams", [team(1, "AAA")]))
-    rows(spark, "teams", [team(2, "BBB")]).write.parquet(f"{store.root}/data/teams/v=2")
+    rows(spark, "teams", [team(2, "BBB")]).write.parquet(f"{store.root}/data/teams/v=2/_bucket=0")
     assert [r.short_name for r in store.read("teams").collect()] == ["AAA"]
     store.upsert("teams", rows(spark, "teams", [team(3, "CCC")]))
     assert sorted(r.short_name for r in store.read("teams").collect()) == ["AAA", "CCC"]
@@ -256,16 +266,99 @@ def test_repeated_key_in_one_load(spark, store):
 
 def test_stream_takes_new_files_once(spark, landed, store):
     path = landed.paths.histories
-    load_histories(store, path, "stream-test").awaitTermination()
+    load_histories(store, path, "stream-test", references=False).awaitTermination()
     assert store.read("player_gameweek_stats").count() == 2
     (landed.root / "element-summary/1-later.json").write_text(
         json.dumps({"history": [match(1, 1, minutes=10), match(1, 2, round=2)]})
     )
-    load_histories(store, path, "stream-test").awaitTermination()
+    load_histories(store, path, "stream-test", references=False).awaitTermination()
     got = sorted((r.element, r.fixture, r.minutes) for r in store.read("player_gameweek_stats").collect())
     assert got == [(1, 1, 10), (1, 2, 0), (2, 1, 45)]
 
 
+def test_a_load_rewrites_only_changed_buckets(spark, store, tmp_path):
+    store, name = TableStore(spark, store.root, rows_per_bucket=2), "player_gameweek_stats"
+    facts = [match(p, f, round=f) for p in range(1, 6) for f in (1, 2)]
+    store.upsert(name, rows(spark, name, facts))
+    files = lambda: {p for p in (tmp_path / "store/data").rglob("*.parquet")}
+    before = files()
+    assert len({p.parent.parent.name for p in before}) > 2  # buckets
+    assert store.upsert(name, rows(spark, name, facts[:7])) is None and files() == before
+    # one row changes, one moves, one is the same
+    version = store.upsert(name, rows(spark, name, [{**facts[0], "saves": 3}, {**facts[3], "round": 9}, facts[5]]))
+    added = {p.relative_to(tmp_path / f"store/data/{name}/v={version}").parent.as_posix() for p in files() - before}
+    assert len({a.split("/")[0] for a in added}) <= 2
+    want = sorted((*(m[k] for k in ("element", "fixture", "round")), 0) for m in facts)
+    want[0], want[3] = (1, 1, 1, 3), (2, 2, 9, 0)
+    assert sorted((r.element, r.fixture, r.round, r.saves) for r in store.read(name).collect()) == sorted(want)
+    # a value that becomes null is a change
+    assert store.upsert(name, rows(spark, name, [{**facts[0], "saves": 3, "value": 5}])) and store.upsert(name, rows(spark, name, [{**facts[0], "saves": 3}]))
+
+
+def test_a_batch_is_applied_once(spark, store):
+    old, new = [team(1, "AAA")], [team(1, "BBB")]
+    assert store.upsert("teams", rows(spark, "teams", old), batch="s/0") == 1
+    assert store.upsert("teams", rows(spark, "teams", old), batch="s/1") is None  # nothing new, but noted
+    assert store.upsert("teams", rows(spark, "teams", new), batch="s/2") == 2
+    for replayed in ("s/0", "s/1", "s/2"):
+        assert store.upsert("teams", rows(spark, "teams", old), batch=replayed) is None
+    assert store.read("teams").first().name == "BBB"
+
+
+def test_orphans_fail_the_load(spark, landed, store):
+    landed.write(history={1: [match(1, 1), match(77, 1)], 2: [match(2, 99, opponent_team=88)]})
+    with pytest.raises(integrity.OrphanError, match="element = 77: 1 row"):
+        run_load(store, landed.paths)
+    assert store.read("teams").count() == 0 and runs(store).count() == 0
+    landed.write()
+    run_load(store, landed.paths)
+    # later documents may refer to stored rows
+    landed.write(bootstrap={**BOOTSTRAP, "teams": [], "events": [], "elements": []}, fixtures=[], history={2: [match(2, 1, minutes=3)]})
+    run_load(store, landed.paths)
+    assert store.read("player_gameweek_stats").filter("element = 2").first().minutes == 3
+
+
+def test_stream_rejects_and_references(spark, landed, store):
+    run_load(store, landed.paths)
+    path = landed.root / "lines"
+    path.mkdir()
+    documents = [{"history": [match(1, 1, minutes=8), {**match(2, 1), "mood": 1}]}, {"history": [match(3, 1, minutes="x")]}]
+    (path / "a.json").write_text("\n".join(map(json.dumps, documents)) + "\nnot json")
+    with pytest.raises(Exception, match="3 records refused"):
+        load_histories(store, str(path), "strict", lines=True).awaitTermination()
+    assert store.read("player_gameweek_stats").filter("minutes = 8").count() == 0
+    load_histories(store, str(path), "lax", lines=True, keep_going=True).awaitTermination()
+    refused = spark.read.parquet(f"{store.root}/rejects/player_gameweek_stats/lax")
+    assert sorted(r.reasons for r in refused.collect()) == [
+        "document without a readable list of records", "minutes: not a valid int: x", "unknown fields: mood",
+    ]
+    assert sorted((r.element, r.minutes) for r in store.read("player_gameweek_stats").collect()) == [(1, 8), (2, 45)]
+    (path / "b.json").write_text(json.dumps({"history": [match(66, 1)]}))
+    with pytest.raises(Exception, match="element = 66"):
+        load_histories(store, str(path), "lax", lines=True).awaitTermination()
+
+
+def test_records_of_one_document_are_checked_by_many_tasks(spark):
+    many = json.dumps([{**fixture(i, 1)} for i in range(20_000)])
+    docs = spark.createDataFrame([("d", many)], "doc string, value string")
+    records = landing.fixture_records(docs)
+    assert records.select(spark_partition_id()).distinct().count() > 1
+    assert records.count() == 20_000
+
+
+def test_column_audit(spark):
+    tables = league(spark, [player(1, 1), player(2, 1)], [fixture(1, None)], [match(1, 1), match(1, 2)]).named()
+    del tables["gameweeks"]
+    tables["teams"] = tables["teams"].drop("name").selectExpr("*", "1 as extra").withColumn("win", col("win").cast("string"))
+    tables["player_gameweek_stats"] = tables["player_gameweek_stats"].selectExpr("* except (bps)", "nullif(element, element) as bps")
+    found = {tuple(r) for r in integrity.column_audit(tables).collect()}
+    assert found == {
+        ("etl_runs", None, "missing table", None), ("gameweeks", None, "missing table", None), ("teams", "name", "missing column", None),
+        ("teams", "win", "string instead of int", None), ("player_gameweek_stats", "bps", "bigint instead of int", None),
+        ("player_gameweek_stats", "bps", "null", 2),
+    }
+
+
 def test_audits(spark):
     tables = league(
         spark, [player(1, 1), player(2, 1, 9)], [fixture(1, None), fixture(2, 77)],

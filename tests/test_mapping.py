@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
+from touchline.plans import player_history as hist
+from touchline.operators import integrity
 from touchline.plans.player_stats import player_stats
 from touchline.sources import driver_tables as data
 
@@ -21,3 +25,27 @@ def test_unplayed_matches_reach_the_plans_and_are_dropped(spark):
     assert unplayed.count() > 0
     assert unplayed.join(whole.fixtures.filter("finished"), unplayed["fixture"] == whole.fixtures["id"]).count() == 0
     assert player_stats(whole).exceptAll(player_stats(played)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda t: hist.player_history(t, last_n=3),
+        lambda t: hist.player_history(t, last_n=3, include_current=False),
+        lambda t: hist.points_breakdown(t, "Per Game", last_n=8),
+        lambda t: hist.involvement(t),
+        lambda t: hist.cumulative_long(hist.involvement(t)),
+        lambda t: integrity.foreign_key_audit(t.named()),
+    ],
+)
+def test_the_fact_is_read_once(spark, build):
+    """Counted in the plan that isn't adaptive, where reused exchanges are shown as such."""
+    kept = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.maxMetadataStringLength")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "500")
+    try:
+        plan = build(data.tables(spark, SF, "opponents"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len(re.findall(r"FileScan parquet[^\n]*lineitem\.parquet", plan)) == 1

@@ -47,10 +47,10 @@ SEASON_SUMS = {
 
 
 def player_sums(rows: DataFrame, *groups: dict[str, str]) -> DataFrame:
-    """The named sums per player."""
+    """The named sums per player. Sums of expected values need their columns."""
     sums = {name: sql for group in groups for name, sql in group.items()}
     return (
-        with_units(rows)
+        (with_units(rows) if set(SEASON_SUMS) & set(sums) else rows)
         .groupBy("player_id")
         .agg(*[F.expr(f"sum({sql}) as {name}") for name, sql in sums.items()])
     )

@@ -277,10 +277,10 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
     return typed.selectExpr(*place, f"inline(array(struct({', '.join(checked)})))")
 
 
-def accepted(validated: DataFrame, entity: str) -> DataFrame:
-    """Typed rows of records without failures."""
+def accepted(validated: DataFrame, entity: str, *place: str) -> DataFrame:
+    """Typed rows of records without failures, with columns of their place if named."""
     return validated.filter("errors = '' and table_errors = ''").select(
-        *[f.name for f in fields(entity)]
+        *[f.name for f in fields(entity)], *place
     )
 
 

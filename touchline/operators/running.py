@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from touchline.operators.selection import same_columns
+
 _CHUNK = "_chunk"
 # Ids per chunk. A chunk of one key and one step holds at most this many rows,
 # because (key, id) is unique.
@@ -29,13 +31,12 @@ def running_totals(
     The order is cut into blocks (key, step, range of ids). Rows are summed within
     their block, block totals are summed over the key, and each block gets the sum
     of the blocks before it. Both levels are windows of bounded size however many
-    rows one key has; the explicit repartition is shared by the two uses of
-    the rows, so they are read once.
+    rows one key has. Rows without a key, step or id are left out. The rows are placed once by block; both uses take the same columns
+    from that exchange, so it is computed once.
     """
     block = [key, step, _CHUNK]
-    placed = rows.withColumn(
-        _CHUNK, F.floor(F.col(unique_id) / F.lit(chunk_width))
-    ).repartition(*block)
+    chunked = rows.withColumn(_CHUNK, F.floor(F.col(unique_id) / F.lit(chunk_width)))
+    placed = chunked.filter(" and ".join(f"{name} is not null" for name in block)).repartition(*block)
 
     inside = (
         Window.partitionBy(*block)
@@ -47,9 +48,8 @@ def running_totals(
         .orderBy(step, _CHUNK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = placed.groupBy(*block).agg(
-        *[F.sum(source).alias(f"_sum_{name}") for name, source in totals.items()]
-    )
+    sums = [F.sum(source).alias(f"_sum_{name}") for name, source in totals.items()]
+    blocks = same_columns(placed.groupBy(*block), rows.columns, *sums)
     offsets = blocks.select(
         *block,
         *[

@@ -3,9 +3,8 @@ top-N over them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def gameweek_info(gameweeks: DataFrame) -> DataFrame:
@@ -82,18 +81,27 @@ def newest_gameweeks_per_player(
 ) -> DataFrame:
     """Rows in each player's own N newest gameweeks.
 
-    The ranking runs over distinct (player, gameweek) pairs, which a map-side
-    aggregate leaves at most one gameweek list per player, so a player with very
-    many rows is never sorted in one task. The rows themselves are then kept by a
-    semi join on the pair.
+    The gameweeks of a player are few, so the N newest come from an aggregate that holds
+    a set of gameweek ids per player and pre-combines per task. The N-th of them, or the
+    oldest if there are fewer, is a threshold that is joined back on the player. The
+    rows are placed once by player and gameweek, so a player with very many rows is not
+    one task, and both uses read that one exchange.
     """
-    played = rows.select("player_id", "gameweek_id").distinct()
+    keyed = rows.filter("player_id is not null and gameweek_id is not null")
     if before is not None:
-        played = played.filter(F.col("gameweek_id") < before)
-    newest_first = Window.partitionBy("player_id").orderBy(F.desc("gameweek_id"))
-    chosen = (
-        played.withColumn("_rank", F.row_number().over(newest_first))
-        .filter(F.col("_rank") <= n)
-        .drop("_rank")
-    )
-    return rows.join(chosen, ["player_id", "gameweek_id"], "left_semi")
+        keyed = keyed.filter(F.col("gameweek_id") < before)
+    placed = keyed.repartition("player_id", "gameweek_id")
+    newest = F.sort_array(F.collect_set("gameweek_id"), asc=False)
+    threshold = F.element_at(F.slice(newest, 1, n), -1)
+    thresholds = same_columns(placed.groupBy("player_id"), rows.columns, threshold.alias("_oldest"))
+    chosen = placed.join(thresholds, "player_id").filter(F.col("gameweek_id") >= F.col("_oldest"))
+    return chosen.select(*rows.columns)
+
+
+def same_columns(grouped: GroupedData, columns: list[str], *aggregates: Column) -> DataFrame:
+    """An aggregate that reads all ``columns`` of its input, though it needs only some. With
+    fewer, the exchange below it would differ from that of another use of the rows, and
+    the rows would be computed twice. For the same reason a filter that a join on keys
+    implies belongs below that exchange."""
+    whole = F.bit_xor(F.xxhash64(*columns))
+    return grouped.agg(*aggregates, whole.alias("_whole")).filter("_whole is not null").drop("_whole")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.labels import versus
+from touchline.operators.ordering import ranked
 from touchline.operators.selection import gameweek_info, next_gameweek, window_end
 from touchline.operators.views import team_names
 from touchline.plans.tables import RawTables
@@ -54,30 +55,46 @@ def upcoming(tables: RawTables, length: int) -> DataFrame:
     )
 
 
-def _joined(separator: str) -> Column:
-    """Fragments of one cell as text: home fixtures first, then by fixture id.
+#: Fixture ids per part of a cell's text.
+TEXT_WIDTH = 1 << 16
 
-    The text of a cell is the cell's value, so its size is that of the result.
+
+def _cell_texts(long: DataFrame, separator: str, width: int = TEXT_WIDTH) -> DataFrame:
+    """One row per team and gameweek: the fragments as one text, home fixtures first, then by
+    fixture id, and the highest difficulty.
+
+    A cell is cut into parts by side and range of fixture ids; the fragments of a part,
+    at most ``width``, are joined first, and then the texts of the parts. The text of a
+    cell is the cell's value, so its size is that of the result.
     """
-    ordered = F.array_sort(
-        F.collect_list(F.struct(F.col("venue") == "A", "fixture_id", "fragment"))
+
+    def joined(*order: str) -> Column:
+        in_order = F.array_sort(F.collect_list(F.struct(*order)))
+        return F.array_join(F.transform(in_order, lambda e: e[order[-1]]), separator)
+
+    cell = ["team_id", "team", "gameweek_id"]
+    parts = (
+        long.withColumns({"_side": F.col("venue") == "A", "_range": F.floor(F.col("fixture_id") / F.lit(width))})
+        .groupBy(*cell, "_side", "_range")
+        .agg(joined("fixture_id", "fragment").alias("_text"), F.max("fdr").alias("fdr"))
     )
-    return F.array_join(F.transform(ordered, lambda e: e["fragment"]), separator)
+    return parts.groupBy(*cell).agg(joined("_side", "_range", "_text").alias("_text"), F.max("fdr").alias("fdr"))
+
+
+def difficulty_cells(long: DataFrame) -> DataFrame:
+    """One row per team and gameweek that has a fixture, with the highest difficulty."""
+    known = long.filter(F.col("team").isNotNull())
+    return known.groupBy("team_id", "team", "gameweek_id").agg(F.max("fdr").alias("fdr")).drop("team_id")
 
 
 def fixture_cells(long: DataFrame) -> DataFrame:
     """One row per team and gameweek that has a fixture: the fragments joined
     directly, a space and the highest difficulty."""
-    return (
-        long.filter(F.col("team").isNotNull())
-        .groupBy("team", "gameweek_id")
-        .agg(_joined("").alias("_text"), F.max("fdr").alias("fdr"))
-        .select(
-            "team",
-            "gameweek_id",
-            F.concat("_text", F.lit(" "), F.col("fdr").cast("string")).alias("display"),
-            "fdr",
-        )
+    return _cell_texts(long.filter(F.col("team").isNotNull()), "").select(
+        "team",
+        "gameweek_id",
+        F.concat("_text", F.lit(" "), F.col("fdr").cast("string")).alias("display"),
+        "fdr",
     )
 
 
@@ -130,13 +147,20 @@ def average_difficulty(cells: DataFrame) -> DataFrame:
     )
 
 
-def matrix_cells(tables: RawTables, span: MatrixRange | None = None) -> DataFrame:
-    """Cells of the matrix, for a given range or the default one."""
+def matrix_cells(tables: RawTables, span: MatrixRange | None = None, texts: bool = True) -> DataFrame:
+    """Cells of the matrix, for a given range or the default one; ``texts=False`` leaves out
+    the text."""
     if span is None:
         chosen = upcoming(tables, MATRIX_GAMEWEEKS)
     else:
         chosen = in_gameweeks(tables.fixtures, span.start, span.end)
-    return fixture_cells(team_fixtures(chosen, tables.teams))
+    long = team_fixtures(chosen, tables.teams)
+    return fixture_cells(long) if texts else difficulty_cells(long)
+
+
+def team_order(cells: DataFrame) -> DataFrame:
+    """Teams with the place of each in the matrix, the lowest average difficulty first."""
+    return ranked(average_difficulty(cells), [F.asc_nulls_last("avg_fdr"), "team"])
 
 
 def fixture_strip(
@@ -151,9 +175,7 @@ def fixture_strip(
     long = team_fixtures(open_fixtures, tables.teams)
     if team is not None:
         long = long.filter(F.col("team") == team)
-    cells = long.groupBy("team_id", F.col("gameweek_id").alias("gw")).agg(
-        _joined(" ").alias("opponents"), F.max("fdr").alias("fdr")
-    )
+    cells = _cell_texts(long, " ").selectExpr("team_id", "gameweek_id as gw", "_text as opponents", "fdr")
     weeks = F.sequence(next_gameweek(tables.gameweeks), window_end(tables.gameweeks, length))
     slots = clubs.select("team_id", F.col("short_name").alias("team"), F.explode(weeks).alias("gw"))
     return (

@@ -14,6 +14,7 @@ from touchline.functions import scoring as S
 from touchline.functions.labels import outcome, score_text, venue, versus
 from touchline.functions.rounding import float_round
 from touchline.operators import aggregates as A
+from touchline.operators.ordering import ranked
 from touchline.operators.running import running_totals
 from touchline.operators.selection import (
     finished_matches,
@@ -43,27 +44,47 @@ DISPLAY_COLUMNS = {
 CATEGORIES = ["Goals", "Assists", "Defensive", "Bonus", "Appearance", "Saves", "Deductions"]
 MIN_DELTA = 0.5
 
+_KEY = ["player_id", "fixture_id", "gameweek_id"]
+# Columns of the fact behind the history, and behind the points breakdown and the running
+# totals. The rows of a window are used twice, so only what is needed is placed.
+_HISTORY_SOURCES = [
+    *_KEY, "opponent_team_id", "was_home", "total_points", "starts", "minutes", "goals_scored", "assists",
+    "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded",
+    "clean_sheets", "goals_conceded", "own_goals", "penalties_saved", "penalties_missed", "yellow_cards",
+    "red_cards", "saves", "bonus", "bps", "defensive_contribution", "influence", "creativity", "threat", "ict_index",
+]
+_BREAKDOWN_SOURCES = [
+    *_KEY, "minutes", "goals_scored", "assists", "clean_sheets", "goals_conceded", "defensive_contribution",
+    "bonus", "saves", "yellow_cards", "red_cards", "own_goals", "penalties_missed",
+]
+_INVOLVEMENT_SOURCES = [*_KEY, "goals_scored", "assists", "expected_goal_involvements"]
+
 
 def history_rows(
     tables: RawTables,
     player_id: int | None = None,
     last_n: int | None = None,
     include_current: bool = True,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Fact rows of finished matches in the window, before any lookup.
+    """Fact rows of finished matches in the window, before any lookup; all columns or some.
 
     The window is the N newest gameweeks of the player's own history. Leaving out
     the current one means ids below the next gameweek, which still admits a
     current gameweek just before it; that is the rule as it stands.
     """
     rows = match_rows(tables.player_gameweek_stats)
+    rows = rows.select(*(columns or rows.columns))
     if player_id is not None:
         rows = rows.filter(F.col("player_id") == player_id)
-    rows = finished_matches(rows, tables.fixtures)
-    if last_n is not None:
-        before = None if include_current else next_gameweek(tables.gameweeks)
-        rows = newest_gameweeks_per_player(rows, last_n, before)
-    return rows
+    return _window(finished_matches(rows, tables.fixtures), tables, last_n, include_current)
+
+
+def _window(rows: DataFrame, tables: RawTables, last_n: int | None, include_current: bool) -> DataFrame:
+    if last_n is None:
+        return rows
+    before = None if include_current else next_gameweek(tables.gameweeks)
+    return newest_gameweeks_per_player(rows, last_n, before)
 
 
 def player_history(
@@ -74,18 +95,20 @@ def player_history(
 ) -> DataFrame:
     """One row per finished match with opponent, result and the match counts;
     ``newest_first`` puts them in display order. ``player_id`` and ``fixture_id`` come first as the row's key."""
-    rows = history_rows(tables, player_id, last_n, include_current)
-    results = tables.fixtures.selectExpr(
+    results = tables.fixtures.filter("finished").selectExpr(
         "id as fixture_id", "team_h_score as home_score", "team_a_score as away_score"
     )
+    rows = match_rows(tables.player_gameweek_stats).select(*_HISTORY_SOURCES)
+    if player_id is not None:
+        rows = rows.filter(F.col("player_id") == player_id)
+    # the fixture that admits a row also brings its score
+    rows = _window(rows.join(results, "fixture_id"), tables, last_n, include_current)
     positions = tables.players.selectExpr("id as player_id", "element_type")
     opponents = tables.teams.selectExpr(
         "id as opponent_team_id", "short_name as opponent", "code as opponent_code"
     )
     joined = (
         with_units(rows)
-        .drop("team_h_score", "team_a_score")
-        .join(results, "fixture_id")
         .join(positions, "player_id")
         .join(opponents, "opponent_team_id")
     )
@@ -137,7 +160,7 @@ def points_breakdown(
     a row for saves. The sums need no lookup but the position, so each player is
     one row before the join.
     """
-    rows = history_rows(tables, player_id, last_n, include_current)
+    rows = history_rows(tables, player_id, last_n, include_current, _BREAKDOWN_SOURCES)
     sums = A.player_sums(rows, A.MATCH_COUNTS).filter("mp <> 0 and gp <> 0")
     positions = tables.players.selectExpr("id as player_id", "element_type")
     divisor = {"Total": "1D", "Per Game": "cast(gp as double)", "Per 90": "(mp / 90D)"}[mode]
@@ -172,18 +195,28 @@ def involvement(
     The running totals are exact decimals of the rounded match values; a match
     without an expected value has no running expected value, and later ones go on.
     """
-    rows = _involvement_rows(history_rows(tables, player_id, last_n, include_current))
+    rows = _involvement_rows(history_rows(tables, player_id, last_n, include_current, _INVOLVEMENT_SOURCES))
     return running_totals(
         rows, "player_id", "gameweek_id", "fixture_id", {"cum_gi": "gi", "cum_xgi": "xgi"}
     )
 
 
+def chart_order(totals: DataFrame) -> DataFrame:
+    """The running totals in the order of the chart, with the place of each row."""
+    return ranked(totals, ["player_id", "gameweek_id", "fixture_id"])
+
+
+def display_order(history: DataFrame) -> DataFrame:
+    """The history in display order (``newest_first``), with the place of each row."""
+    return ranked(history, ["player_id", F.desc("gameweek_id"), "fixture_id"])
+
+
 def involvement_deltas(
     tables: RawTables, player_id: int | None = None, last_n: int | None = None,
     include_current: bool = True,
 ) -> DataFrame:
     """Delta per match only; needs no running totals and no shuffle for them."""
-    return _involvement_rows(history_rows(tables, player_id, last_n, include_current))
+    return _involvement_rows(history_rows(tables, player_id, last_n, include_current, _INVOLVEMENT_SOURCES))
 
 
 def _involvement_rows(rows: DataFrame) -> DataFrame:
