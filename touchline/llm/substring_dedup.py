@@ -112,11 +112,14 @@ class Block:
         order = np.argsort(key, kind="stable")
         same = np.append(False, key[order][1:] == key[order][:-1])
         leader = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        for i in np.flatnonzero(same).tolist():
-            mine, other = order[i], order[leader[i]]
-            if self.id[mine] > self.id[other]:
-                a, b, n = self.first[mine], self.first[other], int(size[mine])
-                out[mine] = size[other] == n and np.array_equal(self.data[a : a + n], self.data[b : b + n])
+        mine, other = order[same], order[leader[same]]
+        likely = (self.id[mine] > self.id[other]) & (size[mine] == size[other])
+        mine, other = mine[likely], other[likely]
+        for begin in range(0, len(mine), 1 << 14):
+            m, o = mine[begin : begin + (1 << 14)], other[begin : begin + (1 << 14)]
+            n = size[m].astype(np.int64)
+            equal = self.data[_ranges(self.first[m], n)] == self.data[_ranges(self.first[o], n)]
+            out[m] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
         return out
 
 
@@ -197,18 +200,20 @@ class Suffixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of windows that differ, by binary search."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)
+        from_a, from_b, back_a, back_b = self.sums[a], self.sums[b], self.back[a], self.back[b]
         for _ in range(self.length.bit_length()):
             middle = (low + high + 1) // 2
-            same = self.hash(a, middle) == self.hash(b, middle)
+            same = (self.sums[a + middle] - from_a) * back_a == (self.sums[b + middle] - from_b) * back_b
             low = np.where(same, middle, low)
             high = np.where(same, high, middle - 1)
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether window ``a`` sorts before ``b``; equal windows answer ``or_equal``."""
+    def less(self, at: np.ndarray, whole: np.ndarray, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Whether the ``i``-th of the windows ``at``, whose hashes are ``whole``, sorts
+        before the ``j``-th; equal windows answer ``or_equal``."""
         out = or_equal.copy()
-        differ = np.flatnonzero(self.hash(a, self.length) != self.hash(b, self.length))
-        a, b = a[differ], b[differ]
+        differ = np.flatnonzero(whole[i] != whole[j])
+        a, b = at[i[differ]], at[j[differ]]
         size = self.common(a, b)
         out[differ] = self.data[a + size] < self.data[b + size]
         return out
@@ -217,7 +222,7 @@ class Suffixes:
         """Order that sorts the windows ``at`` within their groups: bottom-up merge sort of
         all groups at once, where an element's place in a merge is its place in its own run
         plus the number of elements of the sibling run that come before it."""
-        order = np.arange(len(at))
+        order, whole = np.arange(len(at)), self.hash(at, self.length)
         run = 1
         largest = int(group_size.max(initial=0))
         while run < largest:
@@ -229,12 +234,12 @@ class Suffixes:
             right = mine % 2 == 1
             sibling = np.minimum((mine ^ 1) * run, size)
             low, high = np.zeros(len(where), np.int64), np.minimum(sibling + run, size) - sibling
-            own = at[order[where]]
+            own = order[where]
             while len(todo := np.flatnonzero(low < high)):
                 middle = (low[todo] + high[todo]) // 2
-                other = at[order[base[todo] + sibling[todo] + middle]]
+                other = order[base[todo] + sibling[todo] + middle]
                 # A left element counts smaller ones of the right run, a right one also equal ones.
-                before = self.less(other, own[todo], right[todo])
+                before = self.less(at, whole, other, own[todo], right[todo])
                 low[todo] = np.where(before, middle + 1, low[todo])
                 high[todo] = np.where(before, high[todo], middle)
             target = base + (mine // 2) * 2 * run + (inner - mine * run) + low
@@ -245,7 +250,8 @@ class Suffixes:
     def equal_to_next(self, at: np.ndarray) -> tuple[np.ndarray, bool]:
         """Whether each sorted window equals the next one, verified byte by byte, and
         whether the hashes agreed with the bytes everywhere."""
-        same = self.hash(at[:-1], self.length) == self.hash(at[1:], self.length)
+        whole = self.hash(at, self.length)
+        same = whole[:-1] == whole[1:]
         where, sound = np.flatnonzero(same), True
         for first in range(0, len(where), 1 << 16):
             part = where[first : first + (1 << 16)]
