@@ -35,6 +35,20 @@ def test_token_counts(documents, piece_chars):
     assert token_counts.token_counts(documents([])).collect() == []
 
 
+def test_batches_are_balanced_by_bytes():
+    texts = ["🙂 " * 50, None, "é" * 40, "", "a " * 90, "x" * 300, "🙂" * 5, "b"] * 3
+    for piece_chars, can_split in itertools.product((1, 10, 1 << 15), (True, False)):
+        got = list(token_counts.batches(iter(texts), can_split, 200, piece_chars))
+        size = [sum(len(p.encode()) for p in parts) for _, parts in got]
+        assert all(n <= 200 or len(parts) == 1 for n, (_, parts) in zip(size, got, strict=True))
+        # No batch could have taken the first part of the next.
+        assert all(n + len(after[1][0].encode()) > 200 for n, after in zip(size, got[1:], strict=False))
+        whole = [list(token_counts.pieces(t, piece_chars)) if can_split else [t] for t in texts if t]
+        assert [p for _, parts in got for p in parts] == [p for parts in whole for p in parts]
+        assert [i for owners, _ in got for i in owners] == [i for i, t in enumerate(texts) if t for _ in (token_counts.pieces(t, piece_chars) if can_split else [t])]
+    assert list(token_counts.batches(iter([None, ""]), True, 10, 10)) == []
+
+
 # --- mixing ---------------------------------------------------------------------
 
 
@@ -198,6 +212,29 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_warc_first_pages_with_and_without_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_REPEATED", most)
+    html = [None, "", "hot"] * 40 + [f"own {i}" for i in range(30)] + ["twice"] * 2
+    rows = [(i if i % 11 else None, "u", t) for i, t in enumerate(html)] + [(1, "u", "other text of page 1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for least in (0, 4):
+        first: dict[str, int] = {}
+        for i, _, t in rows:
+            if i is not None and len(t or "") >= least:
+                first[t or ""] = min(i, first.get(t or "", i))
+        want = [(i, t or "", first.get(t or "") if i is not None and first.get(t or "") != i else None) for i, _, t in rows]
+        found = warc.with_first_page(pages, "page_id", "html", least).collect()
+        got = [(r.id, r.payload, r["first"] if r.id is not None and r["first"] != r.id else None) for r in found]
+        assert Counter(got) == Counter(want)
+
+
+def test_warc_payloads_stay_out_of_the_shuffle(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string")
+    plan = warc.with_first_page(pages, "page_id", "html", 0)._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_warc_reader_refuses_broken_archives():
     good = [warc.record_bytes(i, "u", b"payload %d" % i) for i in range(3)]
     pack = lambda records: b"".join(map(warc.gzip_member, records))

@@ -1,8 +1,8 @@
 """Token counts: batch encoding inside an Arrow function that returns lengths only.
 
-A task gathers texts until a batch holds ``batch_bytes`` of UTF-8 and encodes the
-batch at once. Texts above ``piece_chars`` are cut at safe boundaries, so one very
-long text neither fills a batch beyond its bound nor is cut short.
+A task gathers texts until the next would take a batch above ``batch_bytes`` of UTF-8
+and encodes the batch at once. Texts above ``piece_chars`` are cut at safe boundaries,
+so one very long text neither fills a batch beyond its bound nor is cut short.
 
 A cut is safe in front of a space that follows another character than a space. No
 piece of the vocabulary holds a space mark behind another character (this is checked
@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -56,6 +57,27 @@ def pieces(text: str, piece_chars: int) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def batches(texts: Iterator[str | None], can_split: bool, batch_bytes: int, piece_chars: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(places of the texts, parts of them) to be encoded at once: at most ``batch_bytes``
+    of UTF-8 together, unless a single part is larger. Null and empty texts have no part."""
+    owners: list[int] = []
+    parts: list[str] = []
+    held = 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        for part in pieces(text, piece_chars) if can_split else (text,):
+            size = len(part) if part.isascii() else len(part.encode())
+            if parts and held + size > batch_bytes:
+                yield owners, parts
+                owners, parts, held = [], [], 0
+            owners.append(i)
+            parts.append(part)
+            held += size
+    if parts:
+        yield owners, parts
+
+
 def token_counts(
     docs: DataFrame,
     model: str = MODEL,
@@ -82,36 +104,19 @@ def token_counts(
         ]
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_model(model)
-        for rows in batches:
-            n_bytes, n_tokens = [0] * rows.num_rows, [0] * rows.num_rows
-            texts, owners, held = [], [], 0
-
-            def flush(texts: list[str], owners: list[int], n_tokens: list[int]) -> None:
-                for owner, ids in zip(owners, encoder.encode(texts, num_threads=1), strict=True):
+        for rows in tables:
+            n_bytes = pc.fill_null(pc.binary_length(rows.column(1)), 0).cast(pa.int64())
+            n_tokens = [0] * rows.num_rows
+            texts = (value.as_py() for value in rows.column(1))
+            for owners, parts in batches(texts, encoder.can_split, batch_bytes, piece_chars):
+                for owner, ids in zip(owners, encoder.encode(parts, num_threads=1), strict=True):
                     n_tokens[owner] += len(ids)
-                texts.clear()
-                owners.clear()
-
-            for i, value in enumerate(rows.column(1)):
-                text = value.as_py()
-                if not text:
-                    continue
-                parts = pieces(text, piece_chars) if encoder.can_split else (text,)
-                n_bytes[i] = len(text.encode())
-                for part in parts:
-                    texts.append(part)
-                    owners.append(i)
-                    held += len(part)
-                    if held >= batch_bytes:
-                        flush(texts, owners, n_tokens)
-                        held = 0
-            flush(texts, owners, n_tokens)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
-                    pa.array(n_bytes, pa.int64()),
+                    n_bytes,
                     pa.array(n_tokens, pa.int64()),
                     pa.array([n > limit for n in n_tokens], pa.bool_()),
                 ],
