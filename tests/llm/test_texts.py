@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from touchline.llm import decontamination as deco
@@ -248,11 +250,34 @@ def test_quality_facts_as_brute_force(documents, corpus):
     assert quality.with_quality(documents([]), quality.Field.neutral()).collect() == []
 
 
-def test_viterbi_as_enumeration():
+def test_facts_across_slices(corpus, monkeypatch):
+    texts = hashing.Texts(pa.array([t for _, t in corpus] + ["a b c d e\n" * 50, "x", "a b c d e", "a b c d e"]))
+    whole = quality.described(*texts.part(0, len(texts)))
+    for size in (1, 3, 64):
+        monkeypatch.setattr(quality, "SLICE", size)
+        facts, *rest = quality.described(*texts.part(0, len(texts)))
+        assert all((facts[c] == whole[0][c]).all() for c in quality.FACTS)
+        assert all((a == b).all() for a, b in zip(rest, whole[1:], strict=True))
+
+
+def test_memory_of_a_very_long_text():
+    text = ("word1 other words here, and sum more of them\n" * 500_000 + "x").encode()
+    rng = np.random.default_rng(1)
+    data = np.where(np.frombuffer(text, np.uint8) > 32, rng.integers(97, 123, len(text), dtype=np.uint8), np.frombuffer(text, np.uint8))
+    del text
+    tracemalloc.start()
+    facts, *_ = quality.described(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert facts["n_words"][0] == 4_500_001 and peak < 15 * len(data)
+
+
+def test_viterbi_as_enumeration(monkeypatch):
     rng = np.random.default_rng(2)
     for _ in range(60):
         field = quality.Field(np.zeros(1), rng.normal(size=2), rng.normal(size=(2, 2)))
-        scores = rng.normal(size=int(rng.integers(1, 8))).tolist()
+        scores = rng.normal(size=int(rng.integers(1, 8)))
+        monkeypatch.setattr(quality, "SLICE", int(rng.integers(1, 9)))
 
         def total(labels, field=field, scores=scores):
             steps = sum(field.steps[a, b] for a, b in itertools.pairwise(labels))

@@ -33,6 +33,7 @@ FEATURES = [
     "stutter>.1", "stutter>.4", "words<3", "words<6", "words>15", "copy of a line", "digits>.2",
     "digits>.5", "long words", "short words",
 ]
+SLICE = 1 << 17  # words or lines looked at together
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -54,61 +55,50 @@ class Field:
 
 
 def described(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Facts per text; and for the lines with a word their features, code points and text."""
+    """Facts per text; and for the lines with a word their features, code points and text.
+
+    Memory is some bytes per byte and some 50 per word: characters are added up by line,
+    words are hashed and compared a slice at a time."""
     n = len(offsets) - 1
     starts, ends, text = hashing.words(data, offsets)
-    each = hashing.stretch_hashes(data, starts, ends)
-    sums = {}
-    for name, mask in (
-        ("points", ((data & 0xC0) != 0x80) & ~hashing.SPACE[data]),
-        ("symbols", SYMBOLS[data]),
-        ("pipes", data == ord("|")),
-        ("bangs", data == ord("!")),
-        ("digits", DIGITS[data]),
-        # upper-case letters of one byte, and those of Latin-1 in two
-        ("upper", UPPER[data] | _latin_upper(data)),
-    ):
-        sums[name] = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    text = text.astype(np.int32)
+    each = _hashes(data, starts, ends)
+    del ends
 
     # Lines.
     breaks = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]))
     at = np.searchsorted(breaks, starts, "right") - 1
-    line, first_word, words_in = np.unique(at, return_index=True, return_counts=True)
+    del starts
+    first_word = np.flatnonzero(np.concatenate([at[:1] >= 0, at[1:] != at[:-1]]))
+    line, owner = at[first_word], text[first_word]
+    words_in = np.diff(first_word, append=len(at))
     begin, end = breaks[line], breaks[np.minimum(line + 1, len(breaks) - 1)]
     end = end - (data[np.maximum(end - 1, 0)] == 10) if len(data) else end
-    owner = text[first_word]
-    count = lambda name: sums[name][end] - sums[name][begin]
-    copies = _seen_before(owner, hashing.stretch_hashes(data, begin, end))
+    counts = {name: _line_sums(data, of, begin, end) for name, of in CHARACTERS.items()}
+    copies = _seen_before(owner, _hashes(data, begin, end))
 
     # Words in windows of five that occur twice or more in their text.
-    window, window_text = hashing.windows(each, text, 5)
-    repeated = np.zeros(len(starts) + 1, np.int64)
-    if len(window):
-        place = np.flatnonzero(text[: len(text) - 4] == text[4:])
-        order = np.lexsort((window, window_text))
-        same = (window[order][1:] == window[order][:-1]) & (window_text[order][1:] == window_text[order][:-1])
-        twice = np.zeros(len(window), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        np.add.at(repeated, place[twice], 1)
-        np.add.at(repeated, place[twice] + 5, -1)
-    covered = np.cumsum(repeated)[:-1] > 0
-    per_text = lambda mask, of: np.bincount(of[mask], minlength=n)
+    covered = np.zeros(len(each), bool)
+    twice = _repeated_windows(each, text, 5)
+    for i in range(5 if len(twice) else 0):
+        covered[i : i + len(twice)] |= twice
+    total = lambda of, values: np.bincount(of, values, n).astype(np.int64)
     facts = {
         "n_words": np.bincount(text, minlength=n),
-        "word_chars": sums["points"][offsets[1:]] - sums["points"][offsets[:-1]],
-        "n_symbols": sums["symbols"][offsets[1:]] - sums["symbols"][offsets[:-1]],
-        "n_dup_lines": per_text(copies, owner),
-        "n_repeat_words": per_text(covered, text),
+        # Space is in no line's count, and a line without a word is all space.
+        "word_chars": total(owner, counts["points"]),
+        "n_symbols": total(owner, counts["symbols"]),
+        "n_dup_lines": np.bincount(owner[copies], minlength=n),
+        "n_repeat_words": np.bincount(text[covered], minlength=n),
     }
 
-    points = count("points")
+    points = counts["points"]
     stutter = np.zeros(len(line))
     if len(each) > 1:
         twin = np.concatenate([[False], (each[1:] == each[:-1]) & (at[1:] == at[:-1])])
-        stutter = np.add.reduceat(twin.astype(np.int64), first_word) / words_in
-    ratio = {name: count(name) / np.maximum(points, 1) for name in ("symbols", "digits", "upper")}
-    per_word = {name: count(name) / words_in for name in ("pipes", "bangs")}
+        stutter = np.add.reduceat(twin, first_word, dtype=np.int64) / words_in
+    ratio = {name: counts[name] / np.maximum(points, 1) for name in ("symbols", "digits", "upper")}
+    per_word = {name: counts[name] / words_in for name in ("pipes", "bangs")}
     mean = points / np.maximum(words_in, 1)
     features = np.stack(
         [
@@ -123,12 +113,70 @@ def described(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarr
     return facts, features, points, owner
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``hashing.stretch_hashes`` a slice of the stretches at a time."""
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), SLICE):
+        a, b = starts[i : i + SLICE], ends[i : i + SLICE]
+        out[i : i + SLICE] = hashing.stretch_hashes(data[a[0] : b[-1]], a - a[0], b - a[0])
+    return out
+
+
+def _line_sums(data: np.ndarray, mask, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How often ``mask`` holds in each ``data[begin:end]``, ascending; from prefix sums of
+    a slice of the bytes at a time. A mask may look one byte ahead."""
+    edges = np.stack([begin, end], 1).ravel()
+    out = np.empty(len(edges), np.int64)
+    carry = 0
+    for first in range(0, len(data) + 1, SLICE):
+        sums = np.zeros(min(SLICE, len(data) - first) + 1, np.int64)
+        np.cumsum(mask(data[first : first + SLICE + 1])[:SLICE], out=sums[1:])
+        lo, hi = np.searchsorted(edges, [first, first + SLICE])
+        out[lo:hi] = sums[edges[lo:hi] - first] + carry
+        carry += int(sums[-1])
+    return out[1::2] - out[::2]
+
+
+def _repeated_windows(each: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """For each place whether the window of ``size`` words from there on lies within a
+    text and occurs in it elsewhere too."""
+    n = max(0, len(each) - size + 1)
+    keys, whole, twice = np.empty(n, np.uint64), np.empty(n, bool), np.zeros(n, bool)
+    slices = [slice(i, min(i + SLICE, n)) for i in range(0, n, SLICE)]
+    for part in slices:
+        own, later = text[part], text[part.start + size - 1 : part.stop + size - 1]
+        total = hashing.mix(own.astype(np.uint64) + np.uint64(1))
+        for i in range(size):
+            total += each[part.start + i : part.stop + i] * hashing.PLACE[i]
+        keys[part], whole[part] = hashing.mix(total), own == later
+    ordered = np.sort(keys[whole])
+    more = ordered[1:][ordered[1:] == ordered[:-1]]
+    del ordered
+    if len(more):
+        for part in slices:
+            at = np.minimum(np.searchsorted(more, keys[part]), len(more) - 1)
+            twice[part] = (more[at] == keys[part]) & whole[part]
+    return twice
+
+
 def _latin_upper(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), bool)
     out[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
     return out
 
 
+#: Masks of the bytes that count for a line; upper-case letters are those of one byte and
+#: those of Latin-1 in two.
+CHARACTERS = {
+    "points": lambda data: ((data & 0xC0) != 0x80) & ~hashing.SPACE[data],
+    "symbols": lambda data: SYMBOLS[data],
+    "pipes": lambda data: data == ord("|"),
+    "bangs": lambda data: data == ord("!"),
+    "digits": lambda data: DIGITS[data],
+    "upper": lambda data: UPPER[data] | _latin_upper(data),
+}
+
+
 def _seen_before(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the same key occurs earlier with the same owner."""
     out = np.zeros(len(key), bool)
@@ -138,24 +186,35 @@ def _seen_before(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(scores: list[float], field: Field) -> list[int]:
+def viterbi(scores: np.ndarray, field: Field) -> np.ndarray:
     """The most likely labels of lines with these scores for content over boilerplate;
-    ties go to content."""
+    ties go to content. A byte per line holds where its two labels come from."""
     (s00, s01), (s10, s11) = field.steps.tolist()
-    f0, f1 = field.first.tolist()
-    best0, best1 = f0, f1 + scores[0]
-    back = []
-    for score in scores[1:]:
-        stay0, from1 = best0 + s00, best1 + s10
-        from0, stay1 = best0 + s01, best1 + s11
-        back.append((1 if from1 >= stay0 else 0, 1 if stay1 >= from0 else 0))
-        best0, best1 = max(stay0, from1), max(from0, stay1) + score
-    label = 1 if best1 >= best0 else 0
-    out = [label]
-    for pair in reversed(back):
-        label = pair[label]
-        out.append(label)
-    return out[::-1]
+    best0, best1 = 0.0, 0.0
+    back = np.zeros(len(scores), np.uint8)
+    for i in range(0, len(scores), SLICE):
+        came = bytearray()
+        for score in scores[i : i + SLICE].tolist():
+            if i == 0 and not came:
+                best0, best1 = field.first.tolist()
+                best1 += score
+                came.append(0)
+                continue
+            stay0, from1 = best0 + s00, best1 + s10
+            from0, stay1 = best0 + s01, best1 + s11
+            came.append((from1 >= stay0) + 2 * (stay1 >= from0))
+            best0, best1 = max(stay0, from1), max(from0, stay1) + score
+        back[i : i + SLICE] = np.frombuffer(came, np.uint8)
+    label = int(best1 >= best0)
+    out = np.zeros(len(scores), np.uint8)
+    for stop in range(len(scores), 0, -SLICE):
+        begin = max(0, stop - SLICE)
+        labels = bytearray()
+        for pair in back[begin:stop][::-1].tobytes():
+            labels.append(label)
+            label = pair >> label & 1
+        out[begin:stop] = np.frombuffer(labels, np.uint8)[::-1]
+    return out
 
 
 def trained(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> Field:
@@ -211,19 +270,21 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_bytes: i
     """The field from documents (``doc_id``, ``text``) with a ``quality`` of 0 or 1 in
     ``labels``: of each label at most ``max_docs`` of at most ``max_bytes``, chosen by the
     hash of their id. Only features reach the driver. An id with both labels is left out."""
+    short = docs.filter(F.octet_length("text") <= max_bytes)
     known = (
         labels.filter("quality in (0, 1)")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
         .filter("quality = most")
+        .join(short.select("doc_id"), "doc_id", "left_semi")
     )
     chosen = [
         known.filter(f"quality = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id", "quality")
         for y in (0, 1)
     ]
     # At most 2 * max_docs ids, so the small side of this join is bounded.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    sample = sample.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    sample = short.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sample = sample.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +325,9 @@ def with_quality(
 
     A null text counts as empty; an empty or blank text has no words and fails the base
     rules. ``content_share`` is the share of the characters in words that lie in content
-    lines, 0 without words. Each row is judged alone, so ties and repeated rows are judged
+    lines, 0 without words. A text of any length is judged whole, by itself; its task then
+    needs about 12 times its bytes with words of five bytes, and up to 60 times where
+    words have one letter and lines two words. Each row is judged alone, so ties and repeated rows are judged
     alike. Columns of the input named like the new ones are replaced, unless
     ``only_kept``. An empty table gives an empty result.
     """
@@ -282,12 +345,12 @@ def with_quality(
             texts = hashing.Texts(batch.column(len(names)))
             for begin, end in texts.runs():
                 facts, features, points, owner = described(*texts.part(begin, end))
-                scores = (features @ field.weights).tolist()
+                scores = np.concatenate([features[i : i + SLICE] @ field.weights for i in range(0, max(1, len(features)), SLICE)])
                 cuts = np.searchsorted(owner, np.arange(end - begin + 1))
                 share = np.zeros(end - begin)
                 for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     if b > a:
-                        marks = np.array(viterbi(scores[a:b], field), bool)
+                        marks = viterbi(scores[a:b], field) == 1
                         share[i] = points[a:b][marks].sum() / points[a:b].sum()
                 failed = (facts["n_words"] < min_words) | (
                     100 * facts["n_repeat_words"] > max_repeat_percent * facts["n_words"]
