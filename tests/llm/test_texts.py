@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -140,7 +141,73 @@ def test_long_items_are_verified_whole(spark, documents, n):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(4, 0), (5, 0), (6, 0), (8, 0)]
     assert all(r.question_overlap == r.answer_overlap == 1.0 for r in found if r.doc_id != 6)
     assert {r.doc_id for r in deco.clean(documents(rows), qa).collect()} == {1, 2, 3, 7}
-    assert min(len(e.part) for e in deco.indexes(qa, 0.6)[0].entries if e.item == 0) > deco.ITEM_WORDS // 2 - 1
+    assert min(len(e.part) for e in deco.index_of(qa, 0, 1, 0.6, 0.8).entries if e.item == 0) > deco.ITEM_WORDS // 2 - 1
+
+
+def held_items(text, items):
+    """Items of at most 256 words held by a text, tried in each window."""
+    split = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    words, out = split(text), {}
+    windows: dict[tuple[int, int], list[set]] = {}
+    for item, question, answer in items:
+        parts = [split(question), split(answer)]
+        size = len(parts[0]) + len(parts[1])
+        size += 2 * max(32, size // 4)
+        if not any(parts):
+            continue
+        starts = range(0, max(0, -(-(len(words) - size) // 32)) * 32 + 1, 32)
+        shares = []
+        for part in parts:
+            n = min(3, len(part))
+            if (size, n) not in windows:
+                windows[size, n] = [grams(words[a : a + size], n) for a in starts]
+            own = grams(part, n)
+            shares.append([len(own & there) / len(own) if part else 1.0 for there in windows[size, n]])
+        good = [(q + a, (q, a)) for q, a in zip(*shares, strict=True) if q >= 0.8 and a >= 0.8]
+        if good:
+            out[item] = max(good)[1]
+    return out
+
+
+def test_decontamination_as_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    qa = deco.question_and_answer(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    items = [tuple(r) for r in qa.collect()]
+    rng = random.Random(4)
+    rows = []
+    for i, (_, question, answer) in enumerate(items):
+        words = f"{question} {answer}".split()
+        for k in range(4):  # copies with words changed, left out and put in between
+            edited = [w for w in words if rng.random() > 0.02 * k for w in ([w, "new"] if rng.random() < 0.02 * k else [w])]
+            rows.append((10_000 + 10 * i + k, " ".join(["pad"] * rng.randint(0, 70) + edited + ["end"] * rng.randint(0, 70))))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {(r.doc_id, i): o for r in docs.collect() for i, o in held_items(r.text, items).items()}
+    got = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in deco.contaminated(docs, qa).collect()}
+    assert got.keys() == want.keys() and len(got) > len(items)
+    assert all(sum(got[k]) == pytest.approx(sum(want[k])) for k in want)
+
+
+def test_items_are_judged_alone(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    asked, answer = text(20), text(8)
+    rows = [(i, f"{text(40)} {asked} {text(gap)} {answer} {text(300)}") for i, gap in enumerate(range(0, 160, 20))]
+    common = [(100 + i, " ".join(asked.split()[:16]) + " " + text(4), text(8)) for i in range(40)]  # make the item's words cheap
+    long = [(200 + i, text(245), text(5 + 200 * i)) for i in range(3)]
+    one = [(1, asked, answer)]
+    held = None
+    for others in ([], long, common, common + long):
+        for size in (32 << 20, 2000):
+            monkeypatch.setattr(deco, "INDEX_BYTES", size)
+            items = spark.createDataFrame(one + others, "item_id long, question string, answer string")
+            assert size > 2000 or not others or deco.n_parts(items) > 1
+            found = {r.doc_id for r in deco.contaminated(documents(rows), items).collect() if r.item_id == 1}
+            held = found if held is None else held
+            assert found == held and {0, 1} <= held < {i for i, _ in rows}
+            if others is long:
+                assert {r.doc_id for r in deco.clean(documents(rows), items).collect()} == {i for i, _ in rows} - held
 
 
 def test_question_and_answer(spark):

@@ -1,11 +1,12 @@
 """Benchmark decontamination: a BM25 index of the test items, searched by block-max WAND.
 
-The index holds the test items, of which there are few. Every text is cut into
-overlapping passages, each so long that an item lies whole in one of them, and every
-passage is a query: all items that score at least a share of their own best score are
-retrieved, and each is verified by the share of the question's and of the answer's
-word n-grams that the passage holds. Long items are retrieved by stretches of equal
-length and verified whole, in the words around the passage.
+An index holds test items up to a size; more items take a pass over the texts for each
+index. Every text is cut into overlapping passages, and every passage is a query: all
+items are retrieved that score what an item scores at least wherever it can be verified.
+Each is then verified in windows that depend on the item and the text only, by the share
+of the question's and of the answer's word n-grams that a window holds. So the items
+that share an index decide how fast a text is searched, and not what is found. Long items
+are retrieved by stretches of equal length and verified whole, in the words around.
 
 Items are kept in the order of the score they need and cut into blocks. Passages that
 cannot reach any item of any block are ruled out for many passages at once: the block
@@ -16,9 +17,10 @@ block-max WAND tests. The others go through the postings with pivots and block m
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import hashing
+from touchline.llm.tables import staged
 
 K1, B = 1.2, 0.75
 BETWEEN = np.ones(256, bool)
@@ -35,7 +38,8 @@ ITEM_WORDS = 256
 BLOCK_ITEMS, MOST_BLOCKS = 8, 32
 PASSAGES = 1024  # bounded at once
 STRIDE = 32
-#: Bytes of item texts in one index that goes to all executors.
+GRAM = 3
+#: Bytes of item texts in one index; the driver and the tasks hold one index at a time.
 INDEX_BYTES = 32 << 20
 
 
@@ -46,6 +50,11 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashing.stretch_hashes(data, starts, ends), text
 
 
+def span(n: int) -> int:
+    """Words of the windows in which ``n`` words of an item are looked for."""
+    return n + 2 * max(STRIDE, n // 4)
+
+
 def _terms_of(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     return terms(data, np.array([0, len(data)]))[0]
@@ -66,6 +75,30 @@ class Entry:
     def part(self) -> np.ndarray:
         return self.words[self.first : self.last]
 
+    @property
+    def whole(self) -> bool:
+        return len(self.part) == len(self.words)
+
+    def unneeded(self, weight: dict[int, float], overlap: float) -> float:
+        """No less than the weight of the terms that a window may lack while it holds
+        ``overlap`` of the n-grams of question and answer (for a stretch: of the stretch).
+        Without a term all n-grams with it are gone, and an n-gram has at most n terms;
+        so the terms fill a knapsack, and a share of one may fill its rest."""
+        total = 0.0
+        for words in (self.words[: self.answer], self.words[self.answer :]) if self.whole else (self.part,):
+            n = min(GRAM, len(words))
+            if n == 0:
+                continue
+            at = np.unique(hashing.windows(words, np.zeros(len(words), np.int64), n)[0], return_index=True)[1].tolist()
+            grams = Counter(term for p in at for term in set(words[p : p + n].tolist()))
+            gone = math.floor((1 - overlap) * len(at) + 1e-9)
+            room = gone * n
+            for term, size in sorted(grams.items(), key=lambda g: -weight[g[0]] / g[1]):
+                if size <= gone and room > 0:
+                    total += weight[term] * min(1.0, room / size)
+                    room -= size
+        return total
+
 
 @dataclass
 class Index:
@@ -78,8 +111,9 @@ class Index:
     block_bounds: np.ndarray = field(init=False)  # highest impact by term (the last: unknown) and block
     block_needs: np.ndarray = field(init=False)
 
-    def build(self, share: float) -> Index:
-        """``share``: of its own best score that a passage must reach."""
+    def build(self, share: float, overlap: float = 0.8) -> Index:
+        """An item needs ``share`` of its own best score, or less if a window that holds
+        ``overlap`` of it can have less."""
         size = [len(e.part) for e in self.entries]
         mean = sum(size) / len(size)
         self.vocabulary = np.unique(np.concatenate([e.part for e in self.entries]))
@@ -91,13 +125,15 @@ class Index:
         total = len(self.entries)
         idf = [math.log(1 + (total - len(counts[t]) + 0.5) / (len(counts[t]) + 0.5)) for t in range(len(self.vocabulary))]
         impact = lambda t, i, tf: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / mean))
-        own = [0.0] * total
+        weights: list[dict[int, float]] = [{} for _ in range(total)]
         for term, found in counts.items():
             for i, tf in found.items():
-                own[i] += impact(term, i, tf)
-        order = sorted(range(total), key=lambda i: (own[i], i))
+                weights[i][int(self.vocabulary[term])] = impact(term, i, tf)
+        own = [sum(w.values()) for w in weights]
+        needed = [min(share * o, o - e.unneeded(w, overlap)) for o, e, w in zip(own, self.entries, weights, strict=True)]
+        order = sorted(range(total), key=lambda i: (needed[i], i))
         place = {i: p for p, i in enumerate(order)}
-        self.needed = [share * own[i] for i in order]
+        self.needed = [needed[i] for i in order]
         self.block = max(BLOCK_ITEMS, -(-total // MOST_BLOCKS))
         n = -(-total // self.block)
         self.in_block = [{} for _ in range(n)]
@@ -157,37 +193,37 @@ def _grams(words: np.ndarray, n: int) -> set[int]:
     return set(hashing.windows(words, np.zeros(len(words), np.int64), n)[0].tolist())
 
 
-def overlaps(entry: Entry, passage: np.ndarray, n: int = 3) -> tuple[float, float]:
+def _share(part: np.ndarray, own: set[int], passage: np.ndarray) -> float:
+    return len(own & _grams(passage, min(GRAM, len(part)) or GRAM)) / len(own) if own else 1.0
+
+
+def overlaps(entry: Entry, passage: np.ndarray) -> tuple[float, float]:
     """Shares of the question's and the answer's word n-grams that the passage holds; a
     part without words is held wholly."""
-    out = []
-    for part in (entry.words[: entry.answer], entry.words[entry.answer :]):
-        own = _grams(part, n)
-        there = _grams(passage, min(n, len(part)) or n)
-        out.append(len(own & there) / len(own) if own else 1.0)
-    return out[0], out[1]
+    asked, answered = entry.words[: entry.answer], entry.words[entry.answer :]
+    return _share(asked, _grams(asked, GRAM), passage), _share(answered, _grams(answered, GRAM), passage)
 
 
-def indexes(items: DataFrame, share: float) -> list[Index]:
-    """Indexes over (``item_id``, ``question``, ``answer``), each of a bounded size; null
-    texts are empty and items without words are left out. Items of over ``ITEM_WORDS``
-    words are entered by stretches of equal length, more than half of that each."""
+def n_parts(items: DataFrame) -> int:
+    """How many indexes of about ``INDEX_BYTES`` of text each hold the items."""
     size = F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = max(1, math.ceil(total / INDEX_BYTES))
-    out = []
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select("item_id", "question", "answer").collect()
-        entries = []
-        for item, question, answer in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-            asked = _terms_of(question or "")
-            found = np.concatenate([asked, _terms_of(answer or "")])
-            parts = -(-len(found) // ITEM_WORDS)
-            cuts = [len(found) * i // parts for i in range(parts + 1)] if parts else []
-            entries += [Entry(item, found, len(asked), *cut) for cut in pairwise(cuts)]
-        if entries:
-            out.append(Index(entries).build(share))
-    return out
+    return max(1, math.ceil((items.agg(F.sum(size)).first()[0] or 0) / INDEX_BYTES))
+
+
+def index_of(items: DataFrame, k: int, n: int, share: float, overlap: float) -> Index | None:
+    """The index over the ``k``-th of ``n`` parts of (``item_id``, ``question``,
+    ``answer``), dealt by the hash of the id; null texts are empty and items without words
+    are left out. Items of over ``ITEM_WORDS`` words are entered by stretches of equal
+    length, more than half of that each."""
+    rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select("item_id", "question", "answer").collect()
+    entries = []
+    for item, question, answer in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")):
+        asked = _terms_of(question or "")
+        found = np.concatenate([asked, _terms_of(answer or "")])
+        parts = -(-len(found) // ITEM_WORDS)
+        cuts = [len(found) * i // parts for i in range(parts + 1)] if parts else []
+        entries += [Entry(item, found, len(asked), *cut) for cut in pairwise(cuts)]
+    return Index(entries).build(share, overlap) if entries else None
 
 
 def _reachable(index: Index, term: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -221,19 +257,31 @@ def _reachable(index: Index, term: np.ndarray, first: np.ndarray, last: np.ndarr
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _surroundings(entry: Entry, a: int, length: int, begin: int, stop: int) -> tuple[int, int]:
+def _surroundings(entry: Entry, a: int, begin: int, stop: int) -> tuple[int, int]:
     """The words, of the text from ``begin`` to ``stop``, that hold the whole item if its
-    part is in the passage of ``length`` words from ``a`` on, with a quarter of the item's
-    length to spare on both sides. They begin on a grid, so that the parts of one copy
-    share them."""
+    stretch is in the window from ``a`` on, with a quarter of the item's length to spare on
+    both sides. They begin on a grid, so that the stretches of one copy share them."""
     size = len(entry.words)
     step = max(STRIDE, size // 4)
     at = begin + (a - begin - entry.first) // step * step
-    return max(begin, at - step), min(stop, at + size + length + 2 * step)
+    return max(begin, at - step), min(stop, at + size + span(len(entry.part)) + 2 * step)
+
+
+def _verified(entry: Entry, words: np.ndarray, a: int, begin: int, stop: int, overlap: float) -> tuple[float, float] | None:
+    """Question and answer overlap in the window of the entry from ``a`` on, for a stretch
+    that the window holds in the words around it; none if one is too low."""
+    window = words[a : min(a + span(len(entry.part)), stop)]
+    if not entry.whole:
+        if _share(entry.part, _grams(entry.part, GRAM), window) < overlap:
+            return None
+        window = words[slice(*_surroundings(entry, a, begin, stop))]
+    found = overlaps(entry, window)
+    return found if min(found) >= overlap else None
 
 
 def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """(text, item): best score with its question and answer overlap."""
+    """(text, item): best score, and the question and answer overlap of the window with
+    the most of both."""
     words, text = terms(data, offsets)
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(words):
@@ -242,7 +290,7 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -
     term[term == len(index.vocabulary)] = 0
     known = index.vocabulary[term] == words
     term = np.where(known, term, len(index.vocabulary))
-    length = max(len(e.part) for e in index.entries) + STRIDE
+    length = max(span(len(e.part)) for e in index.entries)
     begin = np.searchsorted(text, np.arange(len(offsets) - 1))
     stop = np.searchsorted(text, np.arange(len(offsets) - 1), "right")
     # Passages start every STRIDE words of a text, up to the one that reaches its end.
@@ -250,25 +298,24 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float) -
     first = np.repeat(begin - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum())
     last = np.minimum(first + length, np.repeat(stop, n))
     query, of = [], -1
-    verified: dict[tuple[int, int, int, int], tuple[float, float]] = {}
+    verified: dict[tuple[int, int], tuple[float, float] | None] = {}
     for p, block in _reachable(index, term, first, last).tolist():
         a, b = int(first[p]), int(last[p])
+        lo, hi = int(begin[text[a]]), int(stop[text[a]])
         if p != of:
             query, of = np.unique(term[a:b][known[a:b]]).tolist(), p
         for i, score in index.search(query, block):
             entry = index.entries[i]
-            if len(entry.part) == len(entry.words):
-                asked, answered = overlaps(entry, words[a:b])
-            else:
-                lo, hi = _surroundings(entry, a, length, int(begin[text[a]]), int(stop[text[a]]))
-                place = (id(entry.words), entry.answer, lo, hi)
-                if place not in verified:
-                    verified[place] = overlaps(entry, words[lo:hi])
-                asked, answered = verified[place]
-            if asked >= overlap and answered >= overlap:
-                key = (int(text[a]), entry.item)
-                if key not in out or out[key][0] < score:
-                    out[key] = (score, asked, answered)
+            size = span(len(entry.part))
+            # The entry's windows start every STRIDE words too: all those in this passage.
+            for at in range(a, max(a, b - size if b < hi else b - size + STRIDE - 1) + 1, STRIDE):
+                if (i, at) not in verified:
+                    verified[i, at] = _verified(entry, words, at, lo, hi, overlap)
+                found = verified[i, at]
+                if found:
+                    key = (int(text[a]), entry.item)
+                    best = out.get(key, (0.0, *found))
+                    out[key] = (max(score, best[0]), *max(found, best[1:], key=lambda o: (sum(o), o)))
     return out
 
 
@@ -281,47 +328,72 @@ def contaminated(
     overlap: float = 0.8,
 ) -> DataFrame:
     """A row per document and test item that it holds: id, ``item_id``, ``score`` (BM25 of
-    the best passage, for a long item against the part of it found there),
-    ``question_overlap`` and ``answer_overlap``, both over the whole item.
+    the best passage among the items of one index, for a long item against the part of it
+    found there), ``question_overlap`` and ``answer_overlap``, both over the whole item.
+
+    A document holds an item if a window of it holds ``overlap`` of the word trigrams of
+    the question and as many of the answer. Windows start every ``STRIDE`` words and are
+    half as long again as the item, and 64 words longer at least. Of an item of over
+    ``ITEM_WORDS`` words a window must hold that of a stretch, and the words around it that
+    of the item. Which other items there are changes the score only.
 
     ``items`` has ``item_id`` (long), ``question`` and ``answer``. Null and empty texts
     hold nothing; a text of any length is searched whole. Items without words are never
     found. Repeated rows are reported each, items of equal text each. Without items or
-    documents the result is empty. Other columns are not read.
+    documents the result is empty. Other columns are not read. Where the items take several
+    indexes, the rows found with each are written before the next is built.
     """
     schema = "id long, item_id long, score double, question_overlap double, answer_overlap double"
-    found = indexes(items, share)
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = hashing.Texts(batch.column(1))
-            for begin, end in texts.runs():
-                rows = [(*key, *hit) for index in found for key, hit in sorted(_hits(index, *texts.part(begin, end), overlap).items())]
-                ids = batch.column(0)[begin:end].take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [ids, *[pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), *((i, pa.float64()) for i in (2, 3, 4)))]]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "item_id", "score", "question_overlap", "answer_overlap"])
+    def found(index: Index | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches if index else ():
+                texts = hashing.Texts(batch.column(1))
+                for begin, end in texts.runs():
+                    rows = [(*key, *hit) for key, hit in sorted(_hits(index, *texts.part(begin, end), overlap).items(), key=_by_key)]
+                    ids = batch.column(0)[begin:end].take(pa.array([r[0] for r in rows], pa.int64()))
+                    columns = [ids, *[pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), *((i, pa.float64()) for i in (2, 3, 4)))]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+    n = n_parts(items)
+    if n == 1:
+        return found(index_of(items, 0, 1, share, overlap))
+    return reduce(DataFrame.union, [staged(found(index_of(items, k, n, share, overlap)), "items-found") for k in range(n)])
+
+
+def _by_key(hit) -> tuple:
+    (text, item), _ = hit
+    return text, item is None, item or 0
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", share: float = 0.6, overlap: float = 0.8) -> DataFrame:
-    """The rows that hold no test item, as they came."""
-    names, found = docs.columns, indexes(items, share)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = hashing.Texts(batch.column(len(names)))
-            for begin, end in texts.runs():
-                keep = np.ones(end - begin, bool)
-                for index in found:
-                    for row, _ in _hits(index, *texts.part(begin, end), overlap):
+    """The rows that hold no test item, as they came. Where the items take several indexes,
+    the rows left by each are written before the next is built."""
+    names = docs.columns
+
+    def left(rows: DataFrame, index: Index | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = hashing.Texts(batch.column(len(names)))
+                for begin, end in texts.runs():
+                    keep = np.ones(end - begin, bool)
+                    for row, _ in _hits(index, *texts.part(begin, end), overlap) if index else ():
                         keep[row] = False
-                own = [batch.column(i)[begin:end].filter(pa.array(keep)) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(own, names=names)
+                    own = [batch.column(i)[begin:end].filter(pa.array(keep)) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(own, names=names)
 
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_tl_text"))
-    return source.mapInArrow(run, docs.schema)
+        source = rows.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_tl_text"))
+        return source.mapInArrow(run, docs.schema)
+
+    n = n_parts(items)
+    for k in range(n):
+        docs = left(docs, index_of(items, k, n, share, overlap))
+        if k < n - 1:
+            docs = staged(docs, "items-left")
+    return docs
 
 
 def question_and_answer(items: DataFrame, text_col: str = "text") -> DataFrame:
