@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.tables import state_path
+from touchline.llm.tables import staged, state_path
 
 CHUNK = 1 << 16
 URN = "urn:page:"
+#: Digests (of 20 bytes, with an id) in a broadcast: some 30 MB in an executor.
+MOST_REPEATED = 1 << 18
 
 
 class DigestError(ValueError):
@@ -142,21 +144,26 @@ def _as_uri(path: str) -> str:
 
 def with_first_page(pages: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
     """(id, url, payload, ``first``) with the smallest id of the pages of equal payload,
-    null for payloads of under ``min_bytes`` and for null ids. Only digests of payloads
-    that occur under several ids take part in the join, and the planner splits a digest
-    that many pages share."""
+    null for payloads that only one id has, and for those of under ``min_bytes``.
+
+    Only digests and ids are shuffled: a row per digest that several ids share is written
+    to the shared folder. If these are at most ``MOST_REPEATED`` they are broadcast and
+    meet the payloads in the scan; beyond that both sides are shuffled by digest, and the
+    adaptive planner splits one that many pages share. Texts of any length are hashed
+    whole."""
     payload = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = pages.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest")
-    )
-    firsts = (
+    digest = F.unhex(F.sha1(payload.cast("binary")))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("url"), payload.alias("payload"), digest.alias("digest"))
+    firsts = staged(
         rows.filter(F.octet_length("payload") >= min_bytes)
         .groupBy("digest")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .filter("last > first")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "warc-firsts",
     )
-    return rows.join(firsts, "digest", "left").select("id", "url", "payload", "first")
+    few = firsts.count() <= MOST_REPEATED
+    return rows.join(F.broadcast(firsts) if few else firsts.hint("merge"), "digest", "left").select("id", "url", "payload", "first")
 
 
 def write_archives(
