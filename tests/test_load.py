@@ -12,7 +12,7 @@ from league import fixture, gameweek, league, match, player, rows, team
 
 from touchline.operators import contract, drift, integrity, merge, views
 from touchline.plans import contract_check
-from touchline.plans.load import LandingPaths, close_run, open_run, run_load, runs
+from touchline.plans.load import LandingPaths, close_run, landed_records, open_run, run_load, runs
 from touchline.plans.player_stats import player_stats
 from touchline.sources import landing
 from touchline.sources.schemas import column_names
@@ -154,6 +154,20 @@ def test_contract_check(spark, landed):
         contract_check.check_contract(spark, landed.paths)
 
 
+def test_findings_are_what_the_check_raises_for(spark, landed):
+    assert contract_check.contract_findings(landed_records(spark, landed.paths)).collect() == []
+    changed = copy.deepcopy(BOOTSTRAP)
+    changed["elements"][1]["mood"] = "good"
+    changed["teams"][0]["id"] = "one"
+    del changed["events"][1]["name"]
+    landed.write(bootstrap=changed, fixtures="no list")
+    found = contract_check.contract_findings(landed_records(spark, landed.paths)).collect()
+    assert {tuple(r) for r in found} == {
+        ("teams", "one", "id: not a valid int: one"), ("gameweeks", "2", "name: field required"),
+        ("fixtures", "?", "document without a readable list of records"), ("players", None, "new field mood, as in good"),
+    }
+
+
 def test_check_reads_all_histories(spark, landed, store):
     landed.write(
         bootstrap={**BOOTSTRAP, "elements": [player(i, 1) for i in range(1, 9)]},

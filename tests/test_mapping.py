@@ -8,7 +8,9 @@ import pytest
 from touchline.plans import player_history as hist
 from touchline.operators import integrity
 from touchline.plans.player_stats import player_stats
+from touchline.session import shared_dir
 from touchline.sources import driver_tables as data
+from touchline.sources.schemas import column_names
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +51,25 @@ def test_the_fact_is_read_once(spark, build):
         for key, value in kept.items():
             spark.conf.set(key, value)
     assert len(re.findall(r"FileScan parquet[^\n]*lineitem\.parquet", plan)) == 1
+
+
+@pytest.mark.parametrize("entity", ["teams", "gameweeks", "players", "fixtures"])
+def test_full_width_adds_to_the_mapping(spark, entity):
+    mapped = data.tables(spark, SF).named()[entity]
+    full = data.full_width(mapped, entity)
+    assert set(full.columns) == set(column_names(entity))
+    assert full.select(*mapped.columns).exceptAll(mapped).isEmpty()
+    added = full.select([c for c in full.columns if c not in mapped.columns])
+    assert all(added.filter(f"{c} is not null").count() for c in added.columns)
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Session:
+        def __init__(self, **settings):
+            self.conf = {key.replace("_", "."): value for key, value in settings.items()}
+
+    assert shared_dir(Session(spark_checkpoint_dir="/s", spark_master="yarn"), "a") == "/s/a"
+    local = Session(spark_sql_warehouse_dir="/w", spark_master="local[2]")
+    assert shared_dir(local, "a") == "/w/touchline-state/a"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session(spark_sql_warehouse_dir="/w", spark_master="spark://h:1"), "a")

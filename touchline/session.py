@@ -34,8 +34,11 @@ def build_session(master: str | None = None, app: str = "touchline", **extra: st
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Folder for written state that all executors see: under the shared folder the
     cluster names in ``spark.checkpoint.dir``, and where that is unset, as in tests on
-    one machine, under the session's warehouse."""
+    one machine, under the session's warehouse. On a cluster an unset folder is refused:
+    the warehouse may be the driver's own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "touchline-state")
     return os.path.join(root, name)

@@ -3,12 +3,13 @@
 Roles: customer -> team, ``o_orderkey % 38`` -> gameweek, orders -> fixture,
 part -> player, lineitem grouped by (part, order) -> fact. Keys are 0-based and
 dense. Columns that are not derived here are left out; ``schemas.conform`` adds
-them with their table defaults.
+them with their table defaults, ``full_width`` with values made from the key.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from touchline.operators.views import PLAYER_NUMERIC
 from touchline.plans.tables import RawTables
+from touchline.sources.schemas import fields
 
 GAMEWEEKS = 38
 FINISHED_GAMEWEEKS = 30
@@ -216,6 +218,30 @@ def raw_player_gameweek_stats(
     )
 
 
+#: Values of a column that the mapping lacks, by type, from a whole number ``n``.
+MADE = {
+    "int": "cast(n % 97 as int)",
+    "bigint": "cast(n as bigint)",
+    "boolean": "n % 3 = 0",
+    "string": "concat('text ', n % 50)",
+    "decimal(18,4)": "cast((n % 977) / 100 as decimal(18,4))",
+    "timestamp": "cast(date_add(date'2024-01-01', cast(n % 900 as int)) as timestamp_ntz)",
+    "date": "date_add(date'1980-01-01', cast(n % 9000 as int))",
+}
+
+
+def full_width(rows: DataFrame, entity: str, key: str = "id") -> DataFrame:
+    """The rows with all columns of ``entity``. Those that they lack are made from the key
+    times the column's place; a column that may be null is so where that leaves 3 by 7."""
+    made = []
+    for place, field in enumerate(fields(entity), start=1):
+        if field.name not in rows.columns:
+            n = f"({key} * {place})"
+            value = re.sub(r"\bn\b", n, MADE[field.type.simpleString()])
+            made.append(f"{value if field.not_null else f'case when {n} % 7 <> 3 then {value} end'} as {field.name}")
+    return rows.selectExpr("*", *made)
+
+
 def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log stand-in: an event of type ``error`` is a run that never finished."""
     return read(spark, sf_dir, "events").selectExpr(
