@@ -67,6 +67,17 @@ def test_substrings_as_brute_force(documents, corpus, block_bytes):
     assert {r.n_bytes for r in rows if r.doc_id in (200, 201)} == {0}
 
 
+@pytest.mark.parametrize("ids", [[None], [7], [None, 7], [3, 7, None]])
+def test_substrings_of_rows_that_share_an_id(documents, ids):
+    rng = random.Random(9)
+    shared = sentence(rng, 20)
+    rows = [(ids[i % len(ids)], f"{sentence(rng, 12)} {shared} {sentence(rng, 12)}") for i in range(60)]
+    got = sub.without_repeats(documents(rows), block_bytes=1500).collect()
+    found = [(r.doc_id, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in got]
+    assert sorted(found, key=str) == removed(rows, 50)
+    assert any(spans for _, spans, _ in found) == (len(ids) > 1)
+
+
 def test_substrings_of_an_empty_table(documents):
     assert sub.without_repeats(documents([])).collect() == []
 

@@ -390,7 +390,8 @@ def without_repeats(
     Null and empty texts have no bytes; texts shorter than ``length`` stay whole. Rows that
     repeat an id don't take from each other. A null id counts as larger than all others.
     Strings are judged on the input, not on what is left. An empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. A text of any length is searched whole, in the task
+    of its block; rows that agree in id and text share a block.
     """
     if not 0 < length - anchor < 64:
         raise ValueError("anchor must be shorter than length, by less than 64 bytes")
@@ -400,7 +401,8 @@ def without_repeats(
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     buckets, sort_buckets = max(1, blocks // 4), blocks
-    texts = source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).groupBy("block")
+    # With the text, rows that share an id, or have none, are dealt over the blocks too.
+    texts = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long")).groupBy("block")
 
     def number(table: pa.Table) -> int:
         return table.column("block")[0].as_py()
