@@ -98,6 +98,25 @@ def test_suffix_sort_and_collisions(monkeypatch):
         assert same.tolist() == [i > 0 and got[i] == got[i - 1] for i in range(len(got))]
 
 
+@pytest.mark.parametrize("back", [False, True])
+@pytest.mark.parametrize("broken", [False, True])
+def test_shared_bytes_of_sorted_strings(monkeypatch, back, broken):
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 99, 500, dtype=np.uint8)
+    at, reach = rng.integers(20, 480, 120), rng.integers(0, 13, 120)
+    start, size = np.array([0, 1, 5, 70]), np.array([1, 4, 65, 50])
+    text = [bytes(data[p - n : p][::-1] if back else data[p : p + n]) for p, n in zip(at, reach, strict=True)]
+    suffixes = sub.Suffixes(data, 12)
+    if broken:
+        monkeypatch.setattr(suffixes, "hash", lambda a, n: np.zeros(len(a), np.uint64))
+    order, shared = sub.sorted_shared(suffixes, at, reach, start, size, back)
+    for s, n in zip(start, size, strict=True):
+        got = [text[i] for i in order[s : s + n]]
+        assert got == sorted(text[s : s + n]) and shared[s] == -1
+        alike = [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in itertools.pairwise(got)]
+        assert shared[s + 1 : s + n].tolist() == alike
+
+
 # --- decontamination ------------------------------------------------------------
 
 

@@ -11,11 +11,11 @@ has one anchor for about every sixteen bytes.
 2. For those, a block sends the stretch of text around each anchor, once for equal
    stretches of several of its documents, so text that every document has costs one
    stretch per block.
-3. The windows of an anchor from all blocks are suffix-sorted: a merge sort, vectorised
-   over all anchors of a task, whose comparisons find the common extension of two
-   suffixes by binary search over prefix polynomial hashes. Neighbours of equal hash are
-   verified byte by byte. Of each run of equal windows those not of the smallest
-   document are marked.
+3. The stretches of an anchor from all blocks are suffix-sorted, from the anchor on and
+   back from it: merge sorts, vectorised over all anchors of a task, whose comparisons
+   find the common extension of two suffixes by binary search over prefix polynomial
+   hashes. Neighbours' order and common bytes are verified byte by byte. These lengths
+   tell which windows are equal; those not of the smallest document are marked.
 4. The blocks join the marks with their texts.
 
 Only strings around shared anchors are ever shuffled besides the texts themselves.
@@ -24,6 +24,7 @@ Only strings around shared anchors are ever shuffled besides the texts themselve
 from __future__ import annotations
 
 import math
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,8 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """Windows of ``length`` bytes in ``data``, compared by prefix polynomial hashes."""
+    """Strings of at most ``length`` bytes that run from a place of ``data`` on, or back from
+    it (the byte before the place first), compared by prefix polynomial hashes."""
 
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length = data, length
@@ -197,32 +199,37 @@ class Suffixes:
     def hash(self, at: np.ndarray, size) -> np.ndarray:
         return (self.sums[at + size] - self.sums[at]) * self.back[at]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension of windows that differ, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)
-        from_a, from_b, back_a, back_b = self.sums[a], self.sums[b], self.back[a], self.back[b]
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+        """Length of the common extension of the strings at ``a`` and ``b``, up to ``most``, by
+        binary search."""
+        low, high = np.zeros(len(a), np.int64), most.copy()
         for _ in range(self.length.bit_length()):
             middle = (low + high + 1) // 2
-            same = (self.sums[a + middle] - from_a) * back_a == (self.sums[b + middle] - from_b) * back_b
+            if back:
+                same = self.hash(a - middle, middle) == self.hash(b - middle, middle)
+            else:
+                same = self.hash(a, middle) == self.hash(b, middle)
             low = np.where(same, middle, low)
             high = np.where(same, high, middle - 1)
         return low
 
-    def less(self, at: np.ndarray, whole: np.ndarray, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether the ``i``-th of the windows ``at``, whose hashes are ``whole``, sorts
-        before the ``j``-th; equal windows answer ``or_equal``."""
-        out = or_equal.copy()
-        differ = np.flatnonzero(whole[i] != whole[j])
-        a, b = at[i[differ]], at[j[differ]]
-        size = self.common(a, b)
-        out[differ] = self.data[a + size] < self.data[b + size]
-        return out
-
-    def sort(self, at: np.ndarray, group_start: np.ndarray, group_size: np.ndarray) -> np.ndarray:
-        """Order that sorts the windows ``at`` within their groups: bottom-up merge sort of
-        all groups at once, where an element's place in a merge is its place in its own run
-        plus the number of elements of the sibling run that come before it."""
-        order, whole = np.arange(len(at)), self.hash(at, self.length)
+    def following(self, at: np.ndarray, n: np.ndarray, back: bool) -> np.ndarray:
+        """The byte after the first ``n`` of each string; any byte where it ends there."""
+        return self.data[np.clip(at - n - 1 if back else at + n, 0, len(self.data) - 1)]
+
+    def less(self, a, reach_a, b, reach_b, or_equal: np.ndarray, back: bool) -> np.ndarray:
+        """Whether the strings at ``a`` sort before those at ``b``; equal ones answer
+        ``or_equal``."""
+        most = np.minimum(reach_a, reach_b)
+        size = self.common(a, b, most, back)
+        ended = np.where(reach_a == reach_b, or_equal, reach_a < reach_b)
+        return np.where(size == most, ended, self.following(a, size, back) < self.following(b, size, back))
+
+    def sort(self, at: np.ndarray, reach: np.ndarray, group_start: np.ndarray, group_size: np.ndarray, back: bool) -> np.ndarray:
+        """Order that sorts the strings ``at``, of ``reach`` bytes, within their groups:
+        bottom-up merge sort of all groups at once, where an element's place in a merge is its
+        place in its own run plus the number of elements of the sibling run that come before it."""
+        order = np.arange(len(at))
         run = 1
         largest = int(group_size.max(initial=0))
         while run < largest:
@@ -237,9 +244,9 @@ class Suffixes:
             own = order[where]
             while len(todo := np.flatnonzero(low < high)):
                 middle = (low[todo] + high[todo]) // 2
-                other = order[base[todo] + sibling[todo] + middle]
+                other, self_ = order[base[todo] + sibling[todo] + middle], own[todo]
                 # A left element counts smaller ones of the right run, a right one also equal ones.
-                before = self.less(at, whole, other, own[todo], right[todo])
+                before = self.less(at[other], reach[other], at[self_], reach[self_], right[todo], back)
                 low[todo] = np.where(before, middle + 1, low[todo])
                 high[todo] = np.where(before, high[todo], middle)
             target = base + (mine // 2) * 2 * run + (inner - mine * run) + low
@@ -247,35 +254,48 @@ class Suffixes:
             run *= 2
         return order
 
-    def equal_to_next(self, at: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Whether each sorted window equals the next one, verified byte by byte, and
-        whether the hashes agreed with the bytes everywhere."""
-        whole = self.hash(at, self.length)
-        same = whole[:-1] == whole[1:]
-        where, sound = np.flatnonzero(same), True
-        for first in range(0, len(where), 1 << 16):
-            part = where[first : first + (1 << 16)]
-            reach = np.arange(self.length)
-            ok = (self.data[at[part][:, None] + reach] == self.data[at[part + 1][:, None] + reach]).all(1)
-            sound &= bool(ok.all())
-            same[part] = ok
-        return same, sound
+    def verified(self, at: np.ndarray, reach: np.ndarray, shared: np.ndarray, back: bool) -> bool:
+        """Whether, byte by byte, each string but the first of a group has exactly ``shared``
+        bytes in common with the one before and does not sort before it."""
+        inside = np.flatnonzero(shared >= 0)
+        for first in range(0, len(inside), 1 << 16):
+            i = inside[first : first + (1 << 16)]
+            a, b, n = at[i - 1], at[i], shared[i]
+            most = np.minimum(reach[i - 1], reach[i])
+            in_order = np.where(n == most, reach[i - 1] <= reach[i], self.following(a, n, back) < self.following(b, n, back))
+            equal = self.data[_ranges(a - n if back else a, n)] == self.data[_ranges(b - n if back else b, n)]
+            if not (in_order.all() and equal.all()):
+                return False
+        return True
+
+
+def sorted_shared(
+    suffixes: Suffixes, at: np.ndarray, reach: np.ndarray, start: np.ndarray, size: np.ndarray, back: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' order within their groups, and how many bytes each shares with the one
+    before (-1 for the first of a group). If a hash collision shows, both are made again
+    from the bytes themselves."""
+    order = suffixes.sort(at, reach, start, size, back)
+    shared = np.full(len(at), -1, np.int64)
+    inside = np.ones(len(at), bool)
+    inside[start] = False
+    later = np.flatnonzero(inside)
+    a, b = order[later - 1], order[later]
+    shared[later] = suffixes.common(at[a], at[b], np.minimum(reach[a], reach[b]), back)
+    if not suffixes.verified(at[order], reach[order], shared, back):
+        data = suffixes.data
+        text = [data[p - n : p][::-1].tobytes() if back else data[p : p + n].tobytes() for p, n in zip(at.tolist(), reach.tolist(), strict=True)]
+        group = np.repeat(np.arange(len(start)), size)
+        order = np.array(sorted(range(len(at)), key=lambda i: (group[i], text[i], i)))
+        shared[later] = [len(commonprefix([text[a], text[b]])) for a, b in zip(order[later - 1], order[later], strict=True)]
+    return order, shared
 
 
 def sorted_equal(suffixes: Suffixes, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows' order within their groups and which are equal to the one before.
-    If a hash collision shows, the order is made again from the bytes themselves."""
-    order = suffixes.sort(at, start, size)
-    same, sound = suffixes.equal_to_next(at[order])
-    if not sound:
-        data, n = suffixes.data, suffixes.length
-        text = [data[p : p + n].tobytes() for p in at.tolist()]
-        group = np.repeat(np.arange(len(start)), size)
-        order = np.array(sorted(range(len(at)), key=lambda i: (group[i], text[i], i)))
-        same = np.array([text[a] == text[b] for a, b in zip(order[:-1], order[1:], strict=True)], bool)
-    same = np.append(False, same)
-    same[start] = False
-    return order, same
+    """The order, within their groups, of the strings of full length, and which are equal to
+    the one before."""
+    order, shared = sorted_shared(suffixes, at, np.full(len(at), suffixes.length), start, size)
+    return order, shared == suffixes.length
 
 
 def _marked(rows: pa.Table, length: int) -> pa.Table:
@@ -307,29 +327,45 @@ def _marked(rows: pa.Table, length: int) -> pa.Table:
 
 def _marks_of(head: np.ndarray, owner: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(block, start) of the windows that a smaller document has too; ``head`` is sorted by
-    anchor."""
-    n = head["windows"].astype(np.int64)
+    anchor.
+
+    The stretches of an anchor are sorted twice: by their bytes from the anchor on and by
+    those back from it. The windows that begin ``o`` bytes before the anchor are equal in two
+    stretches that share ``length - o`` bytes from the anchor on and ``o`` back from it,
+    and in either order such stretches are neighbours."""
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, before = head["windows"].astype(np.int64), head["before"].astype(np.int64)
     size = n + length - 1
-    which = np.repeat(np.arange(len(head)), n)
-    inner = _ranges(np.zeros(len(head), np.int64), n)
-    at = (np.cumsum(size) - size)[which] + inner
-    dense = np.cumsum(np.append(False, head["anchor"][1:] != head["anchor"][:-1]))
-    key = dense[which] * 64 + head["before"][which] - inner
-    by_key = np.argsort(key, kind="stable")
-    which, at, key, inner = which[by_key], at[by_key], key[by_key], inner[by_key]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(start, len(key)))
-    many = np.repeat(count > 1, count)
-    which, at, inner, count = which[many], at[many], inner[many], count[count > 1]
-    if not len(which):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.cumsum(size) - size + before
+    cuts = np.flatnonzero(np.append(True, head["anchor"][1:] != head["anchor"][:-1]))
+    count = np.diff(np.append(cuts, len(head)))
+    several = np.flatnonzero(np.repeat(count > 1, count))
+    if not len(several):
+        return nothing
+    n, before, size, place, owner, head = (x[several] for x in (n, before, size, place, owner, head))
+    count = count[count > 1]
     start = np.cumsum(count) - count
-    order, same = sorted_equal(Suffixes(data, length), at, start, count)
-    which, inner = which[order], inner[order]
-    run = np.flatnonzero(~same)
-    smallest = np.repeat(np.minimum.reduceat(head["id"][which], run), np.diff(np.append(run, len(which))))
-    later = head["id"][which] > smallest
-    return owner[which[later]], head["at"][which[later]].astype(np.int64) + inner[later]
+    suffixes = Suffixes(data, length)
+    onward, shared_on = sorted_shared(suffixes, place, size - before, start, count)
+    backward, shared_back = sorted_shared(suffixes, place, before, start, count, back=True)
+    ids, at, least = head["id"], head["at"].astype(np.int64), before - n + 1
+    alike_on, alike_back = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+    found = [nothing]
+    for o in range(int(least.min()), int(before.max()) + 1):
+        # Stretches with a window there, by classes of equal bytes in both directions.
+        alike_on[onward] = np.cumsum(shared_on < length - o)
+        alike_back[backward] = np.cumsum(shared_back < o)
+        which = np.flatnonzero((least <= o) & (o <= before))
+        key = (alike_on * (len(head) + 1) + alike_back)[which]
+        order = np.argsort(key, kind="stable")
+        which, key = which[order], key[order]
+        run = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        if len(run) == len(which):
+            continue
+        smallest = np.repeat(np.minimum.reduceat(ids[which], run), np.diff(np.append(run, len(which))))
+        later = which[ids[which] > smallest]
+        found.append((owner[later], at[later] + before[later] - o))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _packed(block: np.ndarray, start: np.ndarray, length: int) -> pa.Table:
