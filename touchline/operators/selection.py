@@ -81,21 +81,22 @@ def newest_gameweeks_per_player(
 ) -> DataFrame:
     """Rows in each player's own N newest gameweeks.
 
-    The gameweeks of a player are few, so the N newest come from an aggregate that holds
-    a set of gameweek ids per player and pre-combines per task. The N-th of them, or the
-    oldest if there are fewer, is a threshold that is joined back on the player. The
-    rows are placed once by player and gameweek, so a player with very many rows is not
-    one task, and both uses read that one exchange.
+    The rows are placed once by player and gameweek, so a player with very many rows is
+    not one task. The gameweeks of a player are few: the pairs of both are found where
+    the rows lie, the N newest of each player come from an aggregate over the pairs, and
+    they meet the rows where these lie. The rows are moved once, and both uses read that
+    one exchange.
     """
     keyed = rows.filter("player_id is not null and gameweek_id is not null")
     if before is not None:
         keyed = keyed.filter(F.col("gameweek_id") < before)
     placed = keyed.repartition("player_id", "gameweek_id")
-    newest = F.sort_array(F.collect_set("gameweek_id"), asc=False)
-    threshold = F.element_at(F.slice(newest, 1, n), -1)
-    thresholds = same_columns(placed.groupBy("player_id"), rows.columns, threshold.alias("_oldest"))
-    chosen = placed.join(thresholds, "player_id").filter(F.col("gameweek_id") >= F.col("_oldest"))
-    return chosen.select(*rows.columns)
+    pairs = same_columns(placed.groupBy("player_id", "gameweek_id"), rows.columns)
+    newest = F.sort_array(F.collect_list("gameweek_id"), asc=False)
+    chosen = pairs.groupBy("player_id").agg(F.slice(newest, 1, n).alias("_newest")).select(
+        "player_id", F.explode("_newest").alias("gameweek_id")
+    )
+    return placed.join(chosen, ["player_id", "gameweek_id"], "left_semi").select(*rows.columns)
 
 
 def same_columns(grouped: GroupedData, columns: list[str], *aggregates: Column) -> DataFrame:

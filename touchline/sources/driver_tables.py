@@ -135,6 +135,7 @@ def _match_base(spark: SparkSession, sf_dir: str, sql_rows: bool) -> DataFrame:
             F.expr("max(l_linenumber) as ln"),
             F.expr("max(l_shipdate) as ship"),
         )
+        .selectExpr("l_partkey + 1 as element", "l_orderkey + 1 as fixture", "q", "d", "t", "ln", "ship")
     )
 
 
@@ -143,19 +144,16 @@ def _hundredths(value: str) -> str:
     return f"concat(({value}) div 100, '.', lpad(({value}) % 100, 2, '0'))"
 
 
-def match_measures(spark: SparkSession, sf_dir: str, sql_rows: bool = False) -> DataFrame:
-    """The fact without the columns that come from a lookup (opponent, scores, value).
-
-    Enough for every per-player aggregate, which then shuffles the fact only to
-    group it and to test its fixture.
-    """
+def _measures(base: DataFrame, *looked_up: str) -> DataFrame:
+    """The measures of the rows of ``_match_base``, then the columns of a lookup. A projection
+    only: it stands above the joins, so that these move the few columns of the base."""
 
     def flag(condition: str) -> str:
         return f"case when {condition} then 1 else 0 end"
 
     goals = "case when ln >= 6 then ln - 5 else 0 end"
     return (
-        _match_base(spark, sf_dir, sql_rows)
+        base
         .selectExpr(
             "*",
             "case when q <= 10 then 0 when q <= 45 then q * 2 else 90 end as minutes",
@@ -164,9 +162,9 @@ def match_measures(spark: SparkSession, sf_dir: str, sql_rows: bool = False) ->
             "t * 40 + d * 3 as xgc",
         )
         .selectExpr(
-            "l_partkey + 1 as element",
-            "l_orderkey + 1 as fixture",
-            f"cast(l_orderkey % {GAMEWEEKS} + 1 as int) as round",
+            "element",
+            "fixture",
+            f"cast((fixture - 1) % {GAMEWEEKS} + 1 as int) as round",
             "ln % 2 = 1 as was_home",
             "ship as kickoff_time",
             "minutes",
@@ -194,28 +192,44 @@ def match_measures(spark: SparkSession, sf_dir: str, sql_rows: bool = False) ->
             "concat(d, '.', t) as creativity",
             "concat(t, '.', d % 10) as threat",
             "concat(ln, '.', t) as ict_index",
+            *looked_up,
         )
     )
 
 
-def raw_player_gameweek_stats(
-    spark: SparkSession, sf_dir: str, price: bool = True, sql_rows: bool = False
-) -> DataFrame:
-    """The fact with opponent and scores from the fixture and, with ``price``, the
-    player's value. The player is looked up first, so that a later fixture join
-    of the plan finds the rows placed by fixture already."""
-    rows = match_measures(spark, sf_dir, sql_rows)
+def match_measures(spark: SparkSession, sf_dir: str, sql_rows: bool = False) -> DataFrame:
+    """The fact without the columns that come from a lookup (opponent, scores, value).
+
+    Enough for every per-player aggregate, which then shuffles the fact only to
+    group it and to test its fixture.
+    """
+    return _measures(_match_base(spark, sf_dir, sql_rows))
+
+
+def _looked_up(spark: SparkSession, sf_dir: str, price: bool, sql_rows: bool) -> tuple[DataFrame, list[str]]:
+    """The base with opponent and scores from the fixture and, with ``price``, the player's
+    value, and the names of these columns. The player is looked up first, so that a later
+    fixture join of the plan finds the rows placed by fixture already."""
+    rows = _match_base(spark, sf_dir, sql_rows)
     if price:
         part = read(spark, sf_dir, "part")
         rows = rows.join(part.selectExpr("p_partkey + 1 as element", "p_size + 40 as value"), "element")
     match = raw_fixtures(spark, sf_dir).selectExpr(
         "id as fixture", "team_h", "team_a", "team_h_score", "team_a_score"
     )
-    return (
-        rows.join(match, "fixture")
-        .selectExpr("*", "case when was_home then team_a else team_h end as opponent_team")
-        .drop("team_h", "team_a")
+    rows = rows.join(match, "fixture").selectExpr(
+        "*", "case when ln % 2 = 1 then team_a else team_h end as opponent_team"
     )
+    return rows.drop("team_h", "team_a"), [*(["value"] if price else []), "team_h_score", "team_a_score", "opponent_team"]
+
+
+def raw_player_gameweek_stats(
+    spark: SparkSession, sf_dir: str, price: bool = True, sql_rows: bool = False
+) -> DataFrame:
+    """The fact with opponent and scores from the fixture and, with ``price``, the
+    player's value."""
+    rows, looked_up = _looked_up(spark, sf_dir, price, sql_rows)
+    return _measures(rows, *looked_up).selectExpr("fixture", "element", "* except (fixture, element)")
 
 
 #: Values of a column that the mapping lacks, by type, from a whole number ``n``.
