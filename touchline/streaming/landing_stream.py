@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from touchline.operators.contract import ContractError, accepted, rejects, validate
 from touchline.operators.integrity import require_references
 from touchline.operators.merge import latest_per_key
-from touchline.plans.load import stage
+from touchline.plans.load import stage, without_settled_text
 from touchline.session import shared_dir
 from touchline.sources import landing
 from touchline.sources.schemas import KEYS, REFERENCES, column_names
@@ -87,7 +87,7 @@ def load_histories(
 
     def checked_rows(batch: DataFrame, staging: str, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
-        checked = stage(validate(landing.history_records(batch), FACTS), staging)
+        checked = stage(without_settled_text(validate(landing.history_records(batch), FACTS), FACTS), staging)
         sink = f"{rejects_path(store, name)}/batch={batch_id}"
         batch_rejects(checked, FACTS).write.mode("overwrite").parquet(sink)
         refused = spark.read.parquet(sink)
