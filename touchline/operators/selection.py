@@ -96,7 +96,8 @@ def newest_gameweeks_per_player(
     chosen = pairs.groupBy("player_id").agg(F.slice(newest, 1, n).alias("_newest")).select(
         "player_id", F.explode("_newest").alias("gameweek_id")
     )
-    return placed.join(chosen, ["player_id", "gameweek_id"], "left_semi").select(*rows.columns)
+    # each pair comes once; a semi join would be moved below the exchange, which it then changes
+    return placed.join(chosen, ["player_id", "gameweek_id"]).select(*rows.columns)
 
 
 def same_columns(grouped: GroupedData, columns: list[str], *aggregates: Column) -> DataFrame:
