@@ -6,12 +6,15 @@ import datetime
 import json
 import re
 from decimal import Decimal
+from types import SimpleNamespace
 
 from league import match
 
 from touchline.operators import contract, selection
 from touchline.plans.load import without_settled_text
+from touchline.session import SETTINGS, compile_wide_rows
 from touchline.sources import driver_tables as data
+from touchline.sources import landing
 from touchline.sources.schemas import column_names, conform
 from touchline.sources.store import TableStore
 
@@ -85,3 +88,51 @@ def test_settled_records_leave_their_text(spark):
     assert {pos: text for pos, (text, _) in kept.items()} == {0: False, 1: True, 2: True, 3: False}
     assert {pos: e for pos, (_, e) in kept.items()} == {r._pos: r.errors for r in checked.collect()}
     assert set(column_names(FACTS)) < set(checked.columns)
+
+
+def optimized(df) -> str:
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_only_shown_columns_of_a_record_are_worked_out(spark):
+    good = match(1, 1)
+    records = [good, {**good, "minutes": "n/a"}, {**good, "minutes": "7"}, {**good, "influence": 3}]
+    landed = spark.createDataFrame([("d", i, json.dumps(r)) for i, r in enumerate(records)], "doc string, pos int, record string")
+    checked = contract.validate(landed, FACTS)
+    plan = optimized(checked.select("element", "minutes"))
+    assert "not a valid" not in plan and "null in a not-null column" not in plan
+    assert [(r._pos, r.minutes, r.errors) for r in checked.orderBy("_pos").collect()] == [
+        (0, 0, ""),
+        (1, None, "minutes: not a valid int: n/a"),
+        (2, 7, ""),
+        (3, 0, "influence: not a valid str: 3"),
+    ]
+
+
+def test_a_document_is_parsed_once(spark):
+    docs = spark.createDataFrame(
+        [("a", '{"history": [{"x": 1}, {"x": 2}]}'), ("b", '{"history": []}'), ("c", '{"other": 1}'), ("d", '{"history": [{"x": 1}]} more'), ("e", None)],
+        "doc string, value string",
+    )
+    records = landing.history_records(docs)
+    got = sorted((r.doc, r.pos, r.record) for r in records.collect())
+    assert got == [("a", 0, '{"x":1}'), ("a", 1, '{"x":2}'), ("d", 0, None), ("e", 0, None)]
+    assert len(re.findall(r"from_json\(", optimized(records))) == 1
+
+
+def test_wide_rows_are_compiled_in_any_session():
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    foreign = SimpleNamespace(conf=Conf({limit: "65535", "spark.executor.extraJavaOptions": "-Xss4m"}))
+    compile_wide_rows(foreign)
+    assert foreign.conf[limit] == "8000"
+    own = SimpleNamespace(conf=Conf({limit: "65535", **SETTINGS}))
+    compile_wide_rows(own)
+    assert own.conf[limit] == "65535"

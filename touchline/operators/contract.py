@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from touchline.session import compile_wide_rows
 from touchline.sources.schemas import Field, fields
 
 # Texts that count as a flag.
@@ -169,6 +170,8 @@ class _Parsed:
         given = f"_p.r.`{field.name}`"
         self.raw = f"cast({given} as string)" if self.kept else given
         self.kind = f"coalesce(schema_of_variant({given}), 'VOID') in ('STRING', 'VOID')"
+        # of a text field its kind says so, without building the text
+        self.given = f"schema_of_variant({given}) = 'STRING'" if self.kept else f"{given} is not null"
         parsed_as = "variant" if self.kept else field.type.simpleString() if self.plain else "string"
         self.ddl = f"`{field.name}`: {parsed_as}"
 
@@ -194,7 +197,7 @@ class _Parsed:
     def settled(self) -> list[str]:
         conditions = [self.kind] if self.kept else []
         if self.field.required or (self.field.not_null and self.field.default is None):
-            conditions.append(f"{self.stored()} is not null")
+            conditions.append(self.given if self.stored() == self.raw else f"{self.stored()} is not null")
         elif self.stored() != self.raw:
             conditions.append(f"({self.raw} is null or {self.stored()} is not null)")
         return conditions
@@ -213,7 +216,7 @@ def _good(parsed: list[_Parsed]) -> str:
     gaps = [p for p in parsed if p.filled_when_missing()]
     conditions = ["_p.c is null", "_p.e = _h", "_p.r is not null", *[c for p in parsed for c in p.settled()]]
     if gaps:
-        given = _all([f"{p.raw} is not null" for p in gaps])
+        given = _all([p.given for p in gaps])
         names = "|".join(p.field.name for p in gaps)
         unclear = "contains(_record, 'null') and (contains(_record, chr(92)) or _record rlike"
         conditions.append(f"{given} or not ({unclear} '\"({names})\"\\\\s*:\\\\s*null'))")
@@ -225,6 +228,7 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
 
     Nothing is dropped: ``accepted`` and ``rejects`` pick from the result.
     """
+    compile_wide_rows(records.sparkSession)
     records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     keys = [_Key(field) for field in fields(entity)]
     parsed = [_Parsed(field) for field in fields(entity)]
@@ -243,12 +247,14 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
     ]
     carried = [*place, "_p", "_whole", "_good"]
     shown = [*carried, "_has_flips"]
+    # The parse is the output of a generator, so that it is computed once. The steps above it
+    # are projections: a plan needs only those of the columns that it shows, and they are
+    # compiled, where a generator over as many columns evaluates its row one node at a time.
     extracted = (
         records.toDF(*place)
-        # one output row per record; a generator's output is computed once
         .selectExpr(*place, once)
-        .selectExpr(*place, "_p", f"inline(array(struct({', '.join(settled)})))")
-        .selectExpr(*carried, f"inline(array(struct({', '.join(rest)})))")
+        .selectExpr(*place, "_p", *settled)
+        .selectExpr(*carried, *rest)
         .selectExpr(*shown, "_rest", f"{_KINDS} as _schema")
         .selectExpr(*shown, "_rest", f"{_TOP_LEVEL.format('_schema')} as _top")
         .selectExpr(*shown, "_rest", f"case when contains(_top, '<') then {_ONE_BY_ONE} else _top end as _top")
@@ -259,34 +265,38 @@ def validate(records: DataFrame, entity: str) -> DataFrame:
             "_kinds",
             "contains(_kinds, ': VOID,') as _has_nulls",
         )
-        .selectExpr(*shown, "_kinds", "_has_nulls", f"inline(array(struct({strictly('_rest', as_texts)} as _t)))")
+        .selectExpr(*shown, "_kinds", "_has_nulls", f"{strictly('_rest', as_texts)} as _t")
         .selectExpr(*shown, "_kinds", "_has_nulls", *[f"_t.r.`{key.name}` as `_text_{key.name}`" for key in keys])
     )
     typed = extracted.selectExpr("*", *[key.value() for key in keys])
     errors = _joined([key.contract_error() for key in keys])
     table_errors = _joined([key.table_error() for key in keys])
     checked = [
-        *[f"case when _good then {p.value()} else `{p.field.name}` end as `{p.field.name}`" for p in parsed],
         "case when _good then ''"
         " when _record is null then 'document without a readable list of records'"
         f" when _kinds is null then 'not a JSON object' else {errors} end as errors",
         f"case when _good or _kinds is null then '' else {table_errors} end as table_errors",
     ]
-    # As the output of a generator the failures are computed once: a filter on them is
-    # not pushed down and computed again there.
-    return typed.selectExpr(*place, f"inline(array(struct({', '.join(checked)})))")
+    values = [f"case when _good then {p.value()} else `{p.field.name}` end as `{p.field.name}`" for p in parsed]
+    return typed.selectExpr(*place, *values, *checked)
+
+
+def _judged(validated: DataFrame) -> DataFrame:
+    """With the failures as the output of a generator, where they are computed once: a filter
+    on them is not pushed down and computed again there."""
+    return validated.selectExpr("* except (errors, table_errors)", "inline(array(struct(errors, table_errors)))")
 
 
 def accepted(validated: DataFrame, entity: str, *place: str) -> DataFrame:
     """Typed rows of records without failures, with columns of their place if named."""
-    return validated.filter("errors = '' and table_errors = ''").select(
+    return _judged(validated).filter("errors = '' and table_errors = ''").select(
         *[f.name for f in fields(entity)], *place
     )
 
 
 def rejects(validated: DataFrame, label: str) -> DataFrame:
     """One row per failing record: label, place, id as given and all reasons."""
-    return validated.filter("errors <> '' or table_errors <> ''").selectExpr(
+    return _judged(validated).filter("errors <> '' or table_errors <> ''").selectExpr(
         f"'{label}' as label",
         "_doc as doc",
         "_pos as row",

@@ -42,3 +42,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "touchline-state")
     return os.path.join(root, name)
+
+
+def compile_wide_rows(spark: SparkSession) -> None:
+    """Keep the JVM from interpreting the plans of wide records in a session that was not
+    built here: stages whose fused method is above the 8000 bytes that the JVM compiles
+    run unfused, in methods that it does compile. A session with the JVM option of
+    ``SETTINGS``, or with a limit of its own, is left as it is."""
+    option = "-XX:-DontCompileHugeMethods"
+    if all(option in spark.conf.get(f"spark.{where}.extraJavaOptions", "") for where in ("driver", "executor")):
+        return
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
