@@ -400,3 +400,28 @@ def test_training_without_both_labels(spark, documents):
     assert (quality.train(documents([(1, "a b"), (2, "c d")]), none).weights == quality.Field.neutral().weights).all()
 
 
+
+
+def test_components_take_few_tasks_for_few_links(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(100, 140)] + [(141, i) for i in range(120, 130)] + [(7, 7), (3, 900), (900, 3), (900, 3)]
+    table = spark.createDataFrame(links, "a long, b long")
+    written = []
+    monkeypatch.setattr(near, "staged", lambda df, name, f=near.staged: written.append(f(df, name)) or written[-1])
+    held = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        for key, value in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(key, value)
+        context.setJobGroup("components", "")
+        found = near.components(table)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert tasks < 3 * 40 * len(written)
+    assert all(len(df.inputFiles()) <= context.defaultParallelism for df in written)
+    rows = [(r.node, r.component) for r in found.collect()]
+    assert sorted(rows) == [(i, 100) for i in range(101, 142)] + [(900, 3)]

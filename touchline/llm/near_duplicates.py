@@ -21,11 +21,12 @@ of 1e-8; 40 bands do that for 0.85.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ BLOCK = 1500
 BLOCK_BYTES = 16 << 20
 #: Entries of a block's posting lists that are read at a time.
 POSTINGS = 1 << 20
+#: Links that a task writes in a round of stars.
+LINKS = 1 << 17
 #: Signatures of pairs at the threshold fall below it by more than this once in 1e8.
 MARGIN = 0.14
 _random = np.random.default_rng(77)
@@ -166,27 +169,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(joined.mapInArrow(run, PAIR), "links")
 
 
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v), without those that repeat one of the same batch."""
+    for batch in batches:
+        u, v = (c.to_numpy() for c in batch.columns)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new])], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of the links (a, b); the component is its smallest
-    node. Alternates large and small stars until every node but the centres has one link,
-    to a centre; a star's links are summed up before they are shuffled, so its centre is no
-    hot key."""
-    links = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "stars")
+    node. A round is a large and a small star in one written step: the lesser end of a link
+    becomes its own least neighbour, then a node's lesser ends are linked to the least of
+    them. No round has more links than the one before. A round that moves nothing has one
+    link from every node to its component, and is the last. Least neighbours are summed
+    up before they are shuffled and repeated links dropped; the links of a centre, two
+    numbers each, meet in one join task only where the least neighbours are too many to be
+    broadcast. The tasks that write a round follow the number of links, not that of the session's
+    shuffle partitions, which is set for whole texts."""
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, math.ceil(links.count() / LINKS))
+    by_node = Window.partitionBy("u").orderBy("m", F.desc("moved"))
     while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        links = staged(small, "stars")
-        ends = links.selectExpr("u as x", "1 as n", "false as centre").unionAll(links.selectExpr("v", "0", "true"))
-        ends = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("centre").alias("centre"))
-        if not ends.agg(F.count_if(F.expr("n > 1 or n = 1 and centre"))).first()[0]:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = links.mapInArrow(_unlike, "u long, v long").join(least, "v").select("u", "m", (F.col("m") < F.col("v")).alias("moved"))
+        # A node's first row links it to the least of its lesser ends, the others link those.
+        small = large.select(
+            F.row_number().over(by_node).alias("place"),
+            F.lag("m").over(by_node).alias("before"),
+            F.min("m").over(by_node).alias("least"),
+            "u", "m", "moved",
+        ).filter("place = 1 or m > before")
+        stars = small.select(F.expr("if(place = 1, u, m) as u"), F.col("least").alias("v"), F.expr("place > 1 or moved as moved"))
+        links = staged(stars.coalesce(tasks), "stars")
+        moved = links.filter("moved")
+        links = links.drop("moved")
+        if moved.isEmpty():
+            return links.toDF("node", "component")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -274,7 +297,7 @@ def _alike(shared: DataFrame, labels: DataFrame, facts: DataFrame, percent: int)
             if table.num_rows > 1:
                 yield _pair_batch(edges(*key, table))
 
-    return _in_blocks(members.join(apart, "band").join(facts, "node"), "band").mapInArrow(run, PAIR).distinct()
+    return _in_blocks(members.join(apart, "band").join(facts, "node"), "band").mapInArrow(run, PAIR)
 
 
 def _compared(clouds: DataFrame, sets: DataFrame, facts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
