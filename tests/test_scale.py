@@ -8,11 +8,11 @@ import re
 from decimal import Decimal
 from types import SimpleNamespace
 
-from league import match
+from league import match, rows as league_rows
 
-from touchline.operators import contract, selection
+from touchline.operators import contract, merge, selection
 from touchline.plans.load import without_settled_text
-from touchline.session import SETTINGS, compile_wide_rows
+from touchline.session import SETTINGS, compile_wide_rows, released_shuffles
 from touchline.sources import driver_tables as data
 from touchline.sources import landing
 from touchline.sources.schemas import column_names, conform
@@ -136,3 +136,72 @@ def test_wide_rows_are_compiled_in_any_session():
     own = SimpleNamespace(conf=Conf({limit: "65535", **SETTINGS}))
     compile_wide_rows(own)
     assert own.conf[limit] == "65535"
+
+
+def test_small_buckets_are_not_cut_by_round(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"), rows_per_bucket=10)
+    facts = [match(p, f, round=f) for p in range(1, 6) for f in range(1, 9)]
+    files = lambda: list((tmp_path / f"store/data/{FACTS}").rglob("*.parquet"))
+    store.upsert(FACTS, league_rows(spark, FACTS, facts))
+    assert 1 < len({p.parent.parent.name for p in files()}) <= 4 and len(files()) <= 4  # one per bucket, 8 rounds in each
+    moved = [{**m, "round": 9} for m in facts if m["fixture"] == 3]
+    assert store.upsert(FACTS, league_rows(spark, FACTS, [*facts[:2], *moved])) == 2 and len(files()) <= 8
+    want = sorted((m["element"], m["fixture"], 9 if m["fixture"] == 3 else m["round"]) for m in facts)
+    assert sorted((r.element, r.fixture, r.round) for r in store.read(FACTS).collect()) == want
+
+
+def test_a_row_that_moves_leaves_its_slice(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    facts = [match(p, f, round=f) for p in range(1, 4) for f in (1, 2)]
+    store.upsert(FACTS, league_rows(spark, FACTS, facts))
+    slices = {p.parent.name for p in (tmp_path / f"store/data/{FACTS}/v=1").rglob("*.parquet")}
+    assert len(slices) == 2  # a round has its own where a bucket has rows for it
+    assert store.upsert(FACTS, league_rows(spark, FACTS, [{**facts[0], "round": 30}])) == 2
+    assert {p.parent.name for p in (tmp_path / f"store/data/{FACTS}/v=2").rglob("*.parquet")} == {"_slice=1", "_slice=30"}
+    got = sorted((r.element, r.fixture, r.round) for r in store.read(FACTS).collect())
+    assert got == sorted([(1, 1, 30), *[(m["element"], m["fixture"], m["round"]) for m in facts[1:]]])
+    assert store.upsert(FACTS, league_rows(spark, FACTS, [match(9, 9, round=25)])) == 3  # a cell that isn't there yet
+    assert store.read(FACTS).count() == 7
+
+
+def test_a_table_cut_by_round_stays_so(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    facts = [match(p, f, round=f) for p in (1, 2) for f in (1, 2)]
+    old = store._prepared(FACTS, league_rows(spark, FACTS, facts), 2, None).localCheckpoint()
+    old.write.partitionBy("_bucket", "round").parquet(f"{store.root}/data/{FACTS}/v=1")
+    cells = {(str(r.round), r._bucket) for r in old.collect()}
+    spark.createDataFrame(
+        [(1, part, bucket, True, 2, None) for part, bucket in cells],
+        "version bigint, partition string, bucket int, has_rows boolean, buckets int, batch string",
+    ).write.json(f"{store.root}/commits/{FACTS}")
+    assert store.read(FACTS).count() == 4
+    assert store.upsert(FACTS, league_rows(spark, FACTS, [{**facts[0], "round": 7}, facts[1], match(3, 1, saves=2)])) == 2
+    assert (tmp_path / f"store/data/{FACTS}/v=2").exists() and not list((tmp_path / "store/data").rglob("_slice=*"))
+    want = [(1, 1, 7, 0), (1, 2, 2, 0), (2, 1, 1, 0), (2, 2, 2, 0), (3, 1, 1, 2)]
+    assert sorted((r.element, r.fixture, r.round, r.saves) for r in store.read(FACTS).collect()) == want
+
+
+def test_placed_merge_keeps_what_merge_keeps(spark):
+    ddl = "k bigint, j bigint, cell int, v string"
+    target = spark.createDataFrame([(1, 1, 0, "a"), (2, 1, 0, "b"), (3, 1, 1, "c"), (None, 1, 0, "n"), (4, 1, 1, "d"), (4, 1, 1, "e")], ddl)
+    source = spark.createDataFrame([(1, 1, 0, "A"), (2, 1, 1, "B"), (None, 1, 0, "N"), (5, 1, 1, "F")], ddl)
+    left = spark.createDataFrame([(2, 1, 0)], "k bigint, j bigint, cell int")
+    want = sorted(map(str, merge.merge(target, source, ["k", "j"]).collect()))
+    for parts in (1, 3):
+        placed = merge.merge_placed(target, source, left, ["k", "j"], ["cell"], parts)
+        assert sorted(map(str, placed.collect())) == want
+    assert exchanged(placed, "v") == 1
+
+
+def test_shuffles_of_a_load_are_released(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, old = [], spark.conf.get(name, None)
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.upsert(FACTS, league_rows(spark, FACTS, [match(1, 1)]).filter("fixture > 0"))
+    with released_shuffles(spark):
+        seen.append(spark.conf.get(name))
+    assert seen == ["true"] and spark.conf.get(name, None) == old
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = kept.shuffleStatuses().size()
+    store.upsert(FACTS, league_rows(spark, FACTS, [match(1, 1, saves=1), match(2, 1)]))
+    assert kept.shuffleStatuses().size() <= before
