@@ -17,6 +17,7 @@ from touchline.sources import driver_tables as data
 from touchline.sources import landing
 from touchline.sources.schemas import column_names, conform
 from touchline.sources.store import TableStore
+from touchline.streaming.landing_stream import latest_rows
 
 FACTS = "player_gameweek_stats"
 
@@ -205,3 +206,16 @@ def test_shuffles_of_a_load_are_released(spark, tmp_path):
     before = kept.shuffleStatuses().size()
     store.upsert(FACTS, league_rows(spark, FACTS, [match(1, 1, saves=1), match(2, 1)]))
     assert kept.shuffleStatuses().size() <= before
+
+
+def test_only_keys_that_repeat_in_a_batch_are_put_together(spark, tmp_path):
+    ddl = "k bigint, j bigint, at int, v string"
+    once = spark.createDataFrame([(1, 1, 0, "a"), (1, 2, 0, "b"), (2, 1, 5, "c")], ddl)
+    got = latest_rows(once, ["k", "j"], ["at"], str(tmp_path / "once"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.collect())) and not (tmp_path / "once/latest").exists()
+    # the plan that ran moved no row
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    more = once.union(spark.createDataFrame([(1, 1, 2, "d"), (1, 1, 1, "e"), (2, 1, 4, "f")], ddl))
+    got = latest_rows(more, ["k", "j"], ["at"], str(tmp_path / "more"))
+    assert sorted((r.k, r.j, r.v) for r in got.collect()) == [(1, 1, "d"), (1, 2, "b"), (2, 1, "c")]
+    assert (tmp_path / "more/latest").exists()

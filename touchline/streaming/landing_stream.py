@@ -17,9 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from touchline.operators.contract import ContractError, accepted, rejects, validate
 from touchline.operators.integrity import require_references
-from touchline.operators.merge import latest_per_key
+from touchline.operators.merge import key_counts, latest_per_key
 from touchline.plans.load import stage, without_settled_text
-from touchline.session import shared_dir
+from touchline.session import released_shuffles, shared_dir
 from touchline.sources import landing
 from touchline.sources.schemas import KEYS, REFERENCES, column_names
 from touchline.sources.store import TableStore, remove
@@ -43,7 +43,9 @@ def upsert_stream(
         if store_here.applied(entity, label):
             return
         staging = f"{store.root}/staging/{name}/batch={batch_id}"
-        store_here.upsert(entity, to_rows(batch, staging, batch_id), batch=label)
+        with released_shuffles(batch.sparkSession):
+            rows = to_rows(batch, staging, batch_id)
+        store_here.upsert(entity, rows, batch=label)
         remove(batch.sparkSession, staging)
 
     return (
@@ -74,6 +76,18 @@ def batch_rejects(checked: DataFrame, entity: str) -> DataFrame:
     return rejects(checked, entity).unionByName(new)
 
 
+def latest_rows(rows: DataFrame, keys: list[str], order: list[str], staging: str) -> DataFrame:
+    """``latest_per_key`` of rows of which few or none repeat a key. The keys that do are
+    written first, and only their rows are put together; if there are any, the result is
+    staged. Keys have no nulls."""
+    key_counts(rows, keys).filter("n > 1").select(*keys).write.mode("overwrite").parquet(f"{staging}/repeated")
+    repeated = rows.sparkSession.read.schema(rows.select(*keys).schema).parquet(f"{staging}/repeated")
+    several = rows.join(repeated, keys, "left_semi").select(*rows.columns)
+    single = rows.join(repeated, keys, "left_anti").select(*rows.columns)
+    latest = single.unionByName(latest_per_key(several, keys, F.struct(*order)))
+    return latest if repeated.isEmpty() else stage(latest, f"{staging}/latest")
+
+
 def load_histories(
     store: TableStore, path: str, name: str = "histories", lines: bool = False, keep_going: bool = False, references: bool = True,
 ) -> StreamingQuery:
@@ -87,7 +101,7 @@ def load_histories(
 
     def checked_rows(batch: DataFrame, staging: str, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
-        checked = stage(without_settled_text(validate(landing.history_records(batch), FACTS), FACTS), staging)
+        checked = stage(without_settled_text(validate(landing.history_records(batch), FACTS), FACTS), f"{staging}/checked")
         sink = f"{rejects_path(store, name)}/batch={batch_id}"
         batch_rejects(checked, FACTS).write.mode("overwrite").parquet(sink)
         refused = spark.read.parquet(sink)
@@ -98,7 +112,7 @@ def load_histories(
         rows = accepted(checked, FACTS, "_landed_at", "_doc", "_pos").join(
             refused.select(F.col("doc").alias("_doc"), F.col("row").alias("_pos")), ["_doc", "_pos"], "left_anti"
         )
-        rows = latest_per_key(rows, KEYS[FACTS], F.struct("_landed_at", "_doc", "_pos")).select(*columns)
+        rows = latest_rows(rows, KEYS[FACTS], ["_landed_at", "_doc", "_pos"], staging).select(*columns)
         if references:
             here = replace(store, spark=spark)
             parents = {parent for child, _, parent in REFERENCES if child == FACTS}
