@@ -8,9 +8,9 @@ import re
 from decimal import Decimal
 from types import SimpleNamespace
 
-from league import match, rows as league_rows
+from league import fixture, league, match, player, rows as league_rows
 
-from touchline.operators import contract, merge, selection
+from touchline.operators import contract, integrity, merge, selection
 from touchline.plans.load import without_settled_text
 from touchline.session import SETTINGS, compile_wide_rows, released_shuffles
 from touchline.sources import driver_tables as data
@@ -219,3 +219,11 @@ def test_only_keys_that_repeat_in_a_batch_are_put_together(spark, tmp_path):
     got = latest_rows(more, ["k", "j"], ["at"], str(tmp_path / "more"))
     assert sorted((r.k, r.j, r.v) for r in got.collect()) == [(1, 1, "d"), (1, 2, "b"), (2, 1, "c")]
     assert (tmp_path / "more/latest").exists()
+
+
+def test_references_are_grouped_by_numbers(spark):
+    tables = league(spark, [player(1, 1), player(2, 1, 9)], [fixture(1, None), fixture(2, 77)], [match(1, 1), match(5, 1), match(5, 2)]).named()
+    used = integrity._used_values(tables, {})
+    assert {f.name: f.dataType.simpleString() for f in used.schema.fields if f.name in ("parent", "value")} == {"parent": "int", "value": "bigint"}
+    found = sorted((r.child, r.child_column, r.parent, r.reference, r.orphan_rows) for r in integrity.foreign_key_orphans(tables).collect())
+    assert found == [("fixtures", "event", "gameweeks", 77, 1), ("player_gameweek_stats", "element", "players", 5, 2), ("players", "team", "teams", 9, 1)]
